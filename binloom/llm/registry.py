@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality_rules, simhash
+from . import classifier, decontaminate, packing, pii, quality_rules, simhash, warc
 from .common import table
 
 
@@ -16,6 +16,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("file")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -34,9 +42,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_pii_surrogates, op5_simhash_near_dedup, op6_best_fit_packing, op8_quality_rules, op10_benchmark_decontamination]
+    found = [op1_warc_round_trip, op3_pii_surrogates, op4_quality_classifier, op5_simhash_near_dedup, op6_best_fit_packing, op8_quality_rules, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_benchmark_decontamination": decontaminate.ORACLE}
+    return {"op1_warc_round_trip": warc.ORACLE, "op10_benchmark_decontamination": decontaminate.ORACLE}
