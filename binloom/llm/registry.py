@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, packing, pii, quality_rules, simhash, warc
+from . import classifier, decontaminate, langid, licenses, packing, pii, quality_rules, simhash, warc
 from .common import table
 
 
@@ -24,6 +24,14 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc_round_trip, op3_pii_surrogates, op4_quality_classifier, op5_simhash_near_dedup, op6_best_fit_packing, op8_quality_rules, op10_benchmark_decontamination]
+    found = [op1_warc_round_trip, op2_license_scan, op3_pii_surrogates, op4_quality_classifier, op5_simhash_near_dedup, op6_best_fit_packing, op8_quality_rules, op9_language_id, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 

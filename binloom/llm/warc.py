@@ -79,7 +79,7 @@ def _writer(base: str, roll: int):
         def open_(shard: int, number: int) -> None:
             tmp = f"{root}/.tmp-{attempt}-{shard}-{number}"
             now.clear()
-            now.update(shard=shard, roll=number, tmp=tmp, out=fs.open_output_stream(tmp), records=0, bytes=0, sha=hashlib.sha256())
+            now.update(shard=shard, roll=number, tmp=tmp, out=fs.open_output_stream(tmp, compression=None), records=0, bytes=0, sha=hashlib.sha256())
 
         refs: tuple = (None, {})
         for b in batches:
@@ -172,7 +172,7 @@ def _reader(base: str):
         for b in batches:
             for name, records in zip(b.column("file").to_pylist(), b.column("records").to_pylist()):
                 rows = []
-                with fs.open_input_stream(f"{root}/{name}") as stream:
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for h, block in parse(stream):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
