@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, langid, licenses, packing, pii, quality_rules, simhash, warc
+from . import classifier, decontaminate, langid, licenses, packing, pii, quality_rules, simhash, substrings, warc
 from .common import table
 
 
@@ -45,12 +45,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc_round_trip, op2_license_scan, op3_pii_surrogates, op4_quality_classifier, op5_simhash_near_dedup, op6_best_fit_packing, op8_quality_rules, op9_language_id, op10_benchmark_decontamination]
+    found = [op1_warc_round_trip, op2_license_scan, op3_pii_surrogates, op4_quality_classifier, op5_simhash_near_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_quality_rules, op9_language_id, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
