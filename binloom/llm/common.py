@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,8 +62,10 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of jobs that are over."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # first Python's handles go, then what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def let(value: Column, body) -> Column:

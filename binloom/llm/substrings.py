@@ -8,11 +8,11 @@ drop out at once.
    it occurs, so only these positions (about one in 35) are bucketed; each stands for a run of windows. Buckets with
    one run of windows are done: none of its windows occurs elsewhere.
 2. A bucket is refined by the bucket of the whole run. In a bucket of equal runs all but the first are duplicates.
-3. What is left, first runs whose q-gram occurs in unequal ones, is refined window by window: the bucket of a position
-   at depth ``LENGTH`` is that of its q-gram's bucket and of those at the later offsets ``OFFSETS``, which earlier levels
-   computed once and all levels reuse. All but the first of a bucket are duplicates.
+3. What is left, first runs whose bucket holds unequal ones, is refined recursively: a run is cut into cells of 16, 4
+   and at last 1 window, and a cell's bucket is that of the bytes which all its windows share, found from the same
+   prefix sums as every other bucket. Each level drops what is alone, removes what is equal, and hands on the rest.
 
-Buckets are 64-bit hashes; equality at a level always takes two independent ones together (128 bits). Each batch of rows first removes its own
+Buckets are 64-bit hashes; equality always takes two independent ones together (128 bits). Each batch of rows first removes its own
 duplicates, so a bucket, however large its group of copies, brings a shuffle at most a row a batch; a q-gram with unequal runs
 in one batch is marked so, by one row, and its runs are shuffled by their own bucket instead of the q-gram's.
 
@@ -35,7 +35,8 @@ from .common import BIN, LONG, STR, own_columns, schema, stored
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
-OFFSETS = (32, 64, 68)
+#: Windows to a cell, level by level; 128 is a whole run.
+CELLS = (128, 16, 4, 1)
 _CHUNK = 1 << 19
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _MARK = -(1 << 63)
@@ -74,6 +75,10 @@ class _Buffer:
         _, down = _power(_BASES[which], len(self.a) + 1)
         return _mix((self.sums[which][end] - self.sums[which][start]) * down[start])
 
+    def run(self, p: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Bucket of a run: its bytes, and where its windows stand to its q-gram."""
+        return self.stretch(1, first, last + LENGTH) ^ _mix(((p - first) * 128 + last - first).astype(np.uint64))
+
     def grams(self, which: int) -> np.ndarray:
         """Bucket of the q-gram at each position."""
         _, down = _power(_BASES[which], len(self.a) + 1)
@@ -132,73 +137,87 @@ def _later(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, same
 
 
+def _rows(core, run, doc, place) -> Iterator[pa.RecordBatch]:
+    """Rows to be bucketed: key, run, document, packed place, kind (0 to be seen, 1 known to be one of several, 2 known duplicate, 3 mark of several)."""
+    order, dup = _later(core, run, doc, place)
+    core, run, doc, place = core[order], run[order], doc[order], place[order]
+    again = np.concatenate(([False], (doc[1:] == doc[:-1]) & (place[1:] == place[:-1]) & (core[1:] == core[:-1])))  # a repeated row
+    core, run, doc, place, dup = (x[~again] for x in (core, run, doc, place, dup))
+    firsts = np.flatnonzero(~dup)
+    c = core[firsts]
+    mixed = np.zeros(len(c), bool)
+    mixed[1:] |= c[1:] == c[:-1]
+    mixed[:-1] |= c[:-1] == c[1:]
+    marks = np.unique(c[mixed])
+    several = np.zeros(len(core), bool)
+    several[firsts[mixed]] = True
+    key = core.copy()
+    key[several] ^= _mix(run[several])
+    key[dup] = _mix(doc[dup].astype(np.uint64) ^ _mix(place[dup].astype(np.uint64)))
+    yield _batch({"key": key, "run": run, "doc": doc, "place": place, "kind": np.where(dup, 2, np.where(several, 1, 0))})
+    if len(marks):
+        zero = np.zeros(len(marks), np.int64)
+        yield _batch({"key": marks, "run": np.full(len(marks), _MARK), "doc": zero, "place": zero, "kind": np.full(len(marks), 3)})
+
+
 def _level1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """q-gram, run (null: known to be a duplicate), document, packed place of each run; and marks."""
     for b in batches:
         found = []
         for buf, own, at in _buffers([t or b"" for t in b.column("text").to_pylist()], b.column("doc").to_pylist()):
             text, p, first, last = buf.runs()
             if len(p):
-                gram = buf.stretch(0, p, p + GRAM)
-                run = buf.stretch(1, first, last + LENGTH) ^ _mix(((p - first) * 128 + last - first).astype(np.uint64))
                 place = ((p - buf.starts[text] + at[text]) << 14) | ((p - first) << 7) | (p - last)
-                found.append((gram, run, own[text], place))
-        if not found:
-            continue
-        gram, run, doc, place = (np.concatenate(x) for x in zip(*found))
-        order, dup = _later(gram, run, doc, place)
-        gram, run, doc, place = gram[order], run[order], doc[order], place[order]
-        again = np.concatenate(([False], (doc[1:] == doc[:-1]) & (place[1:] == place[:-1]) & (gram[1:] == gram[:-1])))  # a repeated row
-        keep = ~again
-        gram, run, doc, place, dup = gram[keep], run[keep], doc[keep], place[keep], dup[keep]
-        # q-grams with unequal runs here
-        firsts = np.flatnonzero(~dup)
-        g = gram[firsts]
-        mixed = np.zeros(len(g), bool)
-        mixed[1:] |= g[1:] == g[:-1]
-        mixed[:-1] |= g[:-1] == g[1:]
-        marks = np.unique(g[mixed])
-        key = gram.copy()
-        several = np.zeros(len(gram), bool)
-        several[firsts[mixed]] = True
-        key[several] ^= _mix(run[several])
-        key[dup] = _mix(doc[dup].astype(np.uint64) ^ _mix(place[dup].astype(np.uint64)))
-        kind = np.where(dup, 2, np.where(several, 1, 0))
-        yield _batch({"key": key, "run": run, "doc": doc, "place": place, "kind": kind})
-        if len(marks):
-            zero = np.zeros(len(marks), np.int64)
-            yield _batch({"key": marks, "run": np.full(len(marks), _MARK), "doc": zero, "place": zero, "kind": np.full(len(marks), 3)})
-
-
-def _level3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket (two hashes), document and start of each window of the runs in ``places``; ``dup`` where its own batch has an earlier one."""
-    for b in batches:
-        found = []
-        texts = [t or b"" for t in b.column("text").to_pylist()]
-        for t, doc, places in zip(texts, b.column("doc").to_pylist(), b.column("places")):
-            q = np.unique(places.values.to_numpy())
-            p, first, last = q >> 14, (q >> 14) - ((q >> 7) & 127), (q >> 14) - (q & 127)
-            fits = last + LENGTH <= len(t)  # rows of one id may differ
-            first, last = first[fits], last[fits]
-            if not len(first):
-                continue
-            n = last - first + 1
-            start = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            buf = _Buffer([t])
-            ids = []
-            for which in (0, 1):
-                v = buf.grams(which)
-                w = v[start]
-                for o in OFFSETS:
-                    w = _mix(w + v[start + o])
-                ids.append(w)
-            found.append((*ids, np.full(len(start), doc, np.int64), start))
+                found.append((buf.stretch(0, p, p + GRAM), buf.run(p, first, last), own[text], place))
         if found:
-            one, two, doc, start = (np.concatenate(x) for x in zip(*found))
-            order, dup = _later(one, two, doc, start)
-            one, two, doc, start = one[order], two[order], doc[order], start[order]
-            one[dup] = _mix(doc[dup].astype(np.uint64) ^ _mix(start[dup].astype(np.uint64)))
-            yield _batch({"one": one, "two": two, "doc": doc, "start": start, "kind": np.where(dup, 2, 0)})
+            yield from _rows(*(np.concatenate(x) for x in zip(*found)))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """Groups of (document, part of its text, where the part starts, places in it), of bounded bytes together."""
+    group, size = [], 0
+    for t, doc, places in zip(batch.column("text").to_pylist(), batch.column("doc").to_pylist(), batch.column("places")):
+        t, q = t or b"", np.unique(places.values.to_numpy())
+        q = q[(q >> 14) - (q & 127) + LENGTH <= len(t)]  # rows of one id may differ
+        for lo in range(0, len(t), _CHUNK):
+            here = q[((q >> 14) >= lo) & ((q >> 14) < lo + _CHUNK)] if len(t) > _CHUNK else q
+            if not len(here):
+                continue
+            start = max(0, lo - SPAN)
+            part = t[start : lo + _CHUNK + LENGTH]
+            if group and size + len(part) > _CHUNK:
+                yield group
+                group, size = [], 0
+            group.append((doc, part, start, here))
+            size += len(part)
+    if group:
+        yield group
+
+
+def _refine(cell: int):
+    """Cells of the runs in ``places``, for the next level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for group in _slices(b):
+                docs, parts, starts, places = zip(*group)
+                buf = _Buffer(list(parts))
+                n = [len(x) for x in places]
+                shift = np.repeat(buf.starts - np.array(starts), n)
+                q, doc = np.concatenate(places), np.repeat(np.array(docs, np.int64), n)
+                p, a, z = q >> 14, (q >> 7) & 127, q & 127  # windows start z .. a before p
+                cells = a // cell - z // cell + 1
+                at = np.repeat(np.arange(len(q)), cells)
+                c = z[at] // cell + np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
+                p, doc, shift = p[at], doc[at], shift[at]
+                a, z = np.minimum(a[at], c * cell + cell - 1), np.maximum(z[at], c * cell)
+                x = p + shift
+                core = buf.stretch(0, x - c * cell, x - c * cell - cell + 1 + LENGTH) ^ _mix(c.astype(np.uint64))
+                found.append((core, buf.run(x, x - a, x - z), doc, (p << 14) | (a << 7) | z))
+            if found:
+                yield from _rows(*(np.concatenate(x) for x in zip(*found)))
+
+    return run
 
 
 def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,24 +244,25 @@ def dedup(docs: DataFrame, text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs``; with ``text`` also the bytes kept."""
     own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
     own = own.withColumn("doc", F.coalesce("doc_id", F.lit(_MARK).cast("long")))
-    runs = own.select("doc", "text").mapInArrow(_level1, schema(key=LONG, run=LONG, doc=LONG, place=LONG, kind=LONG))
-    bucket = Window.partitionBy("key").orderBy("run", "doc", "place")
-    whole = Window.partitionBy("key")
-    before = F.lag("run").over(bucket)
-    # a known duplicate's key is its own, so it is alone in its bucket; marks sort before the runs of their q-gram
-    sorted_ = runs.withColumn("before", before).withColumn("twin", (F.lag("doc").over(bucket) == F.col("doc")) & (F.lag("place").over(bucket) == F.col("place")))
-    sorted_ = sorted_.withColumn("several", (F.min("run").over(whole) != F.max("run").over(whole)) | (F.col("kind") == 1))
-    dup = (F.col("kind") == 2) | ((F.col("before") == F.col("run")) & ~F.coalesce("twin", F.lit(False)))
-    state = sorted_.where("kind != 3").withColumn("dup", F.coalesce(dup, F.lit(False))).where("dup or several").select("doc", "place", "dup").distinct()
-    state = stored(state, "runs")
-    firsts = state.where("not dup").groupBy("doc").agg(F.collect_list("place").alias("places"))  # a document's own places
-    windows = own.select("doc", "text").join(firsts, "doc").mapInArrow(_level3, schema(one=LONG, two=LONG, doc=LONG, start=LONG, kind=LONG))
-    order = Window.partitionBy("one", "two").orderBy("doc", "start")
-    earlier = F.first(F.struct("doc", "start")).over(order)
-    later = windows.withColumn("later", (F.col("kind") == 2) | (earlier != F.struct("doc", "start"))).where("later").select("doc", "start").distinct()
-    later = stored(later, "windows")
+    kind = schema(key=LONG, run=LONG, doc=LONG, place=LONG, kind=LONG)
+    bucket, whole = Window.partitionBy("key").orderBy("run", "doc", "place"), Window.partitionBy("key")
+    before = F.coalesce(F.lag("run").over(bucket) == F.col("run"), F.lit(False))
+    twin = F.coalesce((F.lag("doc").over(bucket) == F.col("doc")) & (F.lag("place").over(bucket) == F.col("place")), F.lit(False))
+    several = (F.min("run").over(whole) != F.max("run").over(whole)) | (F.col("kind") == 1)
+    removed = None
+    for level, cell in enumerate(CELLS):
+        if level == 0:
+            rows = own.select("doc", "text").mapInArrow(_level1, kind)
+        else:
+            left = state.where("not dup").groupBy("doc").agg(F.collect_list("place").alias("places"))  # a document's own places
+            rows = own.select("doc", "text").join(left, "doc").mapInArrow(_refine(cell), kind)
+        # a known duplicate's key is its own, so it is alone in its bucket; a mark sorts before the runs of its bucket
+        seen = rows.select("doc", "place", "kind", before.alias("before"), twin.alias("twin"), several.alias("several")).where("kind != 3 and not (twin and before)")
+        state = seen.select("doc", "place", (F.col("before") | (F.col("kind") == 2)).alias("dup"), "several").where("dup or several").drop("several")
+        state = stored(state, f"level{level}")
+        removed = state.where("dup") if removed is None else removed.unionByName(state.where("dup"))
     lo, n = F.shiftright("place", 14) - F.shiftright("place", 7).bitwiseAND(F.lit(127)), F.shiftright("place", 7).bitwiseAND(F.lit(127)) - F.col("place").bitwiseAND(F.lit(127)) + 1
-    spans = state.where("dup").select("doc", (F.shiftleft(lo, 8) + n).alias("span")).unionByName(later.select("doc", (F.shiftleft("start", 8) + 1).alias("span")))
+    spans = removed.select("doc", (F.shiftleft(lo, 8) + n).alias("span"))
     spans = spans.groupBy("doc").agg(F.collect_list("span").alias("spans"))
     out = own.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(_final, schema(doc_id=LONG, n_bytes=LONG, n_removed=LONG, n_spans=LONG, kept_sha256=STR, kept=BIN))
     return out if text else out.drop("kept")
