@@ -1 +1,67 @@
-"""."""
+"""Column functions: sequences, vectors, rules. All are built-in expressions, so they stay inside generated code."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def reverse_complement(seq: Column) -> Column:
+    return F.reverse(F.translate(seq, "ACGT", "TGCA"))
+
+
+def canonical(kmer: Column) -> Column:
+    """The lesser of a k-mer and its reverse complement."""
+    return F.least(kmer, reverse_complement(kmer))
+
+
+def clean_sequence(text: Column) -> Column:
+    """Only the bases of a text, upper case."""
+    return F.regexp_replace(F.upper(text), "[^ACGT]", "")
+
+
+def kmers(seq: Column, k: int) -> Column:
+    """All k-mers of a sequence in order; none if it is shorter than k."""
+    return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+
+def doubles(v: Column) -> Column:
+    return v.cast("array<double>")
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def squared_distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def quality_state(comp: Column, cont: Column) -> Column:
+    return F.when((comp >= 90) & (cont <= 5), "high").when((comp >= 50) & (cont <= 10), "medium").otherwise("low")
+
+
+def quality_score(comp: Column, cont: Column, bonus: bool = True) -> Column:
+    plain = comp - 4 * cont
+    return plain + F.when(quality_state(comp, cont) == "high", 100).when(quality_state(comp, cont) == "medium", 50).otherwise(0) if bonus else plain
+
+
+def grid_score(comp: Column, cont: Column) -> Column:
+    """120 more for high, 50 more for medium, nothing for low."""
+    state = quality_state(comp, cont)
+    return F.when(state == "high", comp - 4 * cont + 120).when(state == "medium", comp - 4 * cont + 50).otherwise(0.0)
+
+
+def edge_weight(d2: Column, bandwidth: float, squared: bool = True) -> Column:
+    return F.exp(-(d2 if squared else F.sqrt(d2)) / bandwidth)
+
+
+def length_weight(length: Column, shortest: int) -> Column:
+    return F.ln(length) / F.ln(F.lit(float(shortest)))
+
+
+def temperature(n50: Column, n_contigs: Column, large: int) -> Column:
+    """Contrastive temperature from N50 and the number of contigs."""
+    is_large = n_contigs >= large
+    between = F.round(-0.000002 * n50 + 0.155, 3) - F.when(is_large, 0.01).otherwise(0.0)
+    return F.when(n50 >= 15000, F.when(is_large, 0.115).otherwise(0.125)).when(n50 <= 5000, F.when(is_large, 0.135).otherwise(0.145)).otherwise(between)
