@@ -52,10 +52,8 @@ def segments(seqs: DataFrame, parts: int, k: int) -> DataFrame:
 
 def vocabulary(spark, k: int) -> DataFrame:
     """All k-mers in the order A, T, G, C with the index of their pair."""
-    base = spark.createDataFrame([("A",), ("T",), ("G",), ("C",)], "b string")
-    words = spark.createDataFrame([("",)], "kmer string")
-    for _ in range(k):  # 4**k rows, by the definition of the vocabulary
-        words = words.join(base).select(F.concat("kmer", "b").alias("kmer"))
+    letters = [F.substring(F.lit("ATGC"), (F.floor(F.col("id") / 4**j) % 4 + 1).cast("int"), F.lit(1)) for j in reversed(range(k))]
+    words = spark.range(0, 4**k, 1, 1).select(F.concat(*letters).alias("kmer"))  # 4**k rows, by the definition of the vocabulary
     digits = lambda c: F.translate(c, "ATGC", "0123")
     first = F.least(digits(F.col("kmer")), digits(F.reverse(F.translate("kmer", "ACGT", "TGCA"))))
     return words.select("kmer", canonical(F.col("kmer")).alias("canon"), (F.dense_rank().over(Window.orderBy(first)) - 1).cast("int").alias("idx"))

@@ -73,7 +73,7 @@ def tax_rollup(spark, d):
     return evaluation.threshold_grid(_counts(spark, d).join(rank, "genome"), RECALLS, PRECISIONS, "taxon")
 
 
-@query(f"WITH {t.ALIGNED}, b AS (SELECT bin, max(f1) AS f1, max(CASE WHEN recall >= .03 AND prec >= .03 THEN 1 ELSE 0 END) AS both FROM cnt GROUP BY bin) SELECT x.x AS min_f1, count(*) FILTER (f1 >= x.x) AS n_f1, sum(both)::BIGINT AS n_both FROM b, (SELECT unnest([.02, .03, .04, .05])::DOUBLE AS x) x GROUP BY x.x")
+@query(f"WITH {t.ALIGNED}, b AS (SELECT bin, max(f1) AS f1, max(CASE WHEN recall >= .03 AND prec >= .03 THEN 1 ELSE 0 END) AS nb FROM cnt GROUP BY bin) SELECT x.x AS min_f1, count(*) FILTER (f1 >= x.x) AS n_f1, sum(nb)::BIGINT AS n_both FROM b, (SELECT unnest([.02, .03, .04, .05])::DOUBLE AS x) x GROUP BY x.x")
 def f1_counters(spark, d):
     best = _counts(spark, d).groupBy("bin").agg(F.max("f1").alias("f1"), F.max(F.when((F.col("recall") >= 0.03) & (F.col("precision") >= 0.03), 1).otherwise(0)).alias("both"))
     lists = F.explode(F.array(*[F.lit(x) for x in (0.02, 0.03, 0.04, 0.05)]))
@@ -161,7 +161,7 @@ def lower_bound(spark, d):
     return sequences.lower_bound(_contigs(spark, d), 768, 64)
 
 
-@query("SELECT n50, n, round(CASE WHEN n50 >= 15000 THEN CASE WHEN n >= 500 THEN .115 ELSE .125 END WHEN n50 <= 5000 THEN CASE WHEN n >= 500 THEN .135 ELSE .145 END ELSE round(-0.000002 * n50 + .155, 3) - CASE WHEN n >= 500 THEN .01 ELSE 0 END END, 6) AS temp FROM (SELECT c_custkey * 97 % 20000 AS n50, c_custkey % 1000 AS n FROM customer)")
+@query("SELECT n50, n, round((CASE WHEN n50 >= 15000 THEN CASE WHEN n >= 500 THEN .115 ELSE .125 END WHEN n50 <= 5000 THEN CASE WHEN n >= 500 THEN .135 ELSE .145 END ELSE round(-0.000002 * n50 + .155, 3) - CASE WHEN n >= 500 THEN .01 ELSE 0 END END)::DOUBLE, 6) AS temp FROM (SELECT c_custkey * 97 % 20000 AS n50, c_custkey % 1000 AS n FROM customer)")
 def temperature_rule(spark, d):
     c = t.load(spark, d, "customer").select((F.col("c_custkey") * 97 % 20000).alias("n50"), (F.col("c_custkey") % 1000).alias("n"))
     return c.withColumn("temp", F.round(fn.temperature(F.col("n50"), F.col("n"), 500), 6))
