@@ -1 +1,74 @@
-"""."""
+"""Readers and writers of the text formats, as DataFrame expressions over the text and csv sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def fasta(spark: SparkSession, path: str, drop_plasmids: bool = True, trim_header: bool = False) -> DataFrame:
+    """name, seq of FASTA records (also gzip): wrapped lines joined, upper case, blank lines skipped, of repeated names the last."""
+    raw = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("r"), F.monotonically_increasing_id().alias("at"))
+    name = F.trim(F.regexp_extract("r", r"^([^\r\n]*)", 1))
+    rows = raw.select(F.element_at(F.split(name, r"\s+"), 1).alias("name") if trim_header else name.alias("name"), F.upper(F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", "")).alias("seq"), "at").where("name != ''")
+    if drop_plasmids:
+        rows = rows.where(~F.lower("name").contains("plasmid"))
+    return rows.groupBy("name").agg(F.max_by("seq", "at").alias("seq"))
+
+
+def write_fasta(df: DataFrame, path: str, width: int = 60) -> None:
+    """``df(name, seq)`` as FASTA, wrapped."""
+    df.select(F.concat(F.lit(">"), "name", F.lit("\n"), F.rtrim(F.regexp_replace("seq", f"(.{{{width}}})", "$1\n"))).alias("value")).write.text(path)
+
+
+def tsv(spark: SparkSession, path: str, schema: str, header: bool = False, comment: str | None = None) -> DataFrame:
+    """Any of the tab-separated tables, by a schema in SQL."""
+    reader = spark.read.schema(schema).option("sep", "\t").option("header", header)
+    return (reader.option("comment", comment) if comment else reader).csv(path)
+
+
+def domtblout(spark: SparkSession, path: str) -> DataFrame:
+    """The domain table of a profile search: 22 fields and a description; rows that don't parse are skipped."""
+    names = "target_name target_accession target_length query_name query_accession query_length full_e full_score full_bias dom of c_e i_e dom_score dom_bias hmm_from hmm_to ali_from ali_to env_from env_to acc".split()
+    text = {"target_name", "target_accession", "query_name", "query_accession"}
+    parts = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split(F.trim("value"), " +").alias("p")).where(F.size("p") >= 22)
+    cols = [F.col("p")[i].alias(n) if n in text else F.col("p")[i].try_cast("double").alias(n) for i, n in enumerate(names)]
+    return parts.select(*cols, F.concat_ws("_", F.slice("p", 23, 1000)).alias("description")).where("full_e is not null and dom_score is not null")
+
+
+def hmm_models(spark: SparkSession, path: str) -> DataFrame:
+    """acc and thresholds ga, tc, nc (structs of full and dom, or null) of profile models."""
+    pair = lambda k: F.when(F.regexp_extract("value", rf"(?m)^{k}\s+(\S+)", 1) != "", F.struct(*[F.regexp_extract("value", rf"(?m)^{k}\s+([-\d.]+)\s+([-\d.]+)", i).try_cast("double").alias(n) for i, n in ((1, "full"), (2, "dom"))])).alias(k.lower())
+    return spark.read.text(path, lineSep="//").where(F.col("value").contains("HMMER3/f")).select(F.regexp_extract("value", r"(?m)^ACC\s+(\S+)", 1).alias("acc"), pair("GA"), pair("TC"), pair("NC"))
+
+
+def marker_sets(spark: SparkSession, path: str) -> DataFrame:
+    """taxon, set_id, gene: the literal list of sets is taken apart by pattern, never evaluated."""
+    rows = spark.read.text(path).select(F.split("value", "\t").alias("p")).select(F.col("p")[0].alias("taxon"), F.element_at("p", -1).alias("sets"))
+    sets = rows.select("taxon", F.posexplode(F.regexp_extract_all("sets", F.lit(r"[\[{]([^\[\]{}]*['\"][^\[\]{}]*)[\]}]"), 1)).alias("set_id", "body"))
+    return sets.select("taxon", "set_id", F.explode(F.regexp_extract_all("body", F.lit(r"['\"]([^'\"]+)['\"]"), 1)).alias("gene"))
+
+
+def gff(spark: SparkSession, path: str) -> DataFrame:
+    """seq_id, start, end, n: genes of each sequence with their counter."""
+    rows = tsv(spark, path, "seq_id string, src string, type string, start long, end long", comment="#").where("start is not null")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("seq_id").orderBy("start", "end")) - 1).select("seq_id", "start", "end", "n")
+
+
+def paf(spark: SparkSession, path: str, ratio: float = 0.99) -> DataFrame:
+    """Alignments of contigs to genomes: mobile elements dropped; of a contig the first row, and others that align nearly whole."""
+    f = F.split("value", "\t")
+    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), f[0].alias("contig"), f[1].cast("long").alias("len"), F.split_part(f[5], F.lit("|"), F.lit(1)).alias("genome"), f[5].alias("subject"), f[6].cast("long").alias("subject_len"), f[7].cast("long").alias("st"), f[8].cast("long").alias("en"), f[10].cast("long").alias("block"))
+    rows = raw.where(~(F.col("subject").contains("RNODE") & F.col("subject").contains("length")))
+    first = F.row_number().over(Window.partitionBy("contig").orderBy("at")) == 1
+    return rows.withColumn("first", first).where(F.col("first") | (F.col("block") / F.col("len") >= ratio)).drop("first", "at")
+
+
+def gene_contig(orf):
+    """The contig of an open reading frame: its name without the last part."""
+    return F.regexp_replace(orf, "_[^_]*$", "")
+
+
+def write_tsv(df: DataFrame, path: str, header: bool = False, by: list[str] | None = None) -> None:
+    w = df.write.option("sep", "\t").option("header", header)
+    (w.partitionBy(*by) if by else w).csv(path)
