@@ -61,7 +61,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
     own = own_columns(docs, "doc_id", "text", "lang").select(F.xxhash64("doc_id").alias("h"), F.lower(F.col("lang").cast("string")).alias("lang"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).where("lang is not null")
-    rows = own.orderBy("h", F.xxhash64("text")).limit(SAMPLE).repartition(1)
+    least = own.select("h").orderBy("h").limit(SAMPLE).distinct()  # hashes only; texts are fetched for the chosen rows
+    rows = own.join(F.broadcast(least), "h").repartition(1)
     return {r.lang: bytes(r.model) for r in rows.mapInArrow(_train, schema(lang=STR, model=BIN)).collect()}  # one row a language of the sample
 
 
