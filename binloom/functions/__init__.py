@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,3 +67,39 @@ def temperature(n50: Column, n_contigs: Column, large: int) -> Column:
     is_large = n_contigs >= large
     between = F.round(-0.000002 * n50 + 0.155, 3) - F.when(is_large, 0.01).otherwise(0.0)
     return F.when(n50 >= 15000, F.when(is_large, 0.115).otherwise(0.125)).when(n50 <= 5000, F.when(is_large, 0.135).otherwise(0.145)).otherwise(between)
+
+
+def softmax(logits: Column) -> Column:
+    """Shares of an array of log weights, shifted by the greatest."""
+    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
+    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda s, y: s + y))
+
+
+def temperature_schedule(temp: Column, epochs: int) -> Column:
+    """One temperature an epoch: a line from 0.005 below to 0.005 above, in thousandths; the last is the end itself."""
+    line = F.transform(F.sequence(F.lit(0), F.lit(epochs - 2)), lambda i: F.round(temp - 0.005 + i * (0.01 / epochs), 3)) if epochs > 1 else F.array().cast("array<double>")
+    return F.concat(line, F.array(temp + 0.005))
+
+
+def learning_rate(epoch: Column, base: float, multiplier: float, warm: int, rest: int) -> Column:
+    """Linear warm-up to ``multiplier`` times the base, then cosine arcs of half the remaining epochs each."""
+    arc = -(-rest // 2)
+    return F.when(epoch <= warm, base * ((multiplier - 1) * epoch / warm + 1)).otherwise(base * multiplier / 2 * (1 + F.cos(F.pmod(epoch - warm, F.lit(arc)) * (math.pi / arc))))
+
+
+def epochs(n50: Column, n_contigs: Column, base: int, large: int = 153600, most: int = 200) -> Column:
+    """Training epochs: four more for long contigs, and more in proportion where there are few contigs."""
+    of = F.when(n50 >= 1536, F.lit(base + 4)).otherwise(F.lit(base)).cast("long")
+    return F.least(F.lit(most).cast("long"), F.when(n_contigs >= large, of).otherwise(F.floor(of * large / n_contigs)))
+
+
+def vmf_log_density(cosine: Column, kappa: Column, dim: int) -> Column:
+    """Log density of a von Mises-Fisher distribution in more than 50 dimensions, by the asymptotic normaliser."""
+    nu = dim / 2 - 1
+
+    def s(k: Column, alpha: float, beta: float) -> Column:
+        root = F.sqrt(k * k + beta * beta)
+        return root - beta - (alpha * F.ln((alpha + root) / (alpha + beta)) if alpha else F.lit(0.0))
+
+    low = F.least(kappa, F.lit(math.sqrt((3 * nu + 5.5) * (nu + 1.5))))
+    return kappa * cosine - (s(kappa, nu + 0.5, nu + 0.5) + s(low, nu, nu + 2) - s(low, nu + 0.5, nu + 0.5))

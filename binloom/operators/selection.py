@@ -42,3 +42,10 @@ def capped_parts(rows: DataFrame, limit: int) -> DataFrame:
     step = F.expr("n div parts + 1")
     rn = F.row_number().over(w.orderBy("contig")) - 1
     return out.withColumn("rn", rn).select("cluster", "contig", F.expr("cast(rn as bigint)").alias("rn"), step.alias("step")).select("cluster", "contig", F.expr("rn div step").alias("part"))
+
+
+def chunks(rows: DataFrame, by: str, order: str, parts: int) -> DataFrame:
+    """The rows of each group in ``parts`` runs of n div parts + 1 rows; the last ones may be shorter or missing."""
+    w = Window.partitionBy(by)
+    numbered = rows.withColumn("_rn", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    return numbered.withColumn("chunk", F.expr(f"_rn div (_n div {parts} + 1)")).drop("_rn", "_n")

@@ -80,3 +80,33 @@ def lower_bound(seqs: DataFrame, shortest: int, batch: int) -> DataFrame:
     cover = F.when(F.col("enough") <= batch, F.lit(batch).cast("long")).otherwise(F.expr(f"(enough div {batch} + least(3L, (total - enough) div {batch})) * {batch}"))
     at = ranked.join(F.broadcast(known)).withColumn("at", F.least(cover, F.col("total") - 1))  # one row
     return at.where("longer <= at and at < longer + n").select((F.lit(shortest).cast("long") - F.col("len")).alias("gap"))
+
+
+def top_batches(seqs: DataFrame, batch: int) -> DataFrame:
+    """contig, len of the longest contigs, cut to whole batches; of those as long as the last, the least by name.
+
+    The cut follows from the histogram of lengths, so only contigs of the one length at the cut are ranked.
+    """
+    ranked = _ranked_lengths(seqs.select("len"))
+    keep = ranked.agg(F.expr(f"sum(n) div {batch} * {batch}").alias("keep"))
+    cut = ranked.join(F.broadcast(keep)).where("longer < keep").withColumn("left", F.least(F.col("n"), F.col("keep") - F.col("longer")))  # one row
+    rows = seqs.select("contig", "len").join(cut, "len")
+    tied = rows.where("left < n").withColumn("_rank", F.row_number().over(Window.partitionBy("len").orderBy("contig"))).where("_rank <= left")
+    return rows.where("left = n").select("contig", "len").unionByName(tied.select("contig", "len"))
+
+
+def coverage_composition(seqs: DataFrame, runs: DataFrame, k: int) -> DataFrame:
+    """contig, kmer, cov: depth summed over the places of each canonical k-mer, over k times the contig's length.
+
+    ``runs(contig, st, en, depth)`` are runs of equal depth, at most two for each base, so a contig's runs are no longer
+    than its sequence; they are laid out beside it and the depths of a k-mer are added in place.
+    """
+    own = runs.groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("st", "en", "depth"))).alias("runs"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("d"))
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n.cast("int"))
+    laid = F.aggregate("runs", start, lambda a, r: F.struct(r["en"].alias("at"), F.concat(a["d"], zeros(r["st"] - a["at"]), F.array_repeat(r["depth"], (r["en"] - r["st"]).cast("int"))).alias("d")))
+    both = seqs.where(F.col("len") >= k).join(own, "contig").withColumn("d", laid["d"])
+    both = both.withColumn("d", F.concat("d", zeros(F.greatest(F.lit(0), F.col("len") - F.size("d")))))
+    each = F.transform(kmers(F.col("seq"), k), lambda m, i: F.struct(canonical(m).alias("kmer"), F.aggregate(F.slice("d", i + 1, k), F.lit(0).cast("long"), lambda s, x: s + x).alias("x")))
+    shown = both.select("contig", "len", F.explode(each).alias("e")).select("contig", "len", "e.*").where("x > 0")
+    return shown.groupBy("contig", "len", "kmer").agg(F.sum("x").alias("x")).select("contig", "kmer", (F.col("x") / (k * F.col("len"))).alias("cov"))

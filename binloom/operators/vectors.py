@@ -76,3 +76,52 @@ def centroids(v: DataFrame, by: str) -> DataFrame:
     """by, n, mean: element-wise means, added up in each task first."""
     parts = v.select(by, F.posexplode("vec").alias("i", "x")).groupBy(by, "i").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
     return parts.groupBy(by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+
+
+def class_distances(v: DataFrame) -> DataFrame:
+    """id, label, other, total, n: the sum of distances from each row to the others of each label, and their number."""
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "label": [], "other": [], "total": [], "n": []}).astype({"id": "int64", "label": "int64", "other": "int64", "n": "int64"})
+        x, y = np.stack(a.vec.to_numpy()).astype(float), np.stack(b.vec.to_numpy()).astype(float)
+        names, code = np.unique(b.label.to_numpy(), return_inverse=True)
+        member = np.eye(len(names))[code]
+        rows = []
+        for i in range(0, len(x), 512):
+            part = a.iloc[i : i + 512]
+            d = np.sqrt(np.maximum(0, (x[i : i + 512] ** 2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x[i : i + 512] @ y.T))
+            other = part.id.to_numpy()[:, None] != b.id.to_numpy()[None, :]
+            rows.append(pd.DataFrame({"id": np.repeat(part.id.to_numpy(), len(names)), "label": np.repeat(part.label.to_numpy(), len(names)), "other": np.tile(names, len(part)), "total": ((d * other) @ member).ravel(), "n": (other @ member).ravel().astype("int64")}))
+        return pd.concat(rows)
+
+    parts = _blocked(v, False).groupBy("x", "y").applyInPandas(block, "id long, label long, other long, total double, n long")
+    return parts.groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0")
+
+
+def silhouette(v: DataFrame) -> DataFrame:
+    """id, label, s: (b - a) / max(a, b) of the mean distances to the own label and to the nearest other; 0 for a label's only row."""
+    mean = F.col("total") / F.col("n")
+    of = class_distances(v).groupBy("id", "label").agg(F.max(F.when(F.col("other") == F.col("label"), mean)).alias("a"), F.min(F.when(F.col("other") != F.col("label"), mean)).alias("b"))
+    return of.select("id", "label", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+
+
+def rber_quality(edges: DataFrame, nodes: DataFrame, resolution: float) -> DataFrame:
+    """community, inner, size, q: inner edge weight less ``resolution`` times what the mean density lets expect.
+
+    ``edges(src, dst, weight)``, each once; ``nodes(id, community, size)``.
+    """
+    whole = nodes.agg(F.sum("size").alias("all")).join(edges.agg(F.sum("weight").alias("w")))  # one row
+    at = lambda end: nodes.select(F.col("id").alias(end), F.col("community").alias(f"c_{end}"))
+    inner = edges.join(at("src"), "src").join(at("dst"), "dst").where("c_src = c_dst").groupBy(F.col("c_src").alias("community")).agg(F.sum("weight").alias("inner"))
+    sizes = nodes.groupBy("community").agg(F.sum("size").alias("size"))
+    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    of = sizes.join(inner, "community", "left").join(F.broadcast(whole)).withColumn("inner", F.coalesce("inner", F.lit(0.0)))  # one row
+    return of.select("community", "inner", "size", (F.col("inner") - resolution * F.col("w") / pairs("all") * pairs("size")).alias("q"))
+
+
+def with_centres(v: DataFrame, by: str) -> DataFrame:
+    """``v`` with ``centres``: label, n, mean of every group as one array; there are as many as groups."""
+    c = centroids(v, by).agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("label"), "n", "mean"))).alias("centres"))
+    return v.join(F.broadcast(c))  # one row

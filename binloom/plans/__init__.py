@@ -393,3 +393,103 @@ def first_fit_allocate(spark, d):
     order = t.load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cluster"), F.round("o_totalprice").cast("long").alias("len"))
     genes = li.join(part, "l_partkey").groupBy("l_orderkey", "gene").agg(F.count(F.lit(1)).alias("n")).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("gene", "n"))).alias("genes"))
     return markers.first_fit(genes.join(order, "l_orderkey").select("cluster", F.col("l_orderkey").alias("contig"), "len", "genes"))
+
+
+# --- further scores of sequences and vectors
+
+
+@query(f"WITH {t.KMERS}, {t.READS}, x AS (SELECT contig, kmer, unnest([i - 1, i, i + 1, i + 2]) AS p FROM ck) SELECT contig, kmer, round(sum(d) / (4 * any_value(len)), 9) AS cov FROM x JOIN depth ON subject = contig AND depth.p = x.p JOIN contigs USING (contig) GROUP BY contig, kmer")
+def cov_tnf(spark, d):
+    runs = intervals.depth_runs(t.reads(spark, d), ["subject"]).withColumnRenamed("subject", "contig")
+    return sequences.coverage_composition(_contigs(spark, d), runs, 4).withColumn("cov", F.round("cov", 9))
+
+
+@query(f"WITH {t.CONTIGS}, r AS (SELECT contig, len, row_number() OVER (ORDER BY len DESC, contig) AS r, count(*) OVER () AS n FROM contigs) SELECT contig, len FROM r WHERE r <= n // 64 * 64")
+def topk_batch(spark, d):
+    return sequences.top_batches(_contigs(spark, d), 64)
+
+
+@query(f"WITH {t.CONTIGS} SELECT contig, round(ln(len) / ln(100), 9) AS weight FROM contigs WHERE len >= 100")
+def length_weights(spark, d):
+    return _contigs(spark, d).where("len >= 100").select("contig", F.round(fn.length_weight(F.col("len"), 100), 9).alias("weight"))
+
+
+@query("SELECT a.o_orderkey AS contig, (count(*) - 1) // (any_value(n) // 4 + 1) AS chunk FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderkey <= a.o_orderkey JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) c ON c.o_custkey = a.o_custkey GROUP BY 1")
+def equal_chunks(spark, d):
+    o = t.load(spark, d, "orders").select(F.col("o_custkey").alias("cluster"), F.col("o_orderkey").alias("contig"))
+    return selection.chunks(o, "cluster", "contig", 4).select("contig", "chunk")
+
+
+@query("SELECT r_regionkey AS run, (e)::INTEGER AS epoch, CASE WHEN e = 46 THEN round(r_regionkey * 0.01 + 0.115::DOUBLE + 0.005, 9) ELSE round(r_regionkey * 0.01::DOUBLE + 0.115::DOUBLE - 0.005::DOUBLE + e * 0.01::DOUBLE / 47, 3) END AS temp FROM region, (SELECT unnest(range(0, 47)) AS e)")
+def schedule_temp(spark, d):
+    of = fn.temperature_schedule(F.col("r_regionkey") * 0.01 + 0.115, 47)
+    return t.load(spark, d, "region").select(F.col("r_regionkey").alias("run"), F.posexplode(of).alias("epoch", "temp")).withColumn("temp", F.round("temp", 9))
+
+
+@query("SELECT n_nationkey AS epoch, round(CASE WHEN n_nationkey <= 5 THEN 0.001::DOUBLE * (9 * n_nationkey / 5 + 1) ELSE 0.005::DOUBLE * (1 + cos(pi() * ((n_nationkey - 5) % 10) / 10)) END, 9) AS lr FROM nation")
+def schedule_lr(spark, d):
+    return t.load(spark, d, "nation").select(F.col("n_nationkey").alias("epoch"), F.round(fn.learning_rate(F.col("n_nationkey"), 0.001, 10, 5, 19), 9).alias("lr"))
+
+
+@query("SELECT c_custkey, least(200, CASE WHEN n >= 900 THEN b ELSE 900 * b // n END)::BIGINT AS epochs FROM (SELECT c_custkey, c_custkey % 1000 + 50 AS n, CASE WHEN c_custkey * 97 % 20000 >= 1536 THEN 39 ELSE 35 END AS b FROM customer)")
+def epoch_rule(spark, d):
+    n50, n = F.col("c_custkey") * 97 % 20000, F.col("c_custkey") % 1000 + 50
+    return t.load(spark, d, "customer").select("c_custkey", fn.epochs(n50, n, 35, 900).alias("epochs"))
+
+
+@query(f"WITH {t.NEAR} SELECT src, dst, round(exp(-d2 / 0.5), 6) AS weight, round(exp(-sqrt(d2) / 0.5), 6) AS weight_root FROM nn")
+def edge_weight(spark, d):
+    near = vectors.knn(t.vectors(spark, d).drop("label"), 5)
+    return near.select("src", "dst", F.round(fn.edge_weight(F.col("d2"), 0.5), 6).alias("weight"), F.round(fn.edge_weight(F.col("d2"), 0.5, False), 6).alias("weight_root"))
+
+
+@query(f"WITH {t.NEAR}, e AS (SELECT src, dst, exp(-d2 / 0.5) AS w FROM nn WHERE src > dst), n AS (SELECT label, sum(1 + id % 7) AS s FROM v GROUP BY ALL), i AS (SELECT a.label, sum(w) AS w FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE a.label = b.label GROUP BY ALL), p AS (SELECT (SELECT sum(w) FROM e) / ((SELECT sum(s) FROM n) * ((SELECT sum(s) FROM n) - 1) / 2.0) AS p) SELECT label AS community, round(coalesce(w, 0) - 2 * p * s * (s - 1) / 2.0, 6) AS q FROM n LEFT JOIN i USING (label), p")
+def rber_quality(spark, d):
+    v = t.vectors(spark, d)
+    e = vectors.knn(v.drop("label"), 5).where("src > dst").select("src", "dst", fn.edge_weight(F.col("d2"), 0.5).alias("weight"))
+    nodes = v.select("id", F.col("label").alias("community"), (1 + F.col("id") % 7).alias("size"))
+    return vectors.rber_quality(e, nodes, 2.0).select("community", F.round("q", 6).alias("q"))
+
+
+@query(f"WITH {t.PAIRS}, m AS (SELECT src, la, lb, avg(sqrt(d2)) AS m FROM pr GROUP BY ALL), s AS (SELECT src, la, max(m) FILTER (la = lb) AS a, min(m) FILTER (la <> lb) AS b FROM m GROUP BY ALL) SELECT la AS label, count(*) AS n, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS s FROM s GROUP BY la")
+def silhouette(spark, d):
+    return vectors.silhouette(t.vectors(spark, d)).groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("s"))
+
+
+_CENTRES = f"{t.VECTORS}, c AS (SELECT label, i, avg(vec[i]) AS m FROM v, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), dots AS (SELECT v.id, v.label AS own, c.label, sum(vec[i] * m) AS dot FROM v, c GROUP BY ALL)"
+
+
+@query(f"WITH {_CENTRES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(dot, 9) DESC, label) AS r FROM dots) SELECT k::INTEGER AS k, round(avg(CASE WHEN r <= k THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM r, (SELECT unnest([1, 3, 5]) AS k) WHERE label = own GROUP BY ALL")
+def topk_accuracy(spark, d):
+    score = F.transform("centres", lambda c: F.struct((-F.round(fn.dot(F.col("vec"), c["mean"]), 9)).alias("s"), c["label"].alias("label")))
+    ranked = vectors.with_centres(t.vectors(spark, d), "label").select(F.array_position(F.transform(F.array_sort(score), lambda x: x["label"]), F.col("label")).alias("r"))
+    return ranked.select("r", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5)])).alias("k")).groupBy("k").agg(F.round(F.avg(F.when(F.col("r") <= F.col("k"), 1.0).otherwise(0.0)), 9).alias("accuracy"))
+
+
+_S = "(sqrt({k} * {k} + {b} * {b}) - {b} - {a} * ln(({a} + sqrt({k} * {k} + {b} * {b})) / ({a} + {b})))"
+
+
+@query(f"WITH {_CENTRES}, b AS (SELECT label, sqrt(sum(m * m)) AS r FROM c GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM v GROUP BY ALL), k AS (SELECT label, r, n, (r * 64 - r * r * r) / (1 - r * r) AS k FROM b JOIN n USING (label)), l AS (SELECT *, least(k, sqrt((3 * 31 + 5.5) * 32.5)) AS lo FROM k), f AS (SELECT id, label, ln(n::DOUBLE) + k * dot / r - ({_S.format(k='k', a='31.5::DOUBLE', b='31.5::DOUBLE')} + {_S.format(k='lo', a='31.0::DOUBLE', b='33.0::DOUBLE')} - {_S.format(k='lo', a='31.5::DOUBLE', b='31.5::DOUBLE')}) AS f FROM dots JOIN l USING (label)) SELECT id, label, round(exp(f - max(f) OVER (PARTITION BY id)) / sum(exp(f)) OVER (PARTITION BY id) * exp(max(f) OVER (PARTITION BY id)), 6) AS p FROM f")
+def vmf_e_step(spark, d):
+    v = vectors.with_centres(t.vectors(spark, d), "label")
+    r = lambda c: F.sqrt(fn.dot(c["mean"], c["mean"]))
+    kappa = lambda c: (r(c) * 64 - F.pow(r(c), F.lit(3))) / (1 - r(c) * r(c))
+    logits = F.transform("centres", lambda c: F.ln(c["n"].cast("double")) + fn.vmf_log_density(fn.dot(F.col("vec"), c["mean"]) / r(c), kappa(c), 64))
+    parts = v.select("id", F.transform("centres", lambda c: c["label"]).alias("labels"), logits.alias("f")).select("id", F.explode(F.arrays_zip("labels", fn.softmax(F.col("f")).alias("p"))).alias("x"))
+    return parts.select("id", F.col("x.labels").alias("label"), F.round("x.p", 6).alias("p"))
+
+
+@query(f"WITH {t.ALIGNED}, {t.QUALITY}, f AS (SELECT bin, max(f1) AS f1 FROM cnt GROUP BY bin), s AS (SELECT rep AS bin, max(comp) AS comp, count(*) AS n FROM q GROUP BY rep) SELECT n_name AS genome, f.bin, round(f1, 9) AS f1, round(comp, 6) AS comp, n FROM f JOIN s USING (bin) JOIN nation ON n_nationkey = f.bin")
+def gather_info(spark, d):
+    f1 = _counts(spark, d).groupBy("bin").agg(F.max("f1").alias("f1"))
+    q = t.quality(spark, d).groupBy(F.col("rep").alias("bin")).agg(F.max("comp").alias("comp"), F.count(F.lit(1)).alias("n"))
+    names = t.load(spark, d, "nation").select(F.col("n_nationkey").alias("bin"), F.col("n_name").alias("genome"))
+    return f1.join(q, "bin").join(names, "bin").select("genome", "bin", F.round("f1", 9).alias("f1"), F.round("comp", 6).alias("comp"), "n")
+
+
+@query()
+def clan_filter(spark, d):
+    part = t.load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("PF"), F.regexp_replace("p_brand", r"\D", ""), F.lit(".1")).alias("acc"), (F.col("p_size") % 3).cast("string").alias("clan"))
+    li = t.load(spark, d, "lineitem").join(part, "l_partkey")
+    st = F.col("l_linenumber").cast("long") * 5
+    return markers.without_clan_rivals(li.select(F.col("l_orderkey").alias("orf"), "acc", "clan", F.col("l_discount").alias("full_e"), F.col("l_tax").alias("i_e"), st.alias("st"), (st + F.col("l_quantity").cast("long")).alias("en")))

@@ -52,3 +52,17 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+def test_clan_rivals(spark):
+    rows = [("o", "PF1.1", "c", 1e-9, 1.0, 0, 10), ("o", "PF2.1", "c", 1e-8, 1.0, 5, 12), ("o", "PF3.1", "c", 1e-7, 1.0, 11, 20), ("o", "PF4.1", "d", 1e-6, 1.0, 0, 10), ("o", "PF5.1", "c", 1e-5, 1.0, 2, 4), ("o", "TIGR1", None, 1.0, 1.0, 0, 10), ("p", "PF2.1", "c", 1e-8, 1.0, 5, 12)]
+    df = spark.createDataFrame(rows, "orf string, acc string, clan string, full_e double, i_e double, st long, en long")
+    left = {(r.orf, r.acc) for r in markers.without_clan_rivals(df, [("PF1", "PF5")]).collect()}
+    assert left == {("o", "PF1.1"), ("o", "PF3.1"), ("o", "PF4.1"), ("o", "PF5.1"), ("o", "TIGR1"), ("p", "PF2.1")}
+
+
+def test_top_batches_ties(spark):
+    rows = spark.createDataFrame([("d", 5), ("b", 5), ("a", 9), ("c", 5), ("e", 1)], "contig string, len long")
+    assert {r.contig for r in sequences.top_batches(rows, 2).collect()} == {"a", "b", "c", "d"}
+    assert {r.contig for r in sequences.top_batches(rows, 3).collect()} == {"a", "b", "c"}
+    assert sequences.top_batches(rows, 6).count() == 0
