@@ -4,7 +4,7 @@ Pattern packing: the histogram of piece lengths (at most ``LENGTH`` numbers, wha
 counts of patterns of one to three lengths with non-negative least squares; the counts are rounded down to what the
 histogram has, and what is left is packed best fit first, longest pieces first, again by counts. The outcome is a list
 of runs: ``k`` sequences alike, and for each of their slots the ranks of the pieces that fill it. The list has some
-thousands of entries at any scale, so it is broadcast; a piece finds its sequence by its length and its rank among the
+ten thousands of entries at any scale, so it is broadcast; a piece finds its sequence by its length and its rank among the
 pieces of that length. Ranks are counted in each task and offset by a sum over tasks, so no length is one task's.
 
 Odd cases: a null text counts as an empty one and is the single token 0. Repeated rows are packed each by itself. A
