@@ -55,13 +55,13 @@ def quality(spark: SparkSession, d: str) -> DataFrame:
 
 def marker_counts(spark: SparkSession, d: str) -> DataFrame:
     """bin (nation of the order's customer), gene (brand), n"""
-    li = load(spark, d, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey % 40 = 0")
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     part = load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("gene"))
     order = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("bin"))
     return li.join(order, "l_orderkey").join(part, "l_partkey").groupBy("bin", "gene").agg(F.count(F.lit(1)).alias("n"))
 
 
-MARKERS = """mk AS (SELECT o_custkey AS bin, p_brand AS gene, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 40 = 0 GROUP BY ALL)"""
+MARKERS = """mk AS (SELECT o_custkey AS bin, p_brand AS gene, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)"""
 
 
 def marker_sets(spark: SparkSession, d: str, k: int) -> DataFrame:
