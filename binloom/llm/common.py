@@ -68,6 +68,22 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+#: A key is hot if it holds more than one row in this many; so there are fewer hot keys than this.
+HOT_SHARE = 256
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, on: list[str], count: str, total: float) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, which has one row a key and the rows of that key in ``count``.
+
+    Of ``total`` rows, keys with more than one in HOT_SHARE are fewer than HOT_SHARE, whatever the input, so their side
+    is broadcast and their rows stay where they are; all other keys are joined as usual.
+    """
+    is_hot = F.col(count) > total / HOT_SHARE
+    hot = F.broadcast(per_key.where(is_hot).drop(count))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(per_key.where(~is_hot).drop(count), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once for each row, also where ``body`` names it inside a lambda."""
     return F.transform(F.array(value), body)[0]

@@ -7,7 +7,7 @@ each smoothed by the level above with ``SMOOTH`` pseudo-counts; a page's own cou
 
 The text models are fitted on the ``SAMPLE`` documents of least hash that have a language (a documented bound, the same
 at every size) in one task; they have a fixed size for each language and are broadcast. Counts of a host are aggregated
-before the shuffle and joined as one row a host and language map.
+before the shuffle and joined as one row a host; hosts with many pages are joined by broadcast.
 
 Odd cases: a null or blank html has no text and relies on the other evidence; a null url has the empty host. A null
 ``page_id`` stays null. Repeated pages give a row each. No pages, no rows; without any labelled documents the language is null. Other columns are ignored.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BIN, DBL, LONG, STR, own_columns, schema, stored
+from .common import BIN, DBL, LONG, STR, join_hot, own_columns, schema, stored
 
 SAMPLE, BUCKETS, SMOOTH = 4000, 1 << 16, 2.0
 #: Trigrams overlap, so a text's log-likelihood counts for less, and no more than for this many trigrams.
@@ -113,16 +113,16 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     seen = seen.withColumn("own", _add(F.col("text"), F.transform(says, lambda v: F.log(v)))).withColumn("q", _share(_normal(F.col("own"))))
     seen = stored(seen.drop("url"), "evidence")
     # expected counts at each level; a level's rows are added up before the shuffle
-    sums = lambda d, *by: d.groupBy(*by).agg(*[F.sum(F.col("q")[i]).alias(f"n{i}") for i in range(k)])
+    sums = lambda d, *by: d.groupBy(*by).agg(*[F.sum(F.col("q")[i]).alias(f"n{i}") for i in range(k)], F.count(F.lit(1)).alias("rows"))
     packed = lambda name: F.array(*[f"n{i}" for i in range(k)]).alias(name)
     hosts = sums(seen, "suffix", "domain", "host")
-    up = lambda d, *by: d.groupBy(*by).agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(k)])
+    up = lambda d, *by: d.groupBy(*by).agg(*[F.sum(c).alias(c) for c in (*[f"n{i}" for i in range(k)], "rows")])
     domains = up(hosts, "suffix", "domain")
     suffixes = up(domains, "suffix")
     everything = up(suffixes).first()  # one row
     every = F.array(*[F.lit(float(everything[i] or 0.0)) for i in range(k)])
-    levels = hosts.select("suffix", "domain", "host", packed("at_host")).join(domains.select("suffix", "domain", packed("at_domain")), ["suffix", "domain"]).join(suffixes.select("suffix", packed("at_suffix")), "suffix")
-    joined = seen.join(levels, ["suffix", "domain", "host"])
+    levels = hosts.select("suffix", "domain", "host", "rows", packed("at_host")).join(domains.select("suffix", "domain", packed("at_domain")), ["suffix", "domain"]).join(suffixes.select("suffix", packed("at_suffix")), "suffix")
+    joined = join_hot(seen, levels, ["suffix", "domain", "host"], "rows", everything["rows"] or 0)
 
     def smoothed(counts: Column, above: Column) -> Column:
         """Shares of a level without the page's own part, drawn to those of the level above."""
