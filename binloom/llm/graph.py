@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_hot, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("rows"))
+    return join_hot(both, least, ["a"], "rows", 2 * n).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    tied = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("rows"))
+    tied = join_hot(down, least, ["a"], "rows", n).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -25,11 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node of ``edges(a long, b long)`` but the least of its component, with that least node.
 
     Alternating large and small stars: as many rounds as the logarithm of the longest path, each written to the shared
-    folder. A hub's rows are aggregated before the shuffle; its join is one that adaptive execution splits.
+    folder. A hub's rows are aggregated before the shuffle and take the least neighbour by broadcast (``join_hot``).
     """
     seen, now = None, edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     while True:
-        now = stored(_small_star(_large_star(now)) if seen is not None else now, "stars")
+        now = stored(_small_star(_large_star(now, seen[0]), seen[0]) if seen is not None else now, "stars")
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == seen or mark[0] == 0:
             return now
