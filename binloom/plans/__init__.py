@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import evaluation, intervals, markers, selection, sequences, vectors
+from ..operators import clustering, evaluation, intervals, markers, selection, sequences, vectors
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -493,3 +493,47 @@ def clan_filter(spark, d):
     li = t.load(spark, d, "lineitem").join(part, "l_partkey")
     st = F.col("l_linenumber").cast("long") * 5
     return markers.without_clan_rivals(li.select(F.col("l_orderkey").alias("orf"), "acc", "clan", F.col("l_discount").alias("full_e"), F.col("l_tax").alias("i_e"), st.alias("st"), (st + F.col("l_quantity").cast("long")).alias("en")))
+
+
+# --- clustering
+
+
+@query(f"WITH {t.VECTORS}, s AS (SELECT a.id, a.id // 2 = b.id // 2 AS same, list_sum(list_transform(range(1, 65), lambda i: a.vec[i] * b.vec[i])) / 0.15::DOUBLE AS s FROM v a, v b WHERE a.id <> b.id), r AS (SELECT id, ln(sum(exp(s))) - sum(s) FILTER (same) AS l FROM s GROUP BY id) SELECT count(*) AS n, round(avg(l), 6) AS loss FROM r")
+def infonce(spark, d):
+    v = t.vectors(spark, d).drop("label").withColumn("instance", F.expr("id div 2"))
+    return clustering.infonce(v, 0.15).select("n", F.round("loss", 6).alias("loss"))
+
+
+@query()
+def kmeans_seeded(spark, d):
+    v = t.vectors(spark, d)
+    seeds = v.groupBy("label").agg(F.min("id").alias("id"))  # a seed for each copy of a marker
+    weighted = v.select("id", "vec", fn.length_weight(1000 + F.col("id") % 977, 768).alias("weight"))
+    return clustering.kmeans_seeded(weighted, seeds).withColumn("d2", F.round("d2", 6))
+
+
+@query()
+def community_labels(spark, d):
+    v = t.vectors(spark, d)
+    edges = vectors.build_edges(vectors.knn(v.drop("label"), 5), 0.75, 0.5)
+    first = v.groupBy("label").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("fixed"))
+    nodes = v.select("id", (1 + F.col("id") % 7).alias("size")).join(first, "id", "left").fillna(False, ["fixed"])
+    return clustering.communities(edges, nodes, 2.0)
+
+
+@query("SELECT c_custkey AS cluster, CASE WHEN c_custkey * 31 % 12000 <= 10000 THEN 'von' ELSE 'flspp' END AS von, CASE WHEN c_custkey * 31 % 12000 BETWEEN 150 AND 1850 THEN 'von' ELSE 'flspp' END AS mix, greatest(0, least(c_custkey * 31 % 12000 - 1, c_custkey % 9 + 2) - greatest(2, c_custkey % 9 - 2) + 1)::INTEGER AS tries FROM customer")
+def split_choice(spark, d):
+    n, groups = F.col("c_custkey") * 31 % 12000, F.col("c_custkey") % 9
+    return t.load(spark, d, "customer").select(F.col("c_custkey").alias("cluster"), clustering.algorithm(n, "von").alias("von"), clustering.algorithm(n, "mix").alias("mix"), F.size(clustering.split_counts(groups, n)).alias("tries"))
+
+
+@query(f"WITH {t.QUALITY} SELECT bin, CASE WHEN cont > 10 THEN 'split' ELSE 'keep' END AS first, CASE WHEN cont > 10 THEN 'split' WHEN cont > 5 THEN 'allocate' ELSE 'keep' END AS again FROM q")
+def refine_action(spark, d):
+    return t.quality(spark, d).select("bin", clustering.action(F.col("cont"), 0).alias("first"), clustering.action(F.col("cont"), 1).alias("again"))
+
+
+@query()
+def unlearned_split(spark, d):
+    members = t.load(spark, d, "orders").select(F.col("o_custkey").alias("cluster"), F.col("o_orderkey").alias("contig"), F.round("o_totalprice").cast("long").alias("len"))
+    counts = t.load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("contig")).agg(F.countDistinct("l_partkey").alias("n_genes"))
+    return clustering.unlearned_split(first_fit_allocate(spark, d).join(counts, "contig"), members)
