@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..steps import written
+
 
 def fasta(spark: SparkSession, path: str, drop_plasmids: bool = True, trim_header: bool = False) -> DataFrame:
     """name, seq of FASTA records (also gzip): wrapped lines joined, upper case, blank lines skipped, of repeated names the last."""
@@ -72,3 +74,131 @@ def gene_contig(orf):
 def write_tsv(df: DataFrame, path: str, header: bool = False, by: list[str] | None = None) -> None:
     w = df.write.option("sep", "\t").option("header", header)
     (w.partitionBy(*by) if by else w).csv(path)
+
+
+def _fields(spark: SparkSession, path: str, skip: str | None = None) -> DataFrame:
+    """Lines (``at``: their order) as arrays of tab-separated fields."""
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.split("value", "\t").alias("p"), "value")
+    return rows.where(F.trim("value") != "") if skip is None else rows.where((F.trim("value") != "") & ~F.col("value").rlike(skip))
+
+
+def marker_table(spark: SparkSession, path: str) -> DataFrame:
+    """contig, gene, n of a table bin, gene, frame with a header; of a merged frame ``a&&b`` the left one counts."""
+    rows = tsv(spark, path, "bin string, gene string, orf string", header=True)
+    return rows.groupBy(gene_contig(F.split_part("orf", F.lit("&&"), F.lit(1))).alias("contig"), "gene").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quality_report(spark: SparkSession, path: str, suffix: str = "", columns: tuple[int, int, int] = (0, 1, 2)) -> DataFrame:
+    """name, comp, cont, state; ``columns`` are the places of the three fields, lines whose numbers don't parse (headers) are skipped."""
+    from ..functions import quality_state
+
+    name, comp, cont = (F.col("p")[i] for i in columns)
+    rows = _fields(spark, path).select(F.concat(name, F.lit(f".{suffix.lstrip('.')}" if suffix else "")).alias("name"), comp.try_cast("double").alias("comp"), cont.try_cast("double").alias("cont"))
+    return rows.where("comp is not null and cont is not null").withColumn("state", quality_state(F.col("comp"), F.col("cont")))
+
+
+def dereplication(spark: SparkSession, path: str) -> DataFrame:
+    """rep, member: the file names of a table of paths."""
+    base = lambda i: F.element_at(F.split(F.col("p")[i], "/"), -1)
+    return _fields(spark, path).select(base(0).alias("rep"), base(1).alias("member"))
+
+
+def clusters(spark: SparkSession, path: str, lengths: DataFrame, least_bp: int = 0) -> DataFrame:
+    """cluster, contig, len of a table contig, cluster; only clusters of at least ``least_bp`` together. ``lengths(contig, len)``."""
+    rows = _fields(spark, path).select(F.regexp_replace(F.col("p")[0], "^>", "").alias("contig"), F.col("p")[1].alias("cluster")).join(lengths.select("contig", "len"), "contig")
+    whole = rows.groupBy("cluster").agg(F.sum("len").alias("bp")).where(F.col("bp") >= least_bp).select("cluster")
+    return rows.join(whole, "cluster", "left_semi").select("cluster", "contig", "len")
+
+
+def protein_search(spark: SparkSession, path: str) -> DataFrame:
+    """bin, contig, line of a search whose queries are ``binΩcontig_orf``."""
+    name = F.col("p")[0]
+    return _fields(spark, path).select(F.split_part(name, F.lit("Ω"), F.lit(1)).alias("bin"), gene_contig(F.split_part(name, F.lit("Ω"), F.lit(2))).alias("contig"), F.col("value").alias("line"))
+
+
+def translation_table(spark: SparkSession, path: str) -> DataFrame:
+    """file, transl_table: the code that the header of each gene file names."""
+    found = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_extract("value", r"transl_table=(\d+)", 1).alias("code")).where("code != ''")
+    return found.groupBy("file").agg(F.max(F.col("code").cast("int")).alias("transl_table"))
+
+
+def clans(spark: SparkSession, path: str) -> DataFrame:
+    """id, acc, clan, nested of each family of an annotation file whose records end with ``//``."""
+    field = lambda k: F.regexp_extract("value", rf"(?m)^#=GF {k}\s+([^\s;]+)", 1)
+    rows = spark.read.text(path, lineSep="//").where(field("AC") != "")
+    return rows.select(field("ID").alias("id"), F.regexp_replace(field("AC"), r"\.[^.]*$", "").alias("acc"), F.nullif(field("CL"), F.lit("")).alias("clan"), F.regexp_extract_all("value", F.lit(r"(?m)^#=GF NE\s+([^\s;]+)"), 1).alias("nested"))
+
+
+def truth(spark: SparkSession, path: str, subjects: bool = True, shorter: bool = False) -> DataFrame:
+    """contig, genome, subject, st, en (half open) of known origins: closed intervals of a subject, or whole contigs by length.
+
+    Of a repeated contig the longest interval stays, with ``shorter`` the shortest.
+    """
+    p = F.col("p")
+    if subjects:
+        cols = [p[2].alias("subject"), p[3].cast("long").alias("st"), (p[4].cast("long") + 1).alias("en")]
+    else:
+        cols = [p[0].alias("subject"), F.lit(0).cast("long").alias("st"), p[2].cast("long").alias("en")]
+    rows = _fields(spark, path, "^#").select("at", p[0].alias("contig"), p[1].alias("genome"), *cols)
+    rows = rows.withColumn("en", F.when(F.col("en") > F.col("st"), F.col("en")).otherwise(F.raise_error(F.concat(F.lit("empty interval of "), "contig")).cast("long")))
+    size = F.col("en") - F.col("st")
+    rank = F.row_number().over(Window.partitionBy("contig").orderBy(size if shorter else -size, "at"))
+    return rows.withColumn("rank", rank).where("rank = 1").select("contig", "genome", "subject", "st", "en")
+
+
+def taxonomy(spark: SparkSession, path: str, ranks: list[str]) -> DataFrame:
+    """genome and its ranks; fails if a taxon has two parents or a genome two rows."""
+    names = ["genome", *ranks]
+    rows = _fields(spark, path, "^#").select(*[F.col("p")[i].alias(n) for i, n in enumerate(names)])
+    if rows.groupBy("genome").count().where("count > 1").limit(1).count():
+        raise ValueError("a genome has two rows")
+    for low, high in zip(ranks, ranks[1:]):
+        twice = rows.groupBy(low).agg(F.min(high).alias("a"), F.max(high).alias("b")).where("a != b").limit(1).collect()
+        if twice:
+            raise ValueError(f"{low} {twice[0][0]} is part of {twice[0].a} and of {twice[0].b}")
+    return rows
+
+
+def bins(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """bin, contig; with a separator the bin is split by the sample, what stands before the separator in the contig's name."""
+    rows = _fields(spark, path, "^#").select(F.col("p")[0].alias("bin"), F.col("p")[1].alias("contig"))
+    if separator is None:
+        return rows
+    return rows.withColumn("bin", F.concat(F.split_part("contig", F.lit(separator), F.lit(1)), F.lit(separator), "bin"))
+
+
+def bin_folder(spark: SparkSession, path: str, suffix: str = "fasta") -> DataFrame:
+    """bin, contig of a folder of FASTA files, one a bin."""
+    rows = spark.read.option("pathGlobFilter", f"*.{suffix.lstrip('.')}").text(path).where(F.col("value").startswith(">"))
+    return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("bin"), F.element_at(F.split(F.expr("substr(value, 2)"), r"\s+"), 1).alias("contig"))
+
+
+def genome_lengths(seqs: DataFrame) -> DataFrame:
+    """genome, len: bases of the sequences ``name`` = genome|contig."""
+    return seqs.groupBy(F.split_part("name", F.lit("|"), F.lit(1)).alias("genome")).agg(F.sum(F.length("seq").cast("long")).alias("len"))
+
+
+def depth_table(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
+    """contig and its depths: column 3, or every second one from there, with the line order ``at``."""
+    p = F.col("p")
+    every = F.transform(F.filter(p, lambda x, i: (i >= 3) & (i % 2 == 1)) if many else F.slice(p, 4, 1), lambda x: x.try_cast("double"))
+    return _fields(spark, path).where(p[1].try_cast("double").isNotNull()).select("at", p[0].alias("contig"), every.alias("depth"))
+
+
+def write_renamed_fasta(df: DataFrame, path: str, per_file: int | None = None, seed: int = 7) -> None:
+    """``df(name, seq)`` as FASTA, renamed by rank of the name and by length; with ``per_file`` shuffled into files of so many records."""
+    ranked = df.orderBy("name").select("name", "seq")  # range partitions: a rank is an offset of its partition
+    parts = written(ranked.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    before = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
+    named = parts.join(before, "part").select(F.concat(F.lit("Contig_"), (F.col("at") + F.col("base")).cast("string"), F.lit("_"), F.length("seq").cast("string")).alias("name"), "seq")
+    if per_file is None:
+        return write_fasta(named, path)
+    text = named.orderBy(F.xxhash64("name", F.lit(seed))).select(F.concat(F.lit(">"), "name", F.lit("\n"), F.rtrim(F.regexp_replace("seq", "(.{60})", "$1\n"))).alias("value"))
+    text.write.option("maxRecordsPerFile", per_file).text(path)
+
+
+def selected(quality: DataFrame, sizes: DataFrame, prefix: str = "Bin", least_bp: int = 0) -> DataFrame:
+    """name, bin, comp, cont, state, bp: bins of at least ``least_bp``, numbered without gaps, best first. One row a bin."""
+    rows = quality.join(sizes, "bin").where(F.col("bp") >= least_bp)
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("comp"), "cont", "bin")
+    return rows.select(F.concat(F.lit(f"{prefix}_"), (F.row_number().over(order) - 1).cast("string")).alias("name"), "bin", "comp", "cont", "state", "bp")
