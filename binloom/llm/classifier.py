@@ -8,8 +8,9 @@ The model is fitted on the ``SAMPLE`` labelled rows of least hash among those wi
 documented bound, the same at every size), in one task; its weights have a fixed size and are broadcast.
 
 Odd cases: null and wordless texts score by the intercept alone. A null ``doc_id`` isn't held out and is never trained
-on. Labels that are null, or of no document, are left out; repeated ones count each. Without any labels all scores are
-0.5. Repeated documents give a row each. No documents, no rows. Other columns are ignored.
+on. Labels that are null, or of no document, are left out; repeated ones count once, as do documents that share an id
+(the least text). Without any labels all scores are 0.5. Repeated documents give a row each. No documents, no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -148,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes:
     mine = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     mine = mine.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "y").limit(SAMPLE)
     own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
-    rows = own.join(F.broadcast(mine), "doc_id")  # SAMPLE rows
-    rows = rows.repartition(1).sortWithinPartitions("h", "y", F.xxhash64("text")).select("text", "y")
+    rows = own.join(F.broadcast(mine), "doc_id").groupBy("h", "doc_id", "y").agg(F.min("text").alias("text"))  # SAMPLE rows, however often an id repeats
+    rows = rows.repartition(1).sortWithinPartitions("h", "y", "doc_id").select("text", "y")
     found = rows.mapInArrow(_train, schema(weights=BIN)).first()
     return bytes(found[0]) if found else bytes(4 * ((1 << BITS) + 1))
 
