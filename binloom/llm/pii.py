@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -179,7 +180,8 @@ TYPES: list[tuple[str, str | None, re.Pattern, Callable[[str, bytes], str]]] = [
     ("phone", None, re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"), _phone),
     ("mac", ":", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9a-f]{2}:){5}[0-9a-f]{2}(?![0-9A-Fa-f:])|(?<![0-9A-Fa-f:])(?:[0-9A-F]{2}:){5}[0-9A-F]{2}(?![0-9A-Fa-f:])"), lambda v, k: permute(v, [None if c == ":" else HEX_LOW if v == v.lower() else HEX_UP for c in v], k, "mac")),
 ]
-_NAMED = re.compile(r"(?<!\w)([A-ZА-ЯΑ-Ω][^\W\d_]+) ((?:(?:van|von|de|da|di|del) )?[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?)\b")
+#: Only the first word is consumed, so the next one may be a given name itself.
+_NAMED = re.compile(r"(?<!\w)([A-ZА-ЯΑ-Ω][^\W\d_]+)(?= ((?:(?:van|von|de|da|di|del) )?[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?)\b)")
 #: Types that need a digit; most texts have none.
 _DIGITS = {"ip", "iban", "card", "ssn", "phone", "mac"}
 _DIGIT, _WORDS = re.compile(r"[0-9]"), ("token", "secret", "key", "passw", "pwd", "akia")
@@ -201,15 +203,16 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             a, z = m.span(m.lastindex or 0)
             if not any(a < y and x < z for x, y, _ in found) and _plausible(kind, m):
                 found.append((a, z, kind))
-    surnames = set()
-    for m in _NAMED.finditer(text):
-        if m[1] in _GENDER and m[2].split(" ")[-1][0].isupper():
-            found.append((*m.span(1), "given"))
-            surnames.add(m[2].split(" ")[-1])
-    if surnames:  # a person's surname by itself is the same person
-        for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(surnames, key=lambda s: (-len(s), s)))) + r")\b", text):
-            if not any(m.start() < y and x < m.end() for x, y, _ in found):
-                found.append((*m.span(), "surname"))
+    full = [m for m in _NAMED.finditer(text) if m[1] in _GENDER and m[2].split(" ")[-1][0].isupper()]
+    if full:  # a person's given name or surname by itself is the same person
+        given, at = {m[1] for m in full}, {m.start() for m in full}
+        last = {m.end(2) - len(m[2].split(" ")[-1]): m[2].split(" ")[-1] for m in full}
+        last = {i: w for i, w in last.items() if i not in at}  # of several given names only the last has the surname after it
+        taken = sorted(found)
+        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(given | set(last.values()), key=lambda s: (-len(s), s)))) + r")(?!\w)", text):
+            k = bisect_left(taken, (m.end(),))  # of what begins before the name ends, the last ends last
+            if not k or taken[k - 1][1] <= m.start():
+                found.append((*m.span(), "given" if m[0] in given and m.start() not in last else "surname"))
     return sorted(found)
 
 

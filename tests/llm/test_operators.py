@@ -130,6 +130,17 @@ def test_pii(spark, odd, empty):
     assert pii.replace(odd).columns == odd.columns and pii.report(empty).count() == 0 and pii.collisions(odd).count() == 0
 
 
+def test_pii_names():
+    cases = ["Contact Anna Schmidt today. Then Anna left.", "Dr Anna Schmidt", "Dear John Smith, John wrote", "Then Anna van Dyk and Schmidt", "Anna Maria Schmidt met Maria", "Herr Martin Paul and Anna Martin; Martin left"]
+    want = [["Anna", "Schmidt", "Anna"], ["Anna", "Schmidt"], ["John", "Smith", "John"], ["Anna", "Dyk"], ["Anna", "Maria", "Schmidt", "Maria"], ["Martin", "Paul", "Anna", "Martin", "Martin"]]
+    for text, names in zip(cases, want):
+        new, made, _ = pii.replaced(text)
+        assert [m[1] for m in made] == names and all(m[1] != m[2] for m in made)
+        assert len({m[2] for m in made if m[:2] == made[0][:2]}) == 1 and new.split()[0] == (made[0][2] if text.startswith("Anna") else text.split()[0])
+    assert pii.replaced("Anna came. In May Paris was warm")[1] == []
+    assert [m[0] for m in pii.replaced("password=Margot Schmidt, Margot")[1]] == ["secret", "surname", "given"]
+
+
 def test_packing(spark, odd, empty):
     texts = [" lead", "two  spaces  x ", "\n a\n\nb \t c\r\nd", "x<|endoftext|>y z", "it's 'll we're\n's 12", "", "a\x1cb \x1c c", "é ̀x 文字　です"]
     a, b = packing.Encoder(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path("byte_bpe_50k.json"))
