@@ -4,7 +4,7 @@ Detected entities are replaced by values of the same type and format. The replac
 values of that format (digits by digits, consonants by consonants, vowels by vowels, case and punctuation as they are;
 given names by given names of the same gender and script), so equal entities get equal surrogates in every document
 (coreference) and different ones different surrogates, without a table of entities. The permutation is a shift between
-a keyed enciphering and its inverse, which leaves no value as it is. Check digits are renewed. Two checks follow: in each document, two entities with
+a keyed enciphering and its inverse, which leaves no value as it is. Digits of any script count and keep their script. Check digits are renewed. Two checks follow: in each document, two entities with
 one surrogate or a surrogate that the text holds elsewhere are counted in ``n_collisions``; ``collisions`` looks for two
 originals with one surrogate over a whole corpus.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -95,6 +96,29 @@ def _by_class(value: str, key: bytes, what: str) -> str:
     return permute(value, [_CLASS.get(c) for c in value], key, what)
 
 
+def _plain(value: str) -> str:
+    """Decimal digits of any script as ASCII digits."""
+    return value if value.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in value)
+
+
+def _as_written(make: Callable[[str, bytes], str]) -> Callable[[str, bytes], str]:
+    """``make`` for values in digits of any script: the same number in two scripts gets one surrogate, its digits written as the original's."""
+
+    def run(value: str, key: bytes) -> str:
+        new = make(_plain(value), key)
+        if value.isascii():
+            return new
+        zeros = [ord(c) - unicodedata.decimal(c) for c in value if c.isdecimal()]
+        out, k = [], 0
+        for c in new:
+            if c.isdecimal():
+                c, k = chr(zeros[min(k, len(zeros) - 1)] + int(c)), k + 1  # only an address can get more digits
+            out.append(c)
+        return "".join(out)
+
+    return run
+
+
 def _luhn(digits: str) -> int:
     """Check digit after ``digits``."""
     return -sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)))) % 10
@@ -157,7 +181,7 @@ def _given(value: str, key: bytes) -> str:
 
 
 def _plausible(kind: str, m: re.Match) -> bool:
-    v = m[0]
+    v = _plain(m[0])
     if kind == "ip":
         return all(int(x) < 256 and str(int(x)) == x for x in v.split("."))
     if kind == "iban":
@@ -172,19 +196,19 @@ def _plausible(kind: str, m: re.Match) -> bool:
 TYPES: list[tuple[str, str | None, re.Pattern, Callable[[str, bytes], str]]] = [
     ("email", "@", re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,24}(?![\w@])", re.A), _email),
     ("secret", None, re.compile(r"""(?i:(?<![A-Za-z])(?:token|secret|api[_-]?key|password|passwd|pwd|access[_-]?key)["']?\s*[=:]\s*["']?)([A-Za-z0-9+/_.~-]{6,256}={0,2})"""), _secret),
-    ("secret", None, re.compile(r"(?<![A-Za-z0-9])(?=[a-z]*\d)(?=\d*[a-z])[0-9a-f]{32,128}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[A-Z]*\d)(?=\d*[A-Z])[0-9A-F]{32,128}(?![A-Za-z0-9])|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})\b"), _secret),
-    ("ip", ".", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), _ip),
-    ("iban", None, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    ("card", None, re.compile(r"(?<![\d.])(?:\d{4}[ -]){3}\d{4}(?:[ -]?\d{1,3})?(?![\d])|(?<![\d.])\d{13,19}(?!\d)"), _card),
-    ("ssn", "-", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), lambda v, k: permute(v, ["0123456789" if c.isdigit() else None for c in v], k, "ssn")),
-    ("phone", None, re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"), _phone),
+    ("secret", None, re.compile(r"(?<![A-Za-z0-9])(?=[a-z]*[0-9])(?=[0-9]*[a-z])[0-9a-f]{32,128}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[0-9A-F]{32,128}(?![A-Za-z0-9])|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})\b"), _secret),
+    ("ip", ".", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), _as_written(_ip)),
+    ("iban", None, re.compile(r"(?<![A-Za-z\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![A-Za-z\d])"), _as_written(_iban)),
+    ("card", None, re.compile(r"(?<![\d.])(?:\d{4}[ -]){3}\d{4}(?:[ -]?\d{1,3})?(?![\d])|(?<![\d.])\d{13,19}(?!\d)"), _as_written(_card)),
+    ("ssn", "-", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _as_written(lambda v, k: permute(v, ["0123456789" if c.isdigit() else None for c in v], k, "ssn"))),
+    ("phone", None, re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"), _as_written(_phone)),
     ("mac", ":", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9a-f]{2}:){5}[0-9a-f]{2}(?![0-9A-Fa-f:])|(?<![0-9A-Fa-f:])(?:[0-9A-F]{2}:){5}[0-9A-F]{2}(?![0-9A-Fa-f:])"), lambda v, k: permute(v, [None if c == ":" else HEX_LOW if v == v.lower() else HEX_UP for c in v], k, "mac")),
 ]
 #: Only the first word is consumed, so the next one may be a given name itself.
 _NAMED = re.compile(r"(?<!\w)([A-ZА-ЯΑ-Ω][^\W\d_]+)(?= ((?:(?:van|von|de|da|di|del) )?[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?)\b)")
 #: Types that need a digit; most texts have none.
 _DIGITS = {"ip", "iban", "card", "ssn", "phone", "mac"}
-_DIGIT, _WORDS = re.compile(r"[0-9]"), ("token", "secret", "key", "passw", "pwd", "akia")
+_DIGIT, _WORDS = re.compile(r"\d"), ("token", "secret", "key", "passw", "pwd", "akia")
 
 
 def _may_hold_secret(text: str) -> bool:

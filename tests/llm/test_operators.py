@@ -141,6 +141,21 @@ def test_pii_names():
     assert [m[0] for m in pii.replaced("password=Margot Schmidt, Margot")[1]] == ["secret", "surname", "given"]
 
 
+def test_pii_digits(spark):
+    arabic, wide = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩"), str.maketrans("0123456789", "０１２３４５６７８９")
+    cases = [("ssn", "123-45-6789"), ("phone", "+1 (212) 555-7713"), ("phone", "212-555-7713"), ("card", "4111 1111 1111 1111"), ("iban", "DE89370400440532013000"), ("ip", "10.2.3.255")]
+    for kind, value in cases:
+        for script in (arabic, wide):
+            other = value.translate(script)
+            for extra in ("", " 7"):
+                new, made, bad = pii.replaced(f"see {other} now{extra}")
+                assert made == [(kind, other, pii.surrogate(kind, value).translate(script))] and bad == 0 and other not in new
+    mixed = "123-45-6789".translate(arabic)[:6] + "-6789"
+    assert pii.replaced(mixed)[0] == pii.surrogate("ssn", "123-45-6789").translate(arabic)[:6] + pii.surrogate("ssn", "123-45-6789")[6:]
+    docs = spark.createDataFrame([(1, "call " + "212-555-7713".translate(arabic) + " at 9"), (2, "x² ① 212-555-7713")], "doc_id long, text string")
+    assert [r.n_entities for r in pii.report(docs).orderBy("doc_id").collect()] == [1, 1]
+
+
 def test_packing(spark, odd, empty):
     texts = [" lead", "two  spaces  x ", "\n a\n\nb \t c\r\nd", "x<|endoftext|>y z", "it's 'll we're\n's 12", "", "a\x1cb \x1c c", "é ̀x 文字　です"]
     a, b = packing.Encoder(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path("byte_bpe_50k.json"))
