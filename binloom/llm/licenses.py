@@ -2,13 +2,16 @@
 
 A template is aligned with a text on the words that occur once in both: the longest increasing subsequence of their
 places gives anchors, and the gaps between anchors are aligned the same way, down to equal runs at a gap's ends. The
-share of the template's words that are aligned is its coverage; the best template at ``COVER`` or more is reported.
+share of the template's words that are aligned is its coverage. Every match at ``COVER`` or more is reported with its
+span, as long as no two share words: of those that do, the one stays that aligns most words less the ones it misses (so
+a BSD-3-Clause text isn't a BSD-2-Clause one). Words of a match are blanked and the windows that held them aligned
+again until nothing more is found, so repeated and concatenated licences all count.
 
 A long text is aligned window by window (twice the template's words, half overlapping), and only windows that hold
 enough of a template's distinct words; no window that could reach the coverage is passed over.
 
-Odd cases: null and wordless texts have no licence (null, coverage 0). Of templates with equal coverage the longer one
-wins, then the name that sorts first. Repeated rows give equal rows; a null ``doc_id`` stays null. No rows in, no rows
+Odd cases: null and wordless texts have no licence (null, coverage 0, no matches). ``license`` and its columns are those
+of the match of largest coverage; of equal ones the longer template, then the name that sorts first, then the first place. Repeated rows give equal rows; a null ``doc_id`` stays null. No rows in, no rows
 out. Other columns are ignored.
 """
 
@@ -18,19 +21,24 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import DBL, INT, LONG, STR, own_columns, schema
 
 COVER = 0.8
-#: The words of well-known licences and notices.
+#: The words of well-known licences and notices. "ISC grant" and "BSD conditions" are the parts that stand without the rest.
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "ISC grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "MIT notice": "Released under the MIT License.",
@@ -87,36 +95,68 @@ _EVERY = frozenset().union(*_SETS.values())
 _ORDER = sorted(((n, t, len(_SETS[n]) - int(len(t) * (1 - COVER) + 1e-9)) for n, t in _PARSED.items()), key=lambda x: (-len(x[1]), x[0]))
 
 
-def scan(text: str) -> tuple[str | None, float, int, int, int]:
-    """Best template, coverage, aligned words, and the characters [from, to) they span."""
-    best: tuple = (None, 0.0, 0, 0, 0)
+Match = tuple[str, float, int, int, int]
+
+
+def matches(text: str) -> list[Match]:
+    """Template, coverage, aligned words, and the characters [from, to) they span, of each match, in order of place; none share words."""
     have = _EVERY.intersection(_WORD.findall(text.lower()))
     likely = [(n, t, least) for n, t, least in _ORDER if len(have & _SETS[n]) >= least]
     if not likely:
-        return best
+        return []
     found = list(_WORD.finditer(text))
-    words = [m[0].lower() for m in found]
-    for name, t, least in likely:
-        for at in range(0, max(1, len(words) - len(t)), len(t)):
+    words: list[str | None] = [m[0].lower() for m in found]
+    tries: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (template, window): aligned places
+    todo = [(k, at) for k, (_, t, _) in enumerate(likely) for at in range(0, max(1, len(words) - len(t)), len(t))]
+    order: list[tuple] = []  # tries, the best first; entries whose try has changed are passed over
+    out: list[Match] = []
+    while True:
+        for k, at in todo:
+            name, t, least = likely[k]
             window = words[at : at + 2 * len(t) + len(t) // 2]
-            if len(_SETS[name].intersection(window)) < least:
-                continue
-            pairs = aligned(t, window)
-            cover = len(pairs) / len(t)
-            if cover >= COVER and cover > best[1]:
-                best = (name, cover, len(pairs), found[at + pairs[0][1]].start(), found[at + pairs[-1][1]].end())
-    return best
+            tries.pop((k, at), None)
+            if len(_SETS[name].intersection(window)) >= least:
+                pairs = aligned(t, window)
+                if len(pairs) / len(t) >= COVER:
+                    tries[k, at] = pairs = [(i, at + j) for i, j in pairs]
+                    # most aligned words less missing ones; of equal ones the longer template, then the tightest, then the first
+                    heappush(order, (len(t) - 2 * len(pairs), k, pairs[-1][1] - pairs[0][1], pairs[0][1], at, pairs))
+        while order and tries.get((order[0][1], order[0][4])) is not order[0][5]:
+            heappop(order)
+        if not order:
+            return sorted(out, key=lambda m: (m[3], m[4], m[0]))
+        pairs, (name, t, _) = order[0][5], likely[order[0][1]]
+        out.append((name, len(pairs) / len(t), len(pairs), found[pairs[0][1]].start(), found[pairs[-1][1]].end()))
+        for _, j in pairs:
+            words[j] = None
+        lo, hi = pairs[0][1], pairs[-1][1]
+        todo = []
+        for k, (_, t, _) in enumerate(likely):  # windows that held a word of it
+            n = len(t)
+            first = max(0, (lo - 2 * n - n // 2) // n * n)
+            todo += [(k, at) for at in range(first, min(hi + 1, max(1, len(words) - n)), n)]
+
+
+def scan(text: str, every: list[Match] | None = None) -> tuple[str | None, float, int, int, int]:
+    """The match of largest coverage."""
+    every = matches(text) if every is None else every
+    return min(every, key=lambda m: (-m[1], -len(_PARSED[m[0]]), m[0], m[3]), default=(None, 0.0, 0, 0, 0))
+
+
+_MATCH = schema(license=STR, coverage=DBL, n_aligned=INT, start=LONG, end=LONG)
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
+    match = pa.struct(list(zip(_MATCH.names, kinds)))
     for b in batches:
-        rows = [scan(t or "") for t in b.column("text").to_pylist()]
-        cols = list(zip(*rows)) or [()] * 5
-        kinds = (pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "license", "coverage", "n_aligned", "start", "end"])
+        every = [matches(t or "") for t in b.column("text").to_pylist()]
+        cols = list(zip(*[scan("", x) for x in every])) or [()] * 5
+        lists = pa.array([[dict(zip(_MATCH.names, m)) for m in x] for x in every], pa.list_(match))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)], lists], ["doc_id", *_MATCH.names, "matches"])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, license, coverage, n_aligned, start, end of each row of ``docs``."""
+    """doc_id, license, coverage, n_aligned, start, end of the best match and ``matches``, all of them in order of place, of each row of ``docs``."""
     own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInArrow(_scanned, schema(doc_id=LONG, license=STR, coverage=DBL, n_aligned=INT, start=LONG, end=LONG))
+    return own.mapInArrow(_scanned, T.StructType([*schema(doc_id=LONG).fields, *_MATCH.fields, T.StructField("matches", T.ArrayType(_MATCH))]))

@@ -248,6 +248,24 @@ def test_licences(spark, odd, empty):
     assert licenses.aligned(a, b) == [(1, 0), (2, 1), (3, 2), (4, 4), (5, 5)]
 
 
+def test_all_licences(spark):
+    t = licenses.TEMPLATES
+    names = lambda text: [m[0] for m in licenses.matches(text)]
+    for name, text in t.items():
+        assert names(f"Copyright (c) me\n{text}\n\nmore") == [name] and licenses.scan(text)[:2] == (name, 1.0)
+    for a in ("MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "Apache-2.0", "MIT notice"):
+        for b in t:
+            text = f"Either of\n{t[a]}\n\nor, copyright them,\n\n{t[b]}\n\nat your choice"
+            got = licenses.matches(text)
+            assert [m[0] for m in got] == [a, b], (a, b, got)
+            assert all(text[m[3] : m[4]] in (t[m[0]], t[m[0]].rstrip(".")) and m[1] == 1.0 for m in got), (a, b, got)
+    changed = t["BSD-3-Clause"].replace("copyright holder nor", "University nor").replace("HOLDERS AND", "OWNERS AND")
+    assert licenses.scan(changed)[0] == "BSD-3-Clause" and names(changed) == ["BSD-3-Clause"]
+    assert names("\n\n".join(f"File {i}: by person {i}\n{t['MIT']}" for i in range(4)) + " words" * 900 + t["ISC"]) == ["MIT"] * 4 + ["ISC"]
+    row = licenses.report(spark.createDataFrame([(1, f"{t['MIT']} {t['GPL-3.0 notice']}")], "doc_id long, text string")).first()
+    assert [(m.license, m.coverage) for m in row.matches] == [("MIT", 1.0), ("GPL-3.0 notice", 1.0)] and row.license == "MIT"
+
+
 def _plain_kept(texts):
     """What the rules keep, by plain expectation-maximisation over all documents."""
     rows = []
