@@ -54,13 +54,15 @@ def fingerprint(text: bytes | None) -> int:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+        names = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(found)], [*names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long."""
-    own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.encode(F.col("text"), "UTF-8").alias("text"))
-    return own.mapInArrow(_prints, schema(doc_id=LONG, fp=LONG))
+def fingerprints(docs: DataFrame, hashes: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint's bits as a signed long; on demand ``h`` between them, the hash of the text."""
+    hashed = [F.xxhash64("text").alias("h")] if hashes else []
+    own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), *hashed, F.encode(F.col("text"), "UTF-8").alias("text"))
+    return own.mapInArrow(_prints, schema(doc_id=LONG, h=LONG, fp=LONG) if hashes else schema(doc_id=LONG, fp=LONG))
 
 
 def block_keys(fp: Column, blocks: int, radius: int = RADIUS) -> Column:
@@ -153,19 +155,25 @@ def links(prints: DataFrame) -> DataFrame:
     return out.unionByName(left.unionByName(right).groupBy(*pair).applyInArrow(_pair, schema(a=LONG, b=LONG)))
 
 
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """``distinct``, a row for each fingerprint, with the ``root`` of its component."""
+    roots = components(links(distinct.select("fp")))
+    return distinct.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of each row of ``docs``."""
     seen = stored(fingerprints(docs), "prints")
-    distinct = stored(seen.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp")))
-    linked = distinct.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = _rooted(stored(seen.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct"))
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     return seen.join(linked.join(named, "root").select("fp", "component_id"), "fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one stays for each component: that of the smallest id. Rows with that same id and text count as one."""
-    stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(stay, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")), "left_semi")
-    return rows.withColumns({"id": F.col("row.doc_id"), "h": F.xxhash64("row.text")}).dropDuplicates(["id", "h"]).select("row.*")
+    """The rows of ``docs``, all columns, of which one stays for each component: that of the smallest id (null ids last), then fingerprint, then hash of text. Rows with that same id and text count as one."""
+    seen = stored(fingerprints(docs, hashes=True), "prints")
+    linked = _rooted(stored(seen.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")), "distinct"))
+    stay = linked.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "fp", "first.h")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.h")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("hash", F.xxhash64("row.text"))
+    rows = rows.join(stay, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left_semi")
+    return rows.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "hash"]).select("row.*")

@@ -99,6 +99,19 @@ def test_simhash(spark, odd, empty, monkeypatch):
         assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+def test_keep_one_of_repeated_ids(spark, odd):
+    """One row a component, also where ids are null, repeat with near copies, or stand in several components."""
+    other = "quite another text about boats that came in late and left the harbour before the morning bells rang twice " * 12
+    near = [(PROSE + " now ") * 40 + tail for tail in ("", "once", "twice more")]
+    rows = [(1, near[0]), (1, near[1]), (1, near[1]), (2, near[2]), (None, near[2]), (2, other), (None, other), (None, "alone " * 30), (None, "alone " * 31), (1, "short one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    prints = [simhash.fingerprint(t.encode()) for t in near]
+    assert all((a ^ b).bit_count() <= 3 for a in prints for b in prints)
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert sorted((i or 99, t.split()[0]) for i, t in kept) == [(1, "short"), (1, "the"), (2, "quite"), (99, "alone")]
+    assert len(simhash.keep_one(odd).collect()) == simhash._rooted(simhash.fingerprints(odd).select("fp").distinct()).select("root").distinct().count()
+
+
 def test_decontamination(spark, odd, empty, monkeypatch):
     item = " ".join(PROSE.split()[:15])
     bench = spark.createDataFrame([(1, item), (2, "hi"), (3, None), (None, "village"), (4, "...")], "item_id long, text string")
