@@ -4,12 +4,12 @@ Features are single words and pairs of neighbours, each as written (lower case)
 digits and marks, runs collapsed), hashed to ``BITS`` bits. A text's value of a feature is its count over the root of
 the number of words; the score is the logistic function of the sparse dot product with the weights, over whole texts.
 
-The model is fitted on the ``SAMPLE`` labelled rows of least hash among those with crc32(doc_id) mod 5 other than 0 (a
+The model is fitted on the ``SAMPLE`` labelled documents of least hash among those with crc32(doc_id) mod 5 other than 0 (a
 documented bound, the same at every size), in one task; its weights have a fixed size and are broadcast.
 
 Odd cases: null and wordless texts score by the intercept alone. A null ``doc_id`` isn't held out and is never trained
-on. Labels that are null, or of no document, are left out; repeated ones count once, as do documents that share an id
-(the least text). Without any labels all scores are 0.5. Repeated documents give a row each. No documents, no rows.
+on. Labels that are null, or of no document, are left out; repeated ones count once (the least label), as do documents that
+share an id (the least text); none of these takes a place of the sample. Without any labels all scores are 0.5. Repeated documents give a row each. No documents, no rows.
 Other columns are ignored.
 """
 
@@ -147,8 +147,9 @@ def _score(model):
 def fit(docs: DataFrame, labels: DataFrame) -> bytes:
     """Weights and intercept, float32."""
     mine = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    mine = mine.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "y").limit(SAMPLE)
+    mine = mine.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.min("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
     own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
+    mine = mine.join(own.select("doc_id").distinct(), "doc_id", "left_semi").orderBy("h", "doc_id").limit(SAMPLE)  # ids with a document, each once
     rows = own.join(F.broadcast(mine), "doc_id").groupBy("h", "doc_id", "y").agg(F.min("text").alias("text"))  # SAMPLE rows, however often an id repeats
     rows = rows.repartition(1).sortWithinPartitions("h", "y", "doc_id").select("text", "y")
     found = rows.mapInArrow(_train, schema(weights=BIN)).first()

@@ -6,7 +6,7 @@ aggregations over all pages: expected counts of languages (by text and declarati
 each smoothed by the level above with ``SMOOTH`` pseudo-counts; a page's own counts are left out of its priors.
 
 The text models are fitted on the ``SAMPLE`` documents of least hash that have a language (a documented bound, the same
-at every size; rows that share an id count once) in one task; they have a fixed size for each language and are broadcast. Counts of a host are aggregated
+at every size; rows that share an id, the null one too, count once and take one place) in one task; they have a fixed size for each language and are broadcast. Counts of a host are aggregated
 before the shuffle and joined as one row a host; hosts with many pages are joined by broadcast.
 
 Odd cases: a null or blank html has no text and relies on the other evidence; a null url has the empty host. A null
@@ -61,7 +61,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
     own = own_columns(docs, "doc_id", "text", "lang").select(F.xxhash64("doc_id").alias("h"), F.lower(F.col("lang").cast("string")).alias("lang"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).where("lang is not null")
-    least = own.select("h").orderBy("h").limit(SAMPLE).distinct()  # hashes only; texts are fetched for the chosen rows
+    least = own.select("h").distinct().orderBy("h").limit(SAMPLE)  # hashes only; texts are fetched for the chosen rows
     rows = own.join(F.broadcast(least), "h").groupBy("h").agg(F.min(F.struct("lang", "text")).alias("x")).select("x.*").repartition(1)  # once, however often an id repeats
     return {r.lang: bytes(r.model) for r in rows.mapInArrow(_train, schema(lang=STR, model=BIN)).collect()}  # one row a language of the sample
 

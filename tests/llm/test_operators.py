@@ -239,6 +239,22 @@ def test_classifier(spark, odd, empty):
     assert len(rows) == odd.count() and {r.score for r in rows} == {0.5} and classifier.classify(empty, labels).count() == 0
 
 
+def test_samples_count_ids_once(spark, monkeypatch):
+    """Repeated rows and labels without a document take no places of the samples."""
+    monkeypatch.setattr(classifier, "SAMPLE", 8)
+    monkeypatch.setattr(langid, "SAMPLE", 8)
+    ids = [i for i in range(40) if zlib.crc32(b"%d" % i) % 5]
+    hashes = {r.id: r.h for r in spark.range(2000).selectExpr("id", "xxhash64(id) AS h").collect()}
+    ids.sort(key=hashes.get)
+    gone = [i for i in range(40, 2000) if zlib.crc32(b"%d" % i) % 5 and hashes[i] < hashes[ids[0]]]
+    docs = spark.createDataFrame([(i, f"word{i} text", "en" if i == ids[0] else f"l{i}") for i in ids], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(ids[0], 1)] * 30 + [(i, n % 2) for n, i in enumerate(ids)] + [(i, 0) for i in gone], "doc_id long, quality int")
+    plain = spark.createDataFrame([(i, 0 if i == ids[0] else n % 2) for n, i in enumerate(ids)], "doc_id long, quality int")
+    assert gone and classifier.fit(docs, labels) == classifier.fit(docs, plain) != classifier.fit(docs, labels.limit(1))
+    repeated = docs.unionByName(docs.where(docs.doc_id == ids[0]).crossJoin(spark.range(30)).select(docs.columns)).unionByName(docs.limit(1).crossJoin(spark.range(30)).selectExpr("CAST(NULL AS long) AS doc_id", "text", "'zz' AS lang"))
+    assert len(langid.fit(docs)) == 8 and len(langid.fit(repeated)) == 8
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
