@@ -4,9 +4,11 @@ Detected entities are replaced by values of the same type and format. The replac
 values of that format (digits by digits, consonants by consonants, vowels by vowels, case and punctuation as they are;
 given names by given names of the same gender and script), so equal entities get equal surrogates in every document
 (coreference) and different ones different surrogates, without a table of entities. The permutation is a shift between
-a keyed enciphering and its inverse, which leaves no value as it is. Digits of any script count and keep their script. Check digits are renewed. Two checks follow: in each document, two entities with
-one surrogate or a surrogate that the text holds elsewhere are counted in ``n_collisions``; ``collisions`` looks for two
-originals with one surrogate over a whole corpus.
+a keyed enciphering and its inverse, which leaves no value as it is. Digits of any script count and keep their script. Check digits are renewed. Two checks follow. In each document, a surrogate that another
+entity has or that the text holds elsewhere (as a word or words, of any length) is a collision: the next value of the
+permutation is taken, in order of first mention, so such a document differs from others in that entity; only where
+``RETRIES`` values or the whole cycle are in use does the first one stand, counted in ``n_collisions``. ``collisions``
+looks for two originals with one surrogate over a whole corpus.
 
 Odd cases: a null text stays null and has no entities; an empty one stays empty. Repeated rows and ids give equal rows.
 A null ``doc_id`` stays null. No rows in, no rows out. ``report`` ignores other columns, ``replace`` keeps all columns.
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import INT, LONG, STR, own_columns, schema
 
 KEY = b"surrogates of round one"
+#: Values of a permutation that are tried for an entity of a document.
+RETRIES = 64
 
 #: Given names by script and gender.
 NAMES = {
@@ -253,20 +257,24 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, str, str
     found = detect(text)
     if not found:
         return text, [], 0
-    out, at, made, rest = [], 0, [], []
+    ends = [0, *(z for _, z, _ in found)]
+    rest = [text[a:z] for a, z in zip(ends, [*(a for a, _, _ in found), len(text)])]
+    left, chosen, taken, bad = "\0".join(rest), {}, set(), 0
+    free = lambda new: new not in taken and not (new in left and re.search(rf"(?<!\w){re.escape(new)}(?!\w)", left))
     for a, z, kind in found:
-        new = surrogate(kind, text[a:z], key)
-        made.append((kind, text[a:z], new))
-        rest.append(text[at:a])
-        out += [text[at:a], new]
-        at = z
-    rest.append(text[at:])
-    owner: dict[str, set] = {}
-    for kind, old, new in made:
-        owner.setdefault(new, set()).add((kind, old))
-    left = "\0".join(rest)
-    bad = sum(len(who) - 1 for who in owner.values()) + sum(len(new) > 5 and new in left for new in owner)
-    return "".join(out) + text[at:], made, bad
+        if (kind, text[a:z]) in chosen:
+            continue
+        new = first = surrogate(kind, text[a:z], key)
+        for _ in range(RETRIES):
+            if new == text[a:z] or free(new):
+                break
+            new = surrogate(kind, new, key)
+        if new == text[a:z] or not free(new):  # the permutation's cycle has no free value
+            new, bad = first, bad + 1
+        chosen[kind, text[a:z]] = new
+        taken.add(new)
+    made = [(kind, text[a:z], chosen[kind, text[a:z]]) for a, z, kind in found]
+    return "".join(x for r, (_, _, new) in zip(rest, made) for x in (r, new)) + rest[-1], made, bad
 
 
 def _column(key: bytes):
@@ -301,7 +309,7 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """type, surrogate, n of the surrogates that stand for more than one original, over all of ``docs``; none are expected."""
+    """type, surrogate, n of the surrogates that stand for more than one original, over all of ``docs``; only values taken after a document's own collision can."""
 
     def run(batches):
         for b in batches:

@@ -169,6 +169,20 @@ def test_pii_digits(spark):
     assert [r.n_entities for r in pii.report(docs).orderBy("doc_id").collect()] == [1, 1]
 
 
+def test_pii_collisions():
+    new = pii.surrogate("given", "Anna")
+    text, made, bad = pii.replaced(f"Anna Schmidt and Anna met {new}, not {new}x")
+    got = {m[2] for m in made if m[1] == "Anna"}
+    assert bad == 0 and got == {pii.surrogate("given", new)} and text.count(new) == 2
+    assert pii.replaced(f"Anna Schmidt met {new}x")[1][0][2] == new  # part of a word only
+    assert pii.replaced(f"Anna Schmidt met {new}") == pii.replaced(f"Anna Schmidt met {new}")
+    number = pii.surrogate("ssn", "123-45-6789")  # an entity with this surrogate's value is replaced itself
+    assert pii.replaced(f"123-45-6789 and {number}")[2] == 0 and len({m[2] for m in pii.replaced(f"123-45-6789 and {number}")[1]}) == 2
+    kind = "greek", "f"
+    full = "Ελένη Παππά, " + ", ".join(n for n in pii.NAMES[kind] if n != "Ελένη")  # no name is free
+    assert pii.replaced(full)[2] == 1 and pii.replaced(full)[1][0][2] == pii.surrogate("given", "Ελένη")
+
+
 def test_packing(spark, odd, empty):
     texts = [" lead", "two  spaces  x ", "\n a\n\nb \t c\r\nd", "x<|endoftext|>y z", "it's 'll we're\n's 12", "", "a\x1cb \x1c c", "é ̀x 文字　です"]
     a, b = packing.Encoder(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path("byte_bpe_50k.json"))
