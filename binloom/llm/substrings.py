@@ -1,6 +1,7 @@
 """Exact substring de-duplication: bytes covered by a string of ``LENGTH`` bytes that also starts earlier are removed.
 
-Bucket-pointer refinement, spread over a cluster. A suffix array of the whole corpus isn't needed, only which positions
+Refinement of buckets by hashed cells, spread over a cluster: after bucket-pointer refinement, but hashes of bytes stand in
+for the bucket identifiers of later offsets, which lie in other tasks. A suffix array of the whole corpus isn't needed, only which positions
 are equal to depth ``LENGTH``; so buckets of positions are refined until that depth, and positions alone in a bucket
 drop out at once.
 
