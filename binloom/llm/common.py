@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one of our own only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Only a local session, as in tests, gets one of its own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='binloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,28 +46,28 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession, *paths: str) -> None:
-    for p in paths:
-        _delete(spark, p)
+def drop_scratch(df: DataFrame) -> None:
+    """Deletes a table made by ``stored`` that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+
+
+#: Shuffle files of an execution go when it ends, instead of whenever the driver's JVM next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it back. Survives lost executors."""
     spark = df.sparkSession
-    path = scratch_path(spark, what)
-    df.write.option("compression", codec).parquet(path)
-    release(spark)
+    path, before = scratch_path(spark, what), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of jobs that are over."""
-    for _ in range(2):  # first Python's handles go, then what they held
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
-
-
 #: A key is hot if it holds more than one row in this many; so there are fewer hot keys than this.
 HOT_SHARE = 256
 
