@@ -1,11 +1,13 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the windows of all test items.
+"""Benchmark decontamination: one Aho-Corasick automaton over all test items; each text is scanned once.
 
 Both sides are normalised alike (A-Z lower-cased, words of digits, letters and everything beyond ASCII). A window is
-thirteen consecutive words of an item, or the whole of a shorter item. The automaton's letters are words, so a text is
-scanned once whatever the number of items; hits are word positions, which ``spans`` maps to characters of the original.
+thirteen consecutive words of an item, or the whole of a shorter item. The automaton's letters are words. Its patterns
+are the items' blocks of seven words, cut one behind another: every window holds a whole one, so a window of the item
+occurs where a block does and the words beside it agree far enough. That takes a node a word of the items, instead of thirteen for
+patterns that are windows. Hits are word positions, which ``spans`` maps to characters of the original.
 
-The items are broadcast in blocks of at most ``BLOCK_BYTES`` of text (measured first); beyond one block the documents
-are scanned once for each block, and each scan adds to the hits of those before it.
+The items go to every Python worker (about 0.1 KB there a word of the items). Their size is measured first; beyond
+``MOST_BYTES`` of text the call fails with a message before any work is done, as the workers' memory must be sized for it.
 
 Odd cases: a null or wordless text has no words, no hits, isn't contaminated and gives the digest of the empty string.
 Null or wordless items have no windows. An item without an id counts for hits, not for items; items that repeat an id
@@ -26,10 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import own_columns, stored
+from .common import own_columns
 
 WINDOW = 13
-BLOCK_BYTES = 2 << 20
+#: Words to a block; every window of the item holds a whole one, as 2 * BLOCK - 1 is WINDOW.
+BLOCK = 7
+#: Text of all items that workers are sent at most.
+MOST_BYTES = 64 << 20
 #: Byte by byte: A-Z to a-z, words as they are, all else to a space.
 _NORM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -41,36 +46,54 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 def automaton(items: list[tuple[str | None, bytes | None]]) -> tuple:
-    """Automaton over word numbers, the numbering, and the items of each window."""
+    """Automaton over word numbers, and the numbering. A block's value: for each surrounding the words before it (nearest first), those after it, and whose it is."""
     number: dict[bytes, int] = {}
-    owners: dict[tuple, set] = {}
+    found: dict[tuple, dict[tuple, set]] = {}
+    reach = WINDOW - BLOCK
     for item, text in items:
-        w = [number.setdefault(x, len(number) + 1) for x in words(text)]
-        for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
-            owners.setdefault(tuple(w[i : i + WINDOW]), set()).update(() if item is None else (item,))
-    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for window, who in owners.items():
-        found.add_word(window, (len(window), tuple(who)))
-    if owners:
-        found.make_automaton()
-    return found if owners else None, number
+        w = tuple(number.setdefault(x, len(number) + 1) for x in words(text))
+        size = BLOCK if len(w) >= WINDOW else len(w)  # a shorter item is a pattern itself
+        for at in range(0, len(w) - size + 1, max(1, size)) if w else ():
+            around = (w[max(0, at - reach) : at][::-1], w[at + size : at + size + reach], len(w) < WINDOW)
+            found.setdefault(w[at : at + size], {}).setdefault(around, set()).update(() if item is None else (item,))
+    auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for block, arounds in found.items():
+        auto.add_word(block, (len(block), tuple((*around, tuple(who)) for around, who in arounds.items())))
+    if found:
+        auto.make_automaton()
+    return auto if found else None, number
+
+
+def _agree(w: tuple, at: int, step: int, other: tuple) -> int:
+    """How many of ``other`` stand in ``w`` from ``at`` on, in steps."""
+    n = 0
+    for x in other:
+        if not 0 <= at < len(w) or w[at] != x:
+            break
+        n, at = n + 1, at + step
+    return n
 
 
 def scan(text: bytes | None, auto, number: dict) -> tuple[int, list[tuple[int, int]], set]:
     """Number of words, runs [from, to) of hit words, items."""
-    w = words(text)
-    runs: list[list[int]] = []
+    w = tuple(map(number.get, words(text), repeat(0)))
+    hits: list[tuple[int, int]] = []
     items: set = set()
     if auto is not None and w:
-        for end, (n, who) in auto.iter(tuple(map(number.get, w, repeat(0)))):
-            items.update(who)
+        for end, (n, arounds) in auto.iter(w):
             at = end + 1 - n
-            while runs and runs[-1][0] >= at:  # a longer window may reach back over several runs
-                runs.pop()
-            if runs and runs[-1][1] >= at:
-                runs[-1][1] = end + 1
-            else:
-                runs.append([at, end + 1])
+            for before, after, whole, who in arounds:
+                lo = at if whole else at - _agree(w, at - 1, -1, before)
+                hi = end + 1 if whole else end + 1 + _agree(w, end + 1, 1, after)
+                if whole or hi - lo >= WINDOW:
+                    hits.append((lo, hi))
+                    items.update(who)
+    runs: list[list[int]] = []
+    for a, b in sorted(hits):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
     return len(w), [(a, b) for a, b in runs], items
 
 
@@ -84,8 +107,6 @@ _STATE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("ru
 
 
 def _pass(items):
-    """A scan with one block's automaton; adds to the state of earlier blocks."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = hashlib.sha256(repr(items.value).encode()).digest()
         if digest not in _built:
@@ -95,40 +116,23 @@ def _pass(items):
         kind = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
         for b in batches:
             out = []
-            for text, state in zip(b.column("text"), b.column("state").to_pylist()):
+            for text in b.column("text"):
                 n, runs, who = scan(text.as_py(), auto, number)
-                out.append({"n_words": n, "runs": _merged(state["runs"], runs), "items": sorted(who.union(state["items"]))})
-            yield b.set_column(b.schema.get_field_index("state"), "state", pa.array(out, kind))
+                out.append({"n_words": n, "runs": [x for r in runs for x in r], "items": sorted(who)})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], [*b.schema.names, "state"])
 
     return run
 
 
-def _merged(flat: list[int], runs: list[tuple[int, int]]) -> list[int]:
-    out: list[int] = []
-    for a, b in sorted([*zip(flat[::2], flat[1::2]), *runs]):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
-
-
-def annotate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """(row, text, state): each row of ``docs`` with its words, hit runs (flat list of from, to) and items."""
-    spark = docs.sparkSession
-    bench = own_columns(benchmark, "item_id", "text").select(F.col("item_id").cast("string"), F.encode("text", "UTF-8").alias("text")).where("text is not null")
-    n_bytes = bench.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
-    blocks = max(1, -(-n_bytes // BLOCK_BYTES))
+    bench = own_columns(benchmark, "item_id", "text").select(F.col("item_id").cast("string"), F.encode("text", "UTF-8").alias("text")).where("text is not null").distinct()
+    size = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > most:
+        raise ValueError(f"the items hold {size} bytes of text, workers are sent {most} at most: size their memory and raise the bound")
+    items = docs.sparkSession.sparkContext.broadcast(sorted(((r.item_id, bytes(r.text)) for r in bench.collect()), key=repr))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
-    rows = rows.withColumn("state", F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("runs"), F.array().cast("array<string>").alias("items")))
-    kind = T.StructType([f for f in rows.schema.fields if f.name != "state"] + [T.StructField("state", _STATE)])
-    for block in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        items = sorted(((r.item_id, bytes(r.text)) for r in part.collect()), key=repr)  # a block, so at most a few MB
-        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(items)), kind)
-        if block < blocks - 1:
-            rows = stored(rows, "scanned")
-    return rows
+    return rows.mapInArrow(_pass(items), T.StructType([*rows.schema.fields, T.StructField("state", _STATE)]))
 
 
 def _verdict(rows: DataFrame) -> DataFrame:
