@@ -13,7 +13,6 @@ null ``doc_id`` stays null. No documents, no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import os
 import re
 import zlib
@@ -29,8 +28,11 @@ from pyspark.sql import functions as F
 from .common import INT, LONG, own_columns, schema, stored
 
 LENGTH, END = 2048, b"\0\0\0\0"
-#: The vocabulary as ranks; ``byte_bpe_50k.json`` holds the same for the ``tokenizers`` library and gives the same ids.
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
+#: Second lengths that patterns of three try for each first one, evenly spread over those that occur. Pieces that fit no
+#: pattern are packed all the same, best fit first; with every second length (321 470 patterns at sf0.1) the fit takes twelve
+#: seconds instead of one and needs as many sequences.
+MIDDLES = 8
 _CACHED, _STEP = 400_000, 256
 #: White space besides blank and line end.
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -44,30 +46,21 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes, by the ``tokenizers`` file (.json) or the rank file (.tiktoken) of a vocabulary.
+    """Ids of whole texts as little-endian bytes, by the ``tokenizers`` file of a byte-level vocabulary: those of ``encode(text, add_special_tokens=False)``.
 
     The vocabulary's splitting rule always starts a new part at a single blank or line end between two visible
     characters. Texts are cut there, and each distinct part is encoded once (as long as the bounded memory of parts lasts).
-    Strings of special tokens in a text are ordinary text.
+    A text that holds the string of a special token is encoded whole, as that string cuts it before the rule does.
     """
 
     def __init__(self, path: str):
-        if path.endswith(".json"):
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self.encode = lambda part: tokenizer.encode(part, add_special_tokens=False).ids
-            sizes = {i: len(token) for token, i in tokenizer.get_vocab().items()}  # a character for each byte
-        else:
-            import public_tokenizers
-            import tiktoken
-
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            sizes = {i: len(token) for token, i in ranks.items()}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = lambda part: tokenizer.encode(part, add_special_tokens=False).ids
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        sizes = {i: len(token) for token, i in tokenizer.get_vocab().items()}  # a character for each byte
         self.bytes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
         self.known: dict[str, bytes] = {}  # by what stands between blanks: the ids of it and the blank before it
         self.old: dict[str, bytes] = {}
@@ -85,30 +78,34 @@ class Encoder:
             self.known[p] = raw[at:end]
             at = end
 
+    def _parts(self, text: str) -> tuple[str, list[str], str]:
+        """The first part, those that can be learnt, and the end if it is white space after a part."""
+        parts = text.replace("\n", " \n").split(" ")  # a line end stands for its own blank
+        if "" not in parts and "\n" not in parts and not any(c in text for c in _OTHER):
+            return parts[0], parts[1:], ""
+        first, *parts = _SAFE.split(text)  # other white space, or some of it together
+        last = parts.pop() if parts and parts[-1][-1].isspace() else ""
+        return first, [p[1:] if p[0] == " " else p for p in parts], last
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > _CACHED:  # two generations: what is in use moves to the new one
             self.old, self.known = self.known, {}
-        known, old, split = self.known, self.old, []
-        for text in texts:
-            parts = text.replace("\n", " \n").split(" ")  # a line end stands for its own blank
-            odd = "" in parts or "\n" in parts or any(c in text for c in _OTHER)  # other white space, or some of it together
-            split.append((text, None if odd else parts))
-        lists = [parts and list(map(known.get, parts)) for _, parts in split]
-        new = {p for (_, parts), ids in zip(split, lists) if ids and None in ids for p, found in zip(parts, ids) if found is None}
+        known, old = self.known, self.old
+        cut = [None if any(x in t for x in self.special) else self._parts(t) for t in texts]
+        found = [c and list(map(known.get, c[1])) for c in cut]
+        new = {p for c, ids in zip(cut, found) if ids and None in ids for p, i in zip(c[1], ids) if i is None}
         for p in new & old.keys():
             known[p] = old[p]
         if new := list(new - old.keys()):
             self._learn(new)
         out = []
-        for (text, parts), ids in zip(split, lists):
-            if parts is None:
-                out.append(b"".join(map(self._ids, _SAFE.split(text))))
-            else:
-                if None in ids:
-                    ids = map(known.__getitem__, parts[1:])
-                else:
-                    del ids[0]
-                out.append(self._ids(parts[0]) + b"".join(ids))
+        for text, c, ids in zip(texts, cut, found):
+            if c is None:
+                out.append(self._ids(text))
+                continue
+            if None in ids:
+                ids = map(known.__getitem__, c[1])
+            out.append(self._ids(c[0]) + b"".join(ids) + (self._ids(c[2]) if c[2] else b""))
         return out
 
 
@@ -171,7 +168,7 @@ class Packer:
             if b := int(largest[rest]):
                 found.add(tuple(sorted((a, b))))
                 choice = have[have <= rest]
-                for b in choice[np.linspace(0, len(choice) - 1, 8).astype(int)].tolist():
+                for b in choice[np.linspace(0, len(choice) - 1, MIDDLES).astype(int)].tolist():
                     if c := int(largest[rest - b]):
                         found.add(tuple(sorted((a, b, c))))
         return sorted(p for p in found if sum(p) >= self.full - 2)
@@ -271,6 +268,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     counts = stored(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # LENGTH rows at most
     slots = np.array(sorted(Packer(histogram).run().slots), np.int64).reshape(-1, 5)
-    ranked = cut.join(counts, ["chunk", "length"]).withColumn("rank", F.col("rank") + F.col("base")).drop("n", "base", "chunk")
+    ranked = cut.join(counts.hint("merge"), ["chunk", "length"])  # offsets grow with the number of tasks: never a broadcast
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("base")).drop("n", "base", "chunk")
     kind = schema(doc_id=LONG, piece=INT, start=LONG, length=LONG, ids_crc32=LONG, sequence_id=LONG, offset=LONG)
     return ranked.mapInArrow(_placed(spark.sparkContext.broadcast(slots)), kind)
