@@ -1,10 +1,18 @@
 """Surrogates for personal data: keyed, type-consistent, distinct.
 
 Detected entities are replaced by values of the same type and format. The replacement is a keyed permutation of all
-values of that format (digits by digits, consonants by consonants, vowels by vowels, case and punctuation as they are;
-given names by given names of the same gender and script), so equal entities get equal surrogates in every document
+values of that format (digits by digits, consonants by consonants, vowels by vowels, letters of other alphabets by letters of the
+same script and case, punctuation as it is; given names by given names of the same gender and script), so equal entities get equal surrogates in every document
 (coreference) and different ones different surrogates, without a table of entities. The permutation is a shift between
-a keyed enciphering and its inverse, which leaves no value as it is. Digits of any script count and keep their script. Check digits are renewed. Two checks follow. In each document, a surrogate that another
+a keyed enciphering and its inverse, which leaves no value as it is. What only writes a value differently (blanks in an
+account number, separators of a phone number, case of an address, the script of digits) is set aside before and applied again after, so
+one entity in several formats keeps one surrogate. Check digits are renewed; a phone's country, a card's first digit and a secret's known prefix stay.
+
+The key comes from the session's ``spark.binloom.surrogates.key``. Without one each call draws a key and forgets it, so
+surrogates are consistent within a run and can't be undone afterwards.
+
+Names are found after given names of a list, after titles and after phrases that announce a name; other names aren't.
+Two checks follow. In each document, a surrogate that another
 entity has or that the text holds elsewhere (as a word or words, of any length) is a collision: the next value of the
 permutation is taken, in order of first mention, so such a document differs from others in that entity; only where
 ``RETRIES`` values or the whole cycle are in use does the first one stand, counted in ``n_collisions``. ``collisions``
@@ -18,18 +26,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import INT, LONG, STR, own_columns, schema
 
-KEY = b"surrogates of round one"
+KEY_SETTING = "spark.binloom.surrogates.key"
 #: Values of a permutation that are tried for an entity of a document.
 RETRIES = 64
 
@@ -46,6 +55,28 @@ _GENDER = {name: kind for kind, names in NAMES.items() for name in names}
 #: Letters that stand for each other.
 CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуэюя", "бвгджзклмнпрстфхцчш", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
 _CLASS = {c: letters for letters in CLASSES for c in letters}
+
+
+@lru_cache(64)
+def _script(script: str, category: str, low: int, high: int) -> str:
+    """Letters of a script and case in a range; of those with classes only the others."""
+    found = [c for c in map(chr, range(low, high)) if c not in _CLASS and unicodedata.category(c) == category and unicodedata.name(c, "").split("-")[0].split(" ")[0] == script]
+    return "".join(c for c in found if unicodedata.normalize("NFKC", c) == c)  # no letters that stand for others
+
+
+@lru_cache(1 << 12)
+def _letters(c: str) -> str | None:
+    """The letters that may stand for ``c``; None if it isn't a letter or digit."""
+    if c in _CLASS or c.isascii():
+        return _CLASS.get(c)
+    category = unicodedata.category(c)
+    if category not in ("Lu", "Ll", "Lo"):
+        return None
+    common = "\xc0" <= c < "\u0180"  # accented Latin letters of European languages are kept among themselves
+    letters = _script(unicodedata.name(c, "").split("-")[0].split(" ")[0], category, *((0xC0, 0x180) if common else (128, 0x10000)))
+    return letters if c in letters else None
+
+
 HEX_LOW, HEX_UP = "0123456789abcdef", "0123456789ABCDEF"
 
 
@@ -96,8 +127,27 @@ def permute(value: str, alphabets: list[str | None], key: bytes, what: str) -> s
     return "".join(reversed(out))
 
 
-def _by_class(value: str, key: bytes, what: str) -> str:
-    return permute(value, [_CLASS.get(c) for c in value], key, what)
+#: Places that are permuted together; longer values are permuted in parts, each under all that stands before it.
+_PART = 128
+
+
+def _by_class(value: str, key: bytes, what: str, alphabets: list[str | None] | None = None) -> str:
+    alphabets = alphabets or [_letters(c) for c in value]
+    if len(value) <= _PART:
+        return permute(value, alphabets, key, what)
+    out, before = [], hashlib.sha256(key)
+    for at in range(0, len(value), _PART):
+        out.append(permute(value[at : at + _PART], alphabets[at : at + _PART], key, f"{what}{before.hexdigest()}"))
+        before.update(value[at : at + _PART].encode())
+    return "".join(out)
+
+
+def _cased(value: str, make: Callable[[str], str]) -> str:
+    """``make`` of the value in lower case, with the case of the value."""
+    low = value.lower()
+    if len(low) != len(value):  # a letter whose lower case is two
+        return make(value)
+    return "".join(n.upper() if c != x and len(n.upper()) == 1 else n for c, x, n in zip(value, low, make(low)))
 
 
 def _plain(value: str) -> str:
@@ -147,10 +197,11 @@ def _iban_ok(value: str) -> bool:
 
 
 def _iban(value: str, key: bytes) -> str:
-    new = permute(value, [None if i < 4 else "0123456789" if c.isdigit() else _UP if c.isupper() else None for i, c in enumerate(value)], key, "iban")
-    rest = new.replace(" ", "")[4:]
-    check = 98 - int("".join(str(int(c, 36)) for c in rest + value[:2]) + "00") % 97
-    return f"{value[:2]}{check:02d}{new[4:]}"
+    plain = value.replace(" ", "")
+    new = permute(plain, [None if i < 4 else "0123456789" if c.isdigit() else _UP if c.isupper() else None for i, c in enumerate(plain)], key, "iban")
+    check = 98 - int("".join(str(int(c, 36)) for c in new[4:] + plain[:2]) + "00") % 97
+    digits = iter(f"{plain[:2]}{check:02d}{new[4:]}")
+    return "".join(c if c == " " else next(digits) for c in value)
 
 
 _UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -165,17 +216,34 @@ def _ip(value: str, key: bytes) -> str:
 def _email(value: str, key: bytes) -> str:
     user, _, host = value.rpartition("@")
     labels, _, top = host.rpartition(".")
-    return f"{_by_class(user, key, 'user')}@{_by_class(labels, key, 'host')}.{top}"
+    return f"{_cased(user, lambda v: _by_class(v, key, 'user'))}@{_cased(labels, lambda v: _by_class(v, key, 'host'))}.{top}"
+
+
+#: Country numbers of one and two digits; all others have three.
+COUNTRIES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 
 
 def _phone(value: str, key: bytes) -> str:
-    lead = re.match(r"\+\d{1,3}(?=[ .(-])|", value)[0]  # the country's number stays
-    return lead + permute(value[len(lead) :], ["0123456789" if c.isdigit() else None for c in value[len(lead) :]], key, f"phone{lead}")
+    digits = re.sub(r"\D", "", value)
+    n = next((k for k in (1, 2) if digits[:k] in COUNTRIES), 3) if value.startswith("+") else 0  # the country's number stays
+    new = iter(digits[:n] + permute(digits[n:], ["0123456789"] * (len(digits) - n), key, "phone"))
+    return "".join(next(new) if c.isdigit() else c for c in value)
+
+
+def _mac(value: str, key: bytes) -> str:
+    plain = re.sub("[:-]", "", value)
+    new = iter(_cased(plain, lambda v: permute(v, [HEX_LOW] * len(v), key, "mac")))
+    made = "".join(c if c in ":-" else next(new) for c in value)
+    return made.upper() if value == value.upper() else made.lower() if value == value.lower() else made
+
+
+_PREFIX = re.compile(r"AKIA|gh[pousr]_|sk-|")
 
 
 def _secret(value: str, key: bytes) -> str:
     letters = HEX_LOW if set(value) <= set(HEX_LOW) else HEX_UP if set(value) <= set(HEX_UP) else None
-    return permute(value, [letters] * len(value), key, "hex") if letters else _by_class(value, key, "secret")
+    n = _PREFIX.match(value).end()
+    return _by_class(value, key, "hex", [letters] * len(value)) if letters else value[:n] + _by_class(value[n:], key, f"secret{value[:n]}")
 
 
 def _given(value: str, key: bytes) -> str:
@@ -198,18 +266,23 @@ def _plausible(kind: str, m: re.Match) -> bool:
 
 #: Type, what a text must hold for it to be searched, pattern, surrogate. Earlier types win where two overlap.
 TYPES: list[tuple[str, str | None, re.Pattern, Callable[[str, bytes], str]]] = [
-    ("email", "@", re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,24}(?![\w@])", re.A), _email),
-    ("secret", None, re.compile(r"""(?i:(?<![A-Za-z])(?:token|secret|api[_-]?key|password|passwd|pwd|access[_-]?key)["']?\s*[=:]\s*["']?)([A-Za-z0-9+/_.~-]{6,256}={0,2})"""), _secret),
-    ("secret", None, re.compile(r"(?<![A-Za-z0-9])(?=[a-z]*[0-9])(?=[0-9]*[a-z])[0-9a-f]{32,128}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[0-9A-F]{32,128}(?![A-Za-z0-9])|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})\b"), _secret),
+    ("email", "@", re.compile(r"(?<![\w.+-])[^\W_][\w.+%-]{0,63}@(?:[^\W_][\w-]{0,62}\.){1,126}[^\W\d_]{2,63}(?![\w@])"), _email),
+    ("secret", None, re.compile(r"""(?i:(?<![A-Za-z])(?:token|secret|api[_-]?key|password|passwd|pwd|access[_-]?key)["']?\s*[=:]\s*["']?)([A-Za-z0-9+/_.~!@#$%^&*-]{6,}={0,2})"""), _secret),
+    ("secret", None, re.compile(r"(?<![A-Za-z0-9])(?=[a-z]*[0-9])(?=[0-9]*[a-z])[0-9a-f]{32,}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[0-9A-F]{32,}(?![A-Za-z0-9])|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})\b"), _secret),
     ("ip", ".", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), _as_written(_ip)),
     ("iban", None, re.compile(r"(?<![A-Za-z\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![A-Za-z\d])"), _as_written(_iban)),
     ("card", None, re.compile(r"(?<![\d.])(?:\d{4}[ -]){3}\d{4}(?:[ -]?\d{1,3})?(?![\d])|(?<![\d.])\d{13,19}(?!\d)"), _as_written(_card)),
     ("ssn", "-", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _as_written(lambda v, k: permute(v, ["0123456789" if c.isdigit() else None for c in v], k, "ssn"))),
     ("phone", None, re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"), _as_written(_phone)),
-    ("mac", ":", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9a-f]{2}:){5}[0-9a-f]{2}(?![0-9A-Fa-f:])|(?<![0-9A-Fa-f:])(?:[0-9A-F]{2}:){5}[0-9A-F]{2}(?![0-9A-Fa-f:])"), lambda v, k: permute(v, [None if c == ":" else HEX_LOW if v == v.lower() else HEX_UP for c in v], k, "mac")),
+    ("mac", None, re.compile(r"(?<![0-9A-Fa-f:-])(?:(?:[0-9A-Fa-f]{2}:){5}|(?:[0-9A-Fa-f]{2}-){5})[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])"), _mac),
 ]
 #: Only the first word is consumed, so the next one may be a given name itself.
 _NAMED = re.compile(r"(?<!\w)([A-ZА-ЯΑ-Ω][^\W\d_]+)(?= ((?:(?:van|von|de|da|di|del) )?[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?)\b)")
+#: What announces a person's name, and the words of the name: capitalised, or of a script without case.
+_TITLE = r"Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Srta|Doña|г-н|г-жа|господин|госпожа|κύριος|κυρία"
+_PHRASE = r"[Mm]y name is|[Nn]ame is|[Ff]ull [Nn]ame:|[Nn]ame:|[Ss]igned(?: by)?[,:]?|[Ss]incerely,|[Rr]egards,|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]on nom est|[Mm]e llamo|[Mm]i nombre es|[Мм]еня зовут|[Μμ]ε λένε|姓名[:：]|我叫"
+_CALLED = re.compile(rf"(?<!\w)(?:(?:{_TITLE})\.? |(?:{_PHRASE})\s*)(?:(?:{_TITLE})\.? )?(?=((?:[^\W\d_]+(?:[-'’][^\W\d_]+)*\.?)(?: (?:(?:van|von|de|da|di|del|bin|al) )?[^\W\d_]+(?:[-'’][^\W\d_]+)*){{0,3}}))")
+_PARTICLES = {"van", "von", "de", "da", "di", "del", "bin", "al"}
 #: Types that need a digit; most texts have none.
 _DIGITS = {"ip", "iban", "card", "ssn", "phone", "mac"}
 _DIGIT, _WORDS = re.compile(r"\d"), ("token", "secret", "key", "passw", "pwd", "akia")
@@ -220,39 +293,62 @@ def _may_hold_secret(text: str) -> bool:
     return any(w in low for w in _WORDS) or ("_" in text and "gh" in low) or "sk-" in text or max(map(len, text.split()), default=0) >= 32
 
 
+def _called(m: re.Match) -> list[tuple[int, str]]:
+    """Place and word of each part of an announced name."""
+    out = []
+    for w in re.finditer(r"[^ ]+", m[1]):
+        if w[0] in _PARTICLES:
+            continue
+        word = w[0].rstrip(".")
+        if not (word[0].isupper() or unicodedata.category(word[0]) == "Lo"):
+            break
+        if len(word) > 1 or unicodedata.category(word[0]) == "Lo":  # not an initial
+            out.append((m.start(1) + w.start(), word))
+    return out
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """[from, to) and type of each entity, in order, none overlapping."""
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []  # in order
+
+    def add(a: int, z: int, kind: str) -> bool:
+        k = bisect_left(found, (z,))  # of what begins before the end, the last ends last
+        if k and found[k - 1][1] > a:
+            return False
+        insort(found, (a, z, kind))
+        return True
+
     digit, wordy = bool(_DIGIT.search(text)), _may_hold_secret(text)
     for kind, needs, pattern, _ in TYPES:
         if (needs and needs not in text) or (kind in _DIGITS and not digit) or (kind == "secret" and not wordy):
             continue
         for m in pattern.finditer(text):
-            a, z = m.span(m.lastindex or 0)
-            if not any(a < y and x < z for x, y, _ in found) and _plausible(kind, m):
-                found.append((a, z, kind))
+            if _plausible(kind, m):
+                add(*m.span(m.lastindex or 0), kind)
     full = [m for m in _NAMED.finditer(text) if m[1] in _GENDER and m[2].split(" ")[-1][0].isupper()]
-    if full:  # a person's given name or surname by itself is the same person
-        given, at = {m[1] for m in full}, {m.start() for m in full}
-        last = {m.end(2) - len(m[2].split(" ")[-1]): m[2].split(" ")[-1] for m in full}
+    called = [c for c in map(_called, _CALLED.finditer(text)) if c]
+    if full or called:  # a person's given name or surname by itself is the same person
+        given, at = {m[1] for m in full} | {c[0][1] for c in called if len(c) > 1}, {m.start() for m in full} | {c[0][0] for c in called if len(c) > 1}
+        last = {m.end(2) - len(m[2].split(" ")[-1]): m[2].split(" ")[-1] for m in full} | {c[-1][0]: c[-1][1] for c in called}
         last = {i: w for i, w in last.items() if i not in at}  # of several given names only the last has the surname after it
-        taken = sorted(found)
-        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(given | set(last.values()), key=lambda s: (-len(s), s)))) + r")(?!\w)", text):
-            k = bisect_left(taken, (m.end(),))  # of what begins before the name ends, the last ends last
-            if not k or taken[k - 1][1] <= m.start():
-                found.append((*m.span(), "given" if m[0] in given and m.start() not in last else "surname"))
-    return sorted(found)
+        other = {w for c in called for _, w in c[1:-1]}
+        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(given | other | set(last.values()), key=lambda s: (-len(s), s)))) + r")(?!\w)", text):
+            add(*m.span(), ("given" if m[0] in _GENDER else "name") if m[0] in given and m.start() not in last else "surname")
+    return found
 
 
-_MAKE = {kind: make for kind, _, _, make in TYPES} | {"given": _given, "surname": lambda v, k: _by_class(v, k, "surname")}
+_MAKE = {kind: make for kind, _, _, make in TYPES} | {"given": _given, "name": lambda v, k: _by_class(v, k, "name"), "surname": lambda v, k: _by_class(v, k, "surname")}
 
 
 @lru_cache(1 << 14)
-def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
+def surrogate(kind: str, value: str, key: bytes) -> str:
     return _MAKE[kind](value, hashlib.sha256(key).digest())
 
 
-def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, str, str]], int]:
+_RUN = re.compile(r"\w+")
+
+
+def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str]], int]:
     """The text with surrogates; (type, original, surrogate) of each entity; collisions."""
     found = detect(text)
     if not found:
@@ -260,7 +356,8 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, str, str
     ends = [0, *(z for _, z, _ in found)]
     rest = [text[a:z] for a, z in zip(ends, [*(a for a, _, _ in found), len(text)])]
     left, chosen, taken, bad = "\0".join(rest), {}, set(), 0
-    free = lambda new: new not in taken and not (new in left and re.search(rf"(?<!\w){re.escape(new)}(?!\w)", left))
+    words = set(_RUN.findall(left))  # what stands there holds whole words of the text only
+    free = lambda new: new not in taken and not (words.issuperset(_RUN.findall(new)) and new in left and re.search(rf"(?<!\w){re.escape(new)}(?!\w)", left))
     for a, z, kind in found:
         if (kind, text[a:z]) in chosen:
             continue
@@ -293,23 +390,30 @@ def _column(key: bytes):
     return run
 
 
-def report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def configured_key(spark: SparkSession) -> bytes:
+    """The session's key, or a fresh one."""
+    found = spark.conf.get(KEY_SETTING, None)
+    return found.encode() if found else secrets.token_bytes(32)
+
+
+def report(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """doc_id, text with surrogates, n_entities, n_distinct, n_collisions of each row of ``docs``."""
     own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInArrow(_column(key), schema(doc_id=LONG, text=STR, n_entities=INT, n_distinct=INT, n_collisions=INT))
+    return own.mapInArrow(_column(key or configured_key(docs.sparkSession)), schema(doc_id=LONG, text=STR, n_entities=INT, n_distinct=INT, n_collisions=INT))
 
 
-def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``; other columns as they are, but ``n_chars``, where it is there, follows the text."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string"))
     kind = schema(row=rows.schema["row"].dataType, text=STR, n_entities=INT, n_distinct=INT, n_collisions=INT)
-    out = rows.mapInArrow(_column(key), kind)
+    out = rows.mapInArrow(_column(key or configured_key(docs.sparkSession)), kind)
     length = lambda c: F.when(F.col("n_entities") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType)
     return out.select(*[F.col("text") if c == "text" else length(c).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def collisions(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """type, surrogate, n of the surrogates that stand for more than one original, over all of ``docs``; only values taken after a document's own collision can."""
+    key = key or configured_key(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -112,46 +112,149 @@ def test_keep_one_of_repeated_ids(spark, odd):
     assert len(simhash.keep_one(odd).collect()) == simhash._rooted(simhash.fingerprints(odd).select("fp").distinct()).select("root").distinct().count()
 
 
-def test_decontamination(spark, odd, empty, monkeypatch):
+def test_decontamination(spark, odd, empty):
     item = " ".join(PROSE.split()[:15])
     bench = spark.createDataFrame([(1, item), (2, "hi"), (3, None), (None, "village"), (4, "...")], "item_id long, text string")
-    for block in (2 << 20, 60):  # one automaton, several
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
-        rows = {(r.doc_id, r.n_words): r for r in decontaminate.report(odd, bench).collect()}
-        r = rows[1, 22]
-        assert (r.n_hit, r.n_items, r.contaminated, r.items_sha256) == (15, 1, True, hashlib.sha256(b"1").hexdigest())
-        assert not rows[6, 20000].contaminated and rows[3, 0].n_hit == 0
+    rows = {(r.doc_id, r.n_words): r for r in decontaminate.report(odd, bench).collect()}
+    r = rows[1, 22]
+    assert (r.n_hit, r.n_items, r.contaminated, r.items_sha256) == (15, 1, True, hashlib.sha256(b"1").hexdigest())
+    assert not rows[6, 20000].contaminated and rows[3, 0].n_hit == 0
     assert decontaminate.clean(odd, bench).columns == odd.columns
     assert decontaminate.report(empty, bench).count() == 0
     spans = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in decontaminate.hit_spans(odd, bench).collect()}
     assert spans[2] == [(0, len(item))]
+    with pytest.raises(ValueError, match="most"):
+        decontaminate.annotate(odd, bench, most=10)
+
+
+def test_decontamination_brute():
+    """Hits and items of random texts of few words, where blocks, windows and items overlap, against every window."""
+    random.seed(6)
+    for _ in range(300):
+        pick = lambda n: " ".join(random.choice("ab") for _ in range(n))
+        source = pick(60).split()
+        items = []
+        for i in range(6):
+            at = random.randrange(40)
+            items.append((str(i % 5), " ".join(source[at : at + random.choice((0, 2, 12, 13, 14, 20, 27, 40))]) if random.random() < 0.7 else pick(random.choice((5, 13, 30)))))
+        w = source[random.randrange(20) : random.randrange(20, 60)] + pick(random.randrange(20)).split() + source[: random.randrange(60)]
+        hit, who = set(), set()
+        for item, t in items:
+            t = t.split()
+            n = min(13, len(t))
+            for k in range(len(t) - n + 1) if t else ():
+                for j in range(len(w) - n + 1):
+                    if w[j : j + n] == t[k : k + n]:
+                        hit |= set(range(j, j + n))
+                        who.add(item)
+        n, runs, got = decontaminate.scan(" ".join(w).encode(), *decontaminate.automaton([(i, t.encode()) for i, t in items]))
+        assert (n, {x for a, b in runs for x in range(a, b)}, got) == (len(w), hit, who)
+        assert all(x[1] < y[0] for x, y in zip(runs, runs[1:]))
+
+
+KEY = b"a key of the tests"
+
+
+def _surrogate(kind, value):
+    return pii.surrogate(kind, value, KEY)
+
+
+def _replaced(text):
+    return pii.replaced(text, KEY)
 
 
 def test_pii(spark, odd, empty):
-    cases = [("email", "jo.doe12@mail.example.org"), ("ip", "10.2.3.255"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (212) 555-7713"), ("iban", "DE89370400440532013000"), ("given", "Anna"), ("surname", "Müller"), ("ssn", "123-45-6789")]
+    cases = [("email", "jo.doe12@mail.example.org"), ("ip", "10.2.3.255"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (212) 555-7713"), ("iban", "DE89370400440532013000"), ("given", "Anna"), ("surname", "Müller"), ("ssn", "123-45-6789"), ("mac", "00:1a:2b:3c:4d:5e")]
     for kind, value in cases:
-        new = pii.surrogate(kind, value)
-        shape = lambda v: re.sub(r"[A-Za-zÀ-ÿ]", "a", re.sub(r"\d", "9", v))
-        assert new != value and (kind in ("ip", "given") or shape(new) == shape(value)) and new == pii.surrogate(kind, value)
-    assert pii._iban_ok(pii.surrogate("iban", "DE89370400440532013000")) and pii._GENDER[pii.surrogate("given", "Anna")] == ("latin", "f")
+        new = _surrogate(kind, value)
+        shape = lambda v: re.sub(r"[a-z]", "9", re.sub(r"[A-Za-zÀ-ÿ]", "a", re.sub(r"\d", "9", v))) if kind != "mac" else re.sub("[0-9a-f]", "9", v)
+        assert new != value and (kind in ("ip", "given", "surname") or shape(new) == shape(value)) and new == _surrogate(kind, value)
+        assert new != pii.surrogate(kind, value, b"another key") or kind == "given"
+    assert pii._iban_ok(_surrogate("iban", "DE89370400440532013000")) and pii._GENDER[_surrogate("given", "Anna")] == ("latin", "f")
     all_ = {pii.permute(f"{i:03d}", ["0123456789"] * 3, b"k" * 32, "t") for i in range(1000)}
     assert len(all_) == 1000 and all(pii.permute(f"{i:03d}", ["0123456789"] * 3, b"k" * 32, "t") != f"{i:03d}" for i in range(1000))
-    text, made, bad = pii.replaced("Anna Müller wrote from 10.2.3.4; Müller's card 4111111111111111, order 4111111111111112, a@b.co and a@b.co")
+    text, made, bad = _replaced("Anna Müller wrote from 10.2.3.4; Müller's card 4111111111111111, order 4111111111111112, a@b.co and a@b.co")
     assert bad == 0 and "4111111111111112" in text and "Müller" not in text and "10.2.3.4" not in text and len({m[2] for m in made if m[0] == "email"}) == 1
     rows = pii.report(odd).collect()
     assert len(rows) == odd.count() and sum(r.n_entities for r in rows) == 0 and any(r.text is None for r in rows)
     assert pii.replace(odd).columns == odd.columns and pii.report(empty).count() == 0 and pii.collisions(odd).count() == 0
 
 
+def test_pii_key(spark):
+    docs = spark.createDataFrame([(1, "123-45-6789"), (2, "so 123-45-6789")], "doc_id long, text string")
+    texts = lambda: [r.text for r in pii.report(docs).orderBy("doc_id").collect()]
+    one, other = texts(), texts()
+    assert one[1] == "so " + one[0] and one != other  # no key is kept
+    spark.conf.set(pii.KEY_SETTING, "kept")
+    try:
+        assert texts() == texts() == [pii.replaced(t, b"kept")[0] for t in ("123-45-6789", "so 123-45-6789")]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_pii_formats():
+    """One entity in several formats has one surrogate, in those formats."""
+    groups = [(["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"], " "), (["+12125557713", "+1 (212) 555-7713", "+1-212-555-7713", "+1.212.555.7713"], "[ ().-]"), (["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"], "[ -]"), (["jo.doe@mail.example.org", "Jo.Doe@Mail.example.org", "JO.DOE@MAIL.example.org"], None), (["00:1a:2b:3c:4d:5e", "00-1A-2B-3C-4D-5E"], "[:-]")]
+    for values, marks in groups:
+        text, made, bad = _replaced(" and ".join(values) + " 7")
+        assert [m[1] for m in made] == values and bad == 0, (values, made)
+        assert len({re.sub(marks, "", m[2]).lower() if marks else m[2].lower() for m in made}) == 1
+        for m in made:
+            assert len(m[1]) == len(m[2]) and [c for c in m[1] if not c.isalnum()] == [c for c in m[2] if not c.isalnum()]
+
+
+def test_pii_long_and_other_scripts():
+    long = "aB3dE" * 180
+    for secret in (long, "0f3a9" * 40, "0F3A9" * 300):
+        text, made, _ = _replaced(f"token={secret} end" if secret is long else f"see {secret} end")
+        assert [m[1] for m in made] == [secret] and secret[-40:] not in text and text.endswith(" end") and len(made[0][2]) == len(secret)
+    near = long[:-1] + "x"
+    assert _surrogate("secret", near) != _surrogate("secret", long)
+    for value in ("Öß", "Łęą", "王小", "김민수", "שלום", "Ñandú"):
+        new = _surrogate("surname", value)
+        assert new != value and len(new) == len(value) and all(unicodedata.category(a) == unicodedata.category(b) and unicodedata.name(a).split()[0].split("-")[0] == unicodedata.name(b).split()[0].split("-")[0] for a, b in zip(value, new))
+    assert [m[1] for m in _replaced("müller@straße.de or a.b@c.d.e.f.g.h.i.j.org")[1]] == ["müller@straße.de", "a.b@c.d.e.f.g.h.i.j.org"]
+
+
+def test_pii_announced_names():
+    cases = {"Dr. Priya Sharma came. Priya left, Sharma too": ["Priya", "Sharma", "Priya", "Sharma"], "My name is Mohammed Ali.": ["Mohammed", "Ali"], "Ms. Garcia and Herr Öß met": ["Garcia", "Öß"], "Frau Łęą and Herr von Dyk": ["Łęą", "Dyk"], "姓名: 王小明 来了": ["王小明", "来了"], "the name is on the list, regards to all": [], "Dr. no": []}
+    for text, names in cases.items():
+        assert [m[1] for m in _replaced(text)[1]] == names, text
+
+
+def test_pii_many_entities():
+    """Time in proportion to the text, also with many entities."""
+    text = " ".join(f"user{i}@host{i % 50}.org" for i in range(5000))
+    new, made, bad = _replaced(text)
+    assert len(made) == 5000 and bad == 0 and len({m[2] for m in made}) == 5000
+
+
+def test_pii_table(spark):
+    """Over a whole table: equal entities have equal surrogates, different ones different, unless a document's own collision moved one."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    to, back, moved = defaultdict(set), defaultdict(set), 0
+    for t in texts:
+        new, made, bad = _replaced(t or "")
+        assert all(a != b for _, a, b in made) and not bad
+        for kind, a, b in made:
+            plain = pii._plain(a)
+            if b != _surrogate(kind, a):
+                moved += 1
+                continue
+            to[kind, plain].add(pii._plain(b))
+            back[kind, b].add(a)
+    assert to and all(len(x) == 1 for x in to.values()) and all(len(x) == 1 for x in back.values()) and moved <= len(to) / 10
+
+
 def test_pii_names():
     cases = ["Contact Anna Schmidt today. Then Anna left.", "Dr Anna Schmidt", "Dear John Smith, John wrote", "Then Anna van Dyk and Schmidt", "Anna Maria Schmidt met Maria", "Herr Martin Paul and Anna Martin; Martin left"]
     want = [["Anna", "Schmidt", "Anna"], ["Anna", "Schmidt"], ["John", "Smith", "John"], ["Anna", "Dyk"], ["Anna", "Maria", "Schmidt", "Maria"], ["Martin", "Paul", "Anna", "Martin", "Martin"]]
     for text, names in zip(cases, want):
-        new, made, _ = pii.replaced(text)
+        new, made, _ = _replaced(text)
         assert [m[1] for m in made] == names and all(m[1] != m[2] for m in made)
         assert len({m[2] for m in made if m[:2] == made[0][:2]}) == 1 and new.split()[0] == (made[0][2] if text.startswith("Anna") else text.split()[0])
-    assert pii.replaced("Anna came. In May Paris was warm")[1] == []
-    assert [m[0] for m in pii.replaced("password=Margot Schmidt, Margot")[1]] == ["secret", "surname", "given"]
+    assert _replaced("Anna came. In May Paris was warm")[1] == []
+    assert [m[0] for m in _replaced("password=Margot Schmidt, Margot")[1]] == ["secret", "surname", "given"]
 
 
 def test_pii_digits(spark):
@@ -161,32 +264,47 @@ def test_pii_digits(spark):
         for script in (arabic, wide):
             other = value.translate(script)
             for extra in ("", " 7"):
-                new, made, bad = pii.replaced(f"see {other} now{extra}")
-                assert made == [(kind, other, pii.surrogate(kind, value).translate(script))] and bad == 0 and other not in new
+                new, made, bad = _replaced(f"see {other} now{extra}")
+                assert made == [(kind, other, _surrogate(kind, value).translate(script))] and bad == 0 and other not in new
     mixed = "123-45-6789".translate(arabic)[:6] + "-6789"
-    assert pii.replaced(mixed)[0] == pii.surrogate("ssn", "123-45-6789").translate(arabic)[:6] + pii.surrogate("ssn", "123-45-6789")[6:]
+    assert _replaced(mixed)[0] == _surrogate("ssn", "123-45-6789").translate(arabic)[:6] + _surrogate("ssn", "123-45-6789")[6:]
     docs = spark.createDataFrame([(1, "call " + "212-555-7713".translate(arabic) + " at 9"), (2, "x² ① 212-555-7713")], "doc_id long, text string")
     assert [r.n_entities for r in pii.report(docs).orderBy("doc_id").collect()] == [1, 1]
 
 
 def test_pii_collisions():
-    new = pii.surrogate("given", "Anna")
-    text, made, bad = pii.replaced(f"Anna Schmidt and Anna met {new}, not {new}x")
+    new = _surrogate("given", "Anna")
+    text, made, bad = _replaced(f"Anna Schmidt and Anna met {new}, not {new}x")
     got = {m[2] for m in made if m[1] == "Anna"}
-    assert bad == 0 and got == {pii.surrogate("given", new)} and text.count(new) == 2
-    assert pii.replaced(f"Anna Schmidt met {new}x")[1][0][2] == new  # part of a word only
-    assert pii.replaced(f"Anna Schmidt met {new}") == pii.replaced(f"Anna Schmidt met {new}")
-    number = pii.surrogate("ssn", "123-45-6789")  # an entity with this surrogate's value is replaced itself
-    assert pii.replaced(f"123-45-6789 and {number}")[2] == 0 and len({m[2] for m in pii.replaced(f"123-45-6789 and {number}")[1]}) == 2
+    assert bad == 0 and got == {_surrogate("given", new)} and text.count(new) == 2
+    assert _replaced(f"Anna Schmidt met {new}x")[1][0][2] == new  # part of a word only
+    number = _surrogate("ssn", "123-45-6789")  # an entity with this surrogate's value is replaced itself
+    assert _replaced(f"123-45-6789 and {number}")[2] == 0 and len({m[2] for m in _replaced(f"123-45-6789 and {number}")[1]}) == 2
     kind = "greek", "f"
     full = "Ελένη Παππά, " + ", ".join(n for n in pii.NAMES[kind] if n != "Ελένη")  # no name is free
-    assert pii.replaced(full)[2] == 1 and pii.replaced(full)[1][0][2] == pii.surrogate("given", "Ελένη")
+    assert _replaced(full)[2] == 1 and _replaced(full)[1][0][2] == _surrogate("given", "Ελένη")
+
+
+def _plain_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_token_ids():
+    """Ids of whole texts are those of the library, with special tokens in the text and any white space."""
+    letters = ["a", "b", "Ab", "é", "文", "1", "23", " ", "  ", "\n", "\n\n", " \n", "\t", "\r\n", "\x1c", "　", "\x85", "'s", "'ll", "!", "...", "<|endoftext|>", "<|endo", "\xa0", "\u200b", "\x00", "̀"]
+    random.seed(1)
+    texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 30))) for _ in range(10_000)]
+    encode = packing.Encoder(packing.tokenizer_path())
+    assert [x for at in range(0, len(texts), 500) for x in encode(texts[at : at + 500])] == _plain_ids(texts)
 
 
 def test_packing(spark, odd, empty):
     texts = [" lead", "two  spaces  x ", "\n a\n\nb \t c\r\nd", "x<|endoftext|>y z", "it's 'll we're\n's 12", "", "a\x1cb \x1c c", "é ̀x 文字　です"]
-    a, b = packing.Encoder(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path("byte_bpe_50k.json"))
-    assert a(texts) == b(texts) == [a._ids(t) for t in texts]
+    b = packing.Encoder(packing.tokenizer_path())
+    assert b(texts) == _plain_ids(texts)
     for frame in (odd, empty):
         rows, seqs, by = packing.pack(frame).collect(), defaultdict(list), defaultdict(list)
         for r in rows:
@@ -342,10 +460,12 @@ def _plain_kept(texts):
     return [not base and p >= 0.5 for (_, base), p in zip(rows, good())]
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, monkeypatch):
     """The whole pipeline against plain Python."""
     import corpus_pipeline
 
+    monkeypatch.setattr(pii, "configured_key", lambda spark: KEY)
+
     sf = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "surrogates", "packing"]
     assert len(registry.queries()) == 10
@@ -377,9 +497,9 @@ def test_pipeline(spark):
             clean[i] = t
     assert len(clean) < len(stay)
     # surrogates, tokens, pieces
-    encoder, want = packing.Encoder(packing.tokenizer_path("byte_bpe_50k.json")), {}
+    want = {}
     for i, t in clean.items():
-        ids = np.array(encoder.encode(pii.replaced(t or "")[0]) + [0], "<u4")
+        ids = np.append(np.frombuffer(_plain_ids([_replaced(t or "")[0]])[0], "<u4"), np.uint32(0))
         start, size, piece = 0, (len(ids) - 1) % 2048 + 1, 0
         while start < len(ids):
             want[i, piece] = (start, size, zlib.crc32(ids[start : start + size].tobytes()))
