@@ -1,15 +1,18 @@
 """Deterministic sharded WARC archives: written, committed by manifest, and read back.
 
-Records are range-sorted by ``page_id``: shards are cut from a histogram of bytes over equal ranges of ids, so they
-depend on the rows only, not on how the input was partitioned. A shard's files are rolled by compressed size. Each is
+Records are range-sorted by ``page_id``, then digest. A shard holds the records that start within one stretch of ``SHARD_BYTES`` of the sorted
+rows' running size; that size is an exact sum over all keys, so shards depend on the rows only, not on how the input was
+partitioned or how ids are spread. A shard is written by one task, as files rolled by compressed size. Each is
 written under a temporary name and renamed; the table of files (the manifest) is written last, by Spark's own commit,
-and readers open only what it lists. A task that runs twice writes the same bytes under the same name.
+and readers open only what it lists, and check its sizes and digests. A task that runs twice writes the same bytes under the same name.
+Every task gets the keys that begin a shard, some 40 bytes for each ``SHARD_BYTES`` of the input.
 
 Of records with equal payloads of at least ``LEAST`` bytes that of the smallest id is a response; the others are
 revisits without payload. Only ids and digests are shuffled to find them; a digest's rows are aggregated before.
 
 Odd cases: a null payload is an empty one, a null url gives ``urn:page:``; a null ``page_id`` sorts first, is never
-referred to and has no id in its record. Rows that repeat id and payload are responses if their id is the smallest. An
+referred to and has no id in its record. Rows that repeat id and payload are responses if their id is the smallest; their records
+share one WARC-Record-ID, as nothing tells them apart, and where they fill more than a shard they are dealt over the shards they fill. An
 empty table gives an empty manifest. Other columns are ignored.
 """
 
@@ -21,17 +24,20 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LONG, STR, own_columns, schema, scratch_path
+from .common import LONG, STR, join_hot, own_columns, schema, scratch_path, stored
 
 LEAST = 100
-SHARD_BYTES, MOST_SHARDS, BINS_PER_SHARD = 16 << 20, 20_000, 16
-ROLL_BYTES = 4 << 20
+SHARD_BYTES, ROLL_BYTES = 16 << 20, 4 << 20
+#: Beyond this many shards a task writes several; and the compressed bytes that a task reads back.
+MOST_TASKS, READ_BYTES = 20_000, 64 << 20
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -107,30 +113,65 @@ def _writer(base: str, roll: int):
     return run
 
 
-def revisits(meta: DataFrame) -> DataFrame:
-    """(page_id, digest, refers_to) of the records that revisit another; ``meta(page_id, digest, n_bytes)``."""
-    large = meta.where(F.col("n_bytes") >= LEAST)
-    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return large.join(first, "digest").where("not page_id <=> refers_to").select("page_id", "digest", "refers_to").distinct()
-
-
-def _sharded(rows: DataFrame, sizes: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """``rows`` with their shard by ``page_id``, and the number of shards; ``sizes(page_id, size)`` has each page once."""
-    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    low, high = low or 0, high or 0
-    n = max(1, -(-total // max(shard_bytes, total // MOST_SHARDS)))
-    bins = n * BINS_PER_SHARD
-    width = (high - low) // bins + 1
-    binned = lambda d: d.withColumn("bin", F.coalesce(F.expr(f"(page_id - {low}L) div {width}L"), F.lit(0).cast("long")))
-    held = {r.bin: r.n for r in binned(sizes).groupBy("bin").agg(F.sum("size").alias("n")).collect()}  # at most BINS_PER_SHARD rows a shard
-    shard, filled, of = 0, 0, []
-    for b in sorted(held):
-        if filled and filled + held[b] / 2 > total / n:
-            shard, filled = shard + 1, 0
-        of.append((b, shard))
-        filled += held[b]
-    table = rows.sparkSession.createDataFrame(of or [(0, 0)], "bin long, shard int")
-    return binned(rows).join(F.broadcast(table), "bin").drop("bin"), shard + 1  # bins are bounded by MOST_SHARDS
+def revisits(meta: DataFrame, total: int) -> DataFrame:
+    """(page_id, digest, refers_to) of the records that revisit another; ``meta(page_id, digest, n_bytes)`` has ``total`` rows."""
+    large = meta.where(F.col("n_bytes") >= LEAST).select("page_id", "digest")
+    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return join_hot(large, first, ["digest"], "n", total).where("not page_id <=> refers_to").select("page_id", "digest", "refers_to").distinct()
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted keys with their sizes: the size of what stands before each in its task, and before the key before it."""
+    total, last, task = 0, None, TaskContext.get().partitionId()
+    for b in batches:
+        ends = total + np.cumsum(np.asarray(b.column("size")))
+        starts = np.concatenate(([total], ends[:-1])).astype(np.int64) if len(ends) else ends
+        before = pa.array([last, *starts[:-1].tolist()][: len(starts)], pa.int64())
+        total, last = (int(ends[-1]), int(starts[-1])) if len(ends) else (total, last)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts), before, pa.array([task] * b.num_rows, pa.int64())], [*b.schema.names, "start", "before", "task"])
+
+
+def _first_keys(meta: DataFrame, shard_bytes: int) -> tuple[list, int]:
+    """(no id, page_id, d, shard, shards) of the keys that begin a shard or fill several, in order; number of shards."""
+    sizes = meta.groupBy("page_id", "d").agg(F.sum(F.col("n_bytes") + 500).alias("size"), F.count(F.lit(1)).alias("n"))
+    order = [F.col("page_id").asc_nulls_first(), F.col("d").asc()]
+    kept = schema(page_id=LONG, d=LONG, size=LONG, n=LONG, start=LONG, before=LONG, task=LONG)
+    keys = stored(sizes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_running, kept), "keys")
+    base, at = {}, 0
+    for r in keys.groupBy("task").agg(F.sum("size").alias("size")).orderBy("task").collect():  # one row a task
+        base[r.task] = at
+        at += r.size
+    if not base:
+        return [], 1
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col("task"))
+    shard = lambda c: F.floor((F.col(c) + offset) / F.lit(shard_bytes))
+    begins = F.col("before").isNull() | (shard("start") != shard("before")) | (F.col("size") > shard_bytes)
+    found = keys.where(begins).select(F.col("page_id").isNull().alias("none"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "d", shard("start").alias("shard"), F.greatest(F.lit(1), F.least("n", F.floor(F.col("size") / shard_bytes))).alias("shards"))
+    rows = sorted((not r.none, r.page_id, r.d, r.shard, r.shards) for r in found.collect())  # at most three a shard, and one a task
+    return rows, -(-at // shard_bytes)
+
+
+def _shard_of(firsts):
+    """First shard of a row by its key, and how many its key fills."""
+
+    def shards(page: pd.Series, d: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        some, pages, ds, shard, n = firsts.value
+        none, d = page.isna().to_numpy(), d.to_numpy(np.int64)
+        page, nulls = page.fillna(0).to_numpy(np.int64), int(np.searchsorted(some, 1))
+        lo = np.where(none, 0, nulls + np.searchsorted(pages[nulls:], page, "left"))
+        hi = np.where(none, nulls, nulls + np.searchsorted(pages[nulls:], page, "right"))
+        at = lo.copy()  # keys at or before each row's
+        for i in np.flatnonzero(hi > lo):
+            at[i] += np.searchsorted(ds[lo[i] : hi[i]], d[i], "right")
+        at = np.maximum(at - 1, 0)
+        same = (hi > lo) & (ds[at] == d)
+        return shard[at], np.where(same, n[at], 1)
+
+    @F.pandas_udf("struct<shard:long,shards:long>")
+    def of(page: pd.Series, d: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("shard", "shards"), shards(page, d))))
+
+    return of
 
 
 def write(pages: DataFrame, base: str, shard_bytes: int = SHARD_BYTES, roll: int = ROLL_BYTES) -> DataFrame:
@@ -138,16 +179,42 @@ def write(pages: DataFrame, base: str, shard_bytes: int = SHARD_BYTES, roll: int
     spark = pages.sparkSession
     own = own_columns(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = own.withColumn("digest", F.sha2("payload", 256))
-    refs = revisits(rows.select("page_id", "digest", F.length("payload").alias("n_bytes")))
+    key = F.xxhash64("digest").alias("d")
+    meta = stored(rows.select("page_id", "digest", F.length("payload").cast("long").alias("n_bytes"), key), "meta")
+    firsts, n = _first_keys(meta, shard_bytes)
+    table = tuple(np.array(c, np.int64) for c in zip(*firsts)) or (np.zeros(0, np.int64),) * 5
     none = lambda t: F.lit(None).cast(t)
-    pages_, refs_ = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", "digest", none("long").alias("refers_to")), refs.select("page_id", F.lit(0).alias("kind"), none("string").alias("url"), none("binary").alias("payload"), "digest", "refers_to")
-    both, n = _sharded(pages_.unionByName(refs_), own.select("page_id", (F.length("payload") + 500).alias("size")), shard_bytes)
-    order = both.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
+    pages_ = rows.select("page_id", key, F.lit(1).alias("kind"), "url", "payload", "digest", none("long").alias("refers_to"))
+    refs_ = revisits(meta, meta.count()).select("page_id", key, F.lit(0).alias("kind"), none("string").alias("url"), none("binary").alias("payload"), "digest", "refers_to")
+    of = _shard_of(spark.sparkContext.broadcast(table))("page_id", "d")
+    if firsts:
+        dealt = F.col("at.shard") + F.when(F.col("at.shards") > 1, F.pmod(F.monotonically_increasing_id(), F.col("at.shards"))).otherwise(0)
+        pages_ = pages_.withColumn("at", of).withColumn("shard", dealt)
+        refs_ = refs_.withColumn("at", of).withColumn("shard", F.explode(F.sequence(F.col("at.shard"), F.col("at.shard") + F.col("at.shards") - 1)))
+        both = pages_.unionByName(refs_).drop("at")
+    else:
+        both = pages_.withColumn("shard", F.lit(0).cast("long"))
+    a_task = -(-n // MOST_TASKS)
+    placed = both.repartitionById(-(-n // a_task), F.floor(F.col("shard") / a_task).cast("int"))  # a shard is one task's, and tasks are alike
+    order = placed.sortWithinPartitions("shard", "page_id", "d", "kind", "digest", "url").drop("d")
     manifest = order.mapInArrow(_writer(base, roll), schema(file=STR, records=LONG, bytes=LONG, sha256=STR))
     manifest.write.parquet(f"{base}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{base}/manifest")
 
 
+class _Counted:
+    """A stream that notes the size and digest of what was read."""
+
+    def __init__(self, stream):
+        self.stream, self.bytes, self.sha = stream, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.bytes += len(data)
+        self.sha.update(data)
+        return data
+
+
 def parse(stream) -> Iterator[tuple[dict, bytes]]:
     """Headers and block of each record of a gzip member stream."""
     data, z = b"", zlib.decompressobj(31)
@@ -170,18 +237,20 @@ def _reader(base: str):
         fs, root = pyarrow.fs.FileSystem.from_uri(base)
         number = lambda x: None if x is None else int(x)
         for b in batches:
-            for name, records in zip(b.column("file").to_pylist(), b.column("records").to_pylist()):
+            for name, records, size_, sha in zip(*(b.column(c).to_pylist() for c in ("file", "records", "bytes", "sha256"))):
                 rows = []
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                    for h, block in parse(stream):
+                    for h, block in parse(counted := _Counted(stream)):
+                        if hashlib.sha256(block).hexdigest() != h["WARC-Block-Digest"].removeprefix("sha256:"):
+                            raise ValueError(f"{name}: the block of {h['WARC-Record-ID']} isn't what its headers say")
                         http, _, payload = block.partition(b"\r\n\r\n")
                         digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
                         size = int(http.decode().rpartition("Content-Length: ")[2].split("\r\n")[0])
                         if h["WARC-Type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != size):
                             raise ValueError(f"{name}: the payload of {h['WARC-Record-ID']} isn't what its headers say")
                         rows.append((number(h.get("X-Page-Id")), size, digest, h["WARC-Type"], number(h.get("X-Refers-To-Page-Id")), name))
-                if len(rows) != records:
-                    raise ValueError(f"{name}: {len(rows)} records, the manifest says {records}")
+                if (len(rows), counted.bytes, counted.sha.hexdigest()) != (records, size_, sha):
+                    raise ValueError(f"{name}: {len(rows)} records and {counted.bytes} bytes aren't what the manifest says")
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
     return run
@@ -191,7 +260,8 @@ def read(spark: SparkSession, base: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, file of each record that the manifest vouches for."""
     manifest = spark.read.schema(schema(file=STR, records=LONG, bytes=LONG, sha256=STR)).parquet(f"{base}/manifest")
     kind = schema(page_id=LONG, payload_bytes=LONG, payload_digest=STR, record_type=STR, refers_to=LONG, file=STR)
-    return manifest.repartition(max(1, manifest.count()), "file").mapInArrow(_reader(base), kind)
+    size = manifest.agg(F.sum("bytes")).first()[0] or 0
+    return manifest.repartition(max(1, -(-size // READ_BYTES))).mapInArrow(_reader(base), kind)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -352,15 +352,36 @@ def test_warc(spark):
     rows = [(1, "http://a/", html), (2, "http://b/\r\nX: 1", html), (3, None, None), (4, "http://é/", "short"), (5, "http://c/", "short"), (None, "http://d/", html), (9, "http://e/", "é" * 300), (9, "http://e/", "é" * 300)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     base = scratch_path(spark, "test")
-    files = warc.write(pages, base, shard_bytes=300, roll=200)
+    files = warc.write(pages, base, shard_bytes=3000, roll=200)
     assert files.count() > 2
     got = warc.read(spark, base).collect()
     assert len(got) == len(rows) and {(r.page_id, r.record_type, r.refers_to) for r in got} == {(1, "response", None), (2, "revisit", 1), (3, "response", None), (4, "response", None), (5, "response", None), (None, "revisit", 1), (9, "response", None)}
-    again = warc.write(pages.repartition(5), scratch_path(spark, "test"), shard_bytes=300, roll=200)
+    again = warc.write(pages.repartition(5), scratch_path(spark, "test"), shard_bytes=3000, roll=200)
     assert sorted(files.collect()) == sorted(again.collect())
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_shards(spark):
+    """Shards of like size whatever the ids: an outlying one, extreme ones, one that holds most rows; and what a damaged file does."""
+    html = lambda i: f"{i} " + "x" * 20_000
+    spread = [(i, "u", html(i)) for i in range(200)] + [(2**62, "u", "far")]
+    extreme = [(-(2**63), "u", html(1)), (2**63 - 1, "u", html(2)), (0, "u", html(3))]
+    hot = [(5, "u", html(i)) for i in range(200)] + [(None, "u", html(i)) for i in range(100)]
+    equal = [(7, "u", html(0))] * 100 + [(8, "u", html(0))] * 100
+    for rows, least in ((spread, 35), (extreme, 1), (hot, 50), (equal, 35)):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+        base = scratch_path(spark, "test")
+        files = warc.write(pages, base, shard_bytes=100_000).collect()
+        shards = Counter(f.file.split("-")[1] for f in files for _ in range(f.records))
+        assert len(shards) >= least and max(shards.values()) <= 8, shards
+        got = Counter((r.page_id, r.payload_digest) for r in warc.read(spark, base).collect())
+        assert got == Counter((i, hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows)
+    with open(base.removeprefix("file://") + "/" + files[0].file, "r+b") as f:
+        f.write(f.read())  # its records once more
+    with pytest.raises(Exception, match="manifest"):
+        warc.read(spark, base).collect()
+
+
 def test_classifier(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
