@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG, LOWER, UPPER, own_columns, schema, stored
+from .common import LONG, LOWER, UPPER, join_hot, own_columns, schema, stored
 from .graph import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -164,16 +164,29 @@ def _rooted(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of each row of ``docs``."""
     seen = stored(fingerprints(docs), "prints")
-    linked = _rooted(stored(seen.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct"))
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return seen.join(linked.join(named, "root").select("fp", "component_id"), "fp")
+    distinct = stored(seen.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
+    linked = stored(_rooted(distinct), "rooted")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    total, prints = distinct.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
+    of = join_hot(linked.select("fp", "rows", "root"), named, ["root"], "members", prints)
+    return join_hot(seen, stored(of.select("fp", "component_id", "rows"), "named"), ["fp"], "rows", total)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one stays for each component: that of the smallest id (null ids last), then fingerprint, then hash of text. Rows with that same id and text count as one."""
+    """The rows of ``docs``, all columns, of which one stays for each component: that of the smallest id (null ids last), then fingerprint, then hash of text.
+
+    Rows to stay are chosen on keys alone. Of rows with the same id and text, which count as one, any stays.
+    """
+    none, id0 = F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id0")
     seen = stored(fingerprints(docs, hashes=True), "prints")
-    linked = _rooted(stored(seen.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")), "distinct"))
-    stay = linked.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "fp", "first.h")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.h")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("hash", F.xxhash64("row.text"))
-    rows = rows.join(stay, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left_semi")
-    return rows.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "hash"]).select("row.*")
+    once = seen.groupBy("fp", none, id0, "h").agg(F.count(F.lit(1)).alias("rows"))
+    distinct = stored(once.groupBy("fp").agg(F.min(F.struct("none", "id0", "h", "rows")).alias("first"), F.sum("rows").alias("all")), "distinct")
+    stay = _rooted(distinct).groupBy("root").agg(F.min(F.struct("first.none", "first.id0", "fp", "first.h", "first.rows")).alias("x"))
+    stay = stored(stay.select("x.none", "x.id0", "x.h", "x.rows", F.col("x.rows").alias("same")), "stay")
+    total = distinct.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key = F.col("row.doc_id").cast("long")
+    rows = rows.withColumns({"none": key.isNull(), "id0": F.coalesce(key, F.lit(0)), "h": F.xxhash64("row.text")})
+    kept = join_hot(rows, stay, ["none", "id0", "h"], "rows", total)
+    several = kept.where("same > 1").dropDuplicates(["none", "id0", "h"])
+    return kept.where("same = 1").unionByName(several).select("row.*") if stay.where("same > 1").head(1) else kept.select("row.*")

@@ -405,7 +405,12 @@ def test_samples_count_ids_once(spark, monkeypatch):
     plain = spark.createDataFrame([(i, 0 if i == ids[0] else n % 2) for n, i in enumerate(ids)], "doc_id long, quality int")
     assert gone and classifier.fit(docs, labels) == classifier.fit(docs, plain) != classifier.fit(docs, labels.limit(1))
     repeated = docs.unionByName(docs.where(docs.doc_id == ids[0]).crossJoin(spark.range(30)).select(docs.columns)).unionByName(docs.limit(1).crossJoin(spark.range(30)).selectExpr("CAST(NULL AS long) AS doc_id", "text", "'zz' AS lang"))
-    assert len(langid.fit(docs)) == 8 and len(langid.fit(repeated)) == 8
+    # of each language the SAMPLE ids of least hash; a rare one has its model too
+    chosen = [(i, f"{'ab' * (i % 5 + 1)} text {i}", "en" if n < 30 else "zz") for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(chosen, "doc_id long, text string, lang string")
+    few = spark.createDataFrame([c for c in chosen if c[2] == "zz"] + sorted((c for c in chosen if c[2] == "en"), key=lambda c: hashes[c[0]])[:8], docs.schema)
+    repeated = docs.unionByName(docs.where(docs.doc_id == ids[0]).crossJoin(spark.range(30)).select(docs.columns))
+    assert langid.fit(docs) == langid.fit(few) == langid.fit(repeated) and set(langid.fit(docs)) == {"en", "zz"}
 
 
 def test_language(spark):
@@ -417,6 +422,57 @@ def test_language(spark):
     assert langid.identify(odd, docs).count() == 3 and langid.identify(odd, docs.limit(0)).where("lang is not null").count() == 0 and langid.identify(odd.limit(0), docs).count() == 0
 
 
+def test_language_markup():
+    """Visible text and declared language, also of malformed pages, in time that grows with the page."""
+    import time
+
+    cases = {b"<p>one<br>two</p>": b"one two", b"<script>var a;</SCRIPT >x<style>b</style >y": b"x y", b"a<!-- <b> -->c": b"a c", b"a < b": b"a b", b"a<!-- b <i>c</i>": b"a c", b"<script>x": b"x", b"a&amp;b &": b"a b &", b"": b"", b"<": b""}
+    for html, text in cases.items():
+        assert langid.visible(html).split() == text.split(), (html, langid.visible(html))
+    for part in (b"<a ", b"<!-- ", b"<script ", b"<html ", b"&amp", b"<script></style>", b"<!--<script>"):
+        began = time.time()
+        langid.visible(part * 400_000), langid.declared(part * 400_000)
+        assert time.time() - began < 5, part
+    for html, lang in ((b'<HTML LANG="de-AT">', "de"), (b"<html xml:lang = 'eng'>", "en"), (b"<html class=slang><p lang=fr>", ""), (b'<meta http-equiv="Content-Language" content="es, en">', "es"), (b"<p>", ""), (b"<html", "")):
+        assert langid.declared(html) == lang, html
+
+
+def test_language_fusion(spark):
+    """The fused probabilities against plain Python, with null, repeated and long pages and columns of the operator's own names."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    long = "<p>" + "und der Fluss war breit " * 50_000
+    odd = spark.createDataFrame([(1, None, None), (None, "nonsense", ""), (2, "http://x.de/", "<html lang=de>"), (2, "http://x.de/", "<html lang=de>"), (3, "http://x.de/", long)], "page_id long, url string, html string")
+    pages = pages.select("page_id", "url", "html").unionByName(odd).selectExpr("*", "'x' AS host", "'x' AS q", "'x' AS rows", "'x' AS prior").repartition(3)
+    rows = [(r.page_id, r.url or "", (r.html or "").encode()) for r in pages.collect()]
+    models = langid.fit(docs)
+    langs = sorted(models)
+    tables = np.stack([np.frombuffer(models[x], "<f4") for x in langs], 1).astype(float)
+    parts = []
+    for _, url, html in rows:
+        grams, (n,) = langid._grams([langid.visible(html)])
+        text = tables[grams].sum(0) * langid.TEMPER * min(1.0, langid.MOST_GRAMS / max(n, 1))
+        says = langid.declared(html)
+        own = text + np.log([langid.DECLARED if says == x else (1 - langid.DECLARED) / (len(langs) - 1) if says in langs else 1 / len(langs) for x in langs])
+        q = np.exp(own - own.max())
+        host = (re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", url) or ["", ""])[1].lower()
+        domain, suffix = (re.search(r"([^.]+\.[^.]+)$", host) or ["", ""])[1], (re.search(r"([^.]+)$", host) or ["", ""])[1]
+        parts.append((own, q / q.sum(), (suffix, domain, host)))
+    counts = defaultdict(lambda: np.zeros(len(langs)))
+    for _, q, names in parts:
+        for level in range(4):
+            counts[names[:level]] += q
+    want = []
+    for (page, _, _), (own, q, names) in zip(rows, parts):
+        share = lambda level, above: (lambda x: x / x.sum())(np.maximum(counts[names[:level]] - q, 0) + langid.SMOOTH * above)
+        over = share(0, np.full(len(langs), 1 / len(langs)))
+        logs = own + np.log(share(1, over)) - np.log(over) + np.log(share(3, share(2, over)))
+        p = np.exp(logs - logs.max())
+        want.append((page or -1, langs[int(p.argmax())], round(float(p.max() / p.sum()), 6), names[2]))
+    got = [(r.page_id or -1, r.lang, round(r.probability, 6), r.host) for r in langid.identify(pages, docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_licences(spark, odd, empty):
     mit = licenses.TEMPLATES["MIT"]
     assert licenses.scan(f"Copyright (c) me\n\n{mit}\n\nmore")[:2] == ("MIT", 1.0)
