@@ -18,7 +18,7 @@ from .common import SPACE, WORD, let, own_columns, stored
 
 WINDOW = 5
 #: A word that is a mark by itself or ends in two marks.
-MARKED = r"(?:[!?#*$%&|<>]{2,}|(?<![^\x20\x09-\x0D])[#*$%&|<>])(?=[\x20\x09-\x0D]|$)"
+MARKED = r"(?:[!?#*$%&|<>]{2,}|(?<![^\x20\x09-\x0D])[#*$%&|<>])(?=[\x20\x09-\x0D]|\z)"
 KEEP = 0.5
 ROUNDS = 40
 #: Names of the rules, in the order of their votes.
@@ -26,48 +26,55 @@ RULES = ("length", "word_length", "symbols", "duplicate_lines", "repeated_words"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_marked")
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside windows of five words that occur twice or more. Hashes only rule windows out: equal ones are compared as words."""
+def _twins(rows: Column, *same: str) -> Column:
+    """Of sorted rows those that agree with a neighbour."""
 
-    def marked(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
-        hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-        exact = let(
-            F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(w, i, WINDOW)).alias("h"), F.slice(w, i, WINDOW).alias("w"), i.alias("i")))),
+    def like(x: Column, k: Column) -> Column:
+        beside = lambda step: F.coalesce(sum((F.when(F.get(rows, k + step)[c] == x[c], 0).otherwise(1) for c in same), F.lit(0)) == 0, F.lit(False))
+        return beside(-1) | beside(1)
+
+    return F.filter(rows, like)
+
+
+def _repeat_words(w: Column, h: Column) -> Column:
+    """Words inside windows of five words ``w`` that occur twice or more. Hashes ``h`` only rule windows out: those left are compared as words."""
+    at = F.transform(h, lambda x, k: F.struct(x.alias("h"), (k + 1).alias("i")))
+    near = let(F.array_sort(at), lambda s: _twins(s, "h"))
+    exact = let(
+        near,
+        lambda x: let(
+            F.array_sort(F.transform(x, lambda r: F.struct(r["h"].alias("h"), F.slice(w, r["i"], WINDOW).alias("w"), r["i"].alias("i")))),
             lambda s: let(
-                F.array_sort(F.transform(F.filter(F.arrays_zip(s.alias("s"), F.sequence(F.lit(0), F.size(s) - 1).alias("k")), lambda x: _twin(s, x["s"], x["k"], -1) | _twin(s, x["s"], x["k"], 1)), lambda x: x["s"]["i"])),
+                F.array_sort(F.transform(_twins(s, "h", "w"), lambda r: r["i"])),
                 # each repeated window adds what reaches beyond the one before it
                 lambda p: F.aggregate(p, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")))["n"],
             ),
-        )
-        return F.when(F.size(w) < WINDOW + 1, F.lit(0)).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(exact)))
-
-    return let(words, marked)
-
-
-def _twin(s: Column, x: Column, k: Column, step: int) -> Column:
-    other = F.get(s, k + step)
-    return F.coalesce((other["h"] == x["h"]) & (other["w"] == x["w"]), F.lit(False))
+        ),
+    )
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(exact)
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """STATS of each row, over the whole text; the row itself is in the struct ``row``."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda line: F.regexp_count(line, F.lit(WORD)) > 0)
-    joined = F.regexp_replace(text, SPACE, "")
-    minus = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        let(words, F.size).cast("long").alias("n_words"),
-        F.length(joined).cast("long").alias("word_chars"),
-        minus("#*$%&|<>").cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeat_words(words).cast("long").alias("n_repeat_words"),
-        let(lines, F.size).cast("long").alias("n_lines"),
-        F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace(text, r"\P{Ll}+", "")).cast("long").alias("n_lower"),
-        F.regexp_count(text, F.lit(MARKED)).cast("long").alias("n_marked"),
+    """STATS of each row, over the whole text; the row itself is in the struct ``row``.
+
+    Each text is split once, each word hashed once, and a window's hash made of its words' five.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("row", "text", F.array_remove(F.split("text", SPACE), "").alias("words"), F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD)).alias("lines"))
+    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    starts = F.slice("hashes", 1, F.greatest(F.lit(0), F.size("hashes") - (WINDOW - 1)))
+    rows = rows.withColumn("windows", F.transform(starts, lambda h, k: F.xxhash64(h, *[F.get("hashes", k + j) for j in range(1, WINDOW)])))
+    return rows.select(
+        "row",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col("words"), F.col("windows")).cast("long").alias("n_repeat_words"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+        (F.length("text") - F.length(F.regexp_replace("text", r"\p{Ll}+", ""))).cast("long").alias("n_lower"),
+        F.regexp_count("text", F.lit(MARKED)).cast("long").alias("n_marked"),
     )
 
 
@@ -149,3 +156,48 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text the rules keep."""
     return _judged(docs).where("kept").select("row.*")
+
+
+def _rules_sql() -> str:
+    """The rules and their fit as SQL, by lists instead of expressions over columns."""
+    share = lambda weight, want: f"(list_sum(list_transform(rows, lambda r, i: CASE WHEN r.v[j] = {want} THEN {weight} ELSE 0 END)) + 4) / (list_sum(list_transform(rows, lambda r, i: CASE WHEN r.v[j] <> 1 THEN {weight} ELSE 0 END)) + 5)"
+    odds = "ln(pi) - ln(1 - pi) + list_sum(list_transform(range(1, 8), lambda j: CASE r.v[j] WHEN 2 THEN ln(g[j]) - ln(1 - b[j]) WHEN 0 THEN ln(1 - g[j]) - ln(b[j]) ELSE 0 END))"
+    votes = {
+        "n_words": ("n_words < 10", "n_words >= 30"),
+        "mean": ("mean < 2.5 OR mean > 12", "mean >= 3 AND mean <= 10"),
+        "symbols": ("symbols > 0.1", "symbols < 0.03"),
+        "dup": ("dup > 0.3", "dup < 0.1"),
+        "rep": ("rep > 0.15", "rep < 0.05"),
+        "upper": ("upper_ > 0.4", "upper_ < 0.2"),
+        "marked": ("marked > 0.1", "marked < 0.03"),
+    }
+    v = ", ".join(f"CASE WHEN {bad} THEN 0 WHEN {good} THEN 2 ELSE 1 END" for bad, good in votes.values())
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+win AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS x FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS n FROM win) WHERE n > 1) GROUP BY rid),
+f AS (SELECT rid, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+      length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+      coalesce(rep.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '\\P{{Lu}}', '', 'g')) AS n_upper, length(regexp_replace(t, '\\P{{Ll}}', '', 'g')) AS n_lower,
+      len(list_filter(ws, lambda x: regexp_matches(x, '[!?#*$%&|<>]{{2}}$') OR regexp_full_match(x, '[#*$%&|<>]'))) AS n_marked FROM w LEFT JOIN rep USING (rid)),
+s AS (SELECT *, word_chars / greatest(n_words, 1) AS mean, n_symbols / greatest(n_words, 1) AS symbols, n_dup_lines / greatest(n_lines, 1) AS dup, n_repeat_words / greatest(n_words, 1) AS rep,
+      n_upper / greatest(n_upper + n_lower, 1) AS upper_, n_marked / greatest(n_words, 1) AS marked FROM f),
+p AS (SELECT *, [{v}] AS v FROM s),
+h AS (SELECT list({{'n': n, 'v': v}} ORDER BY v) AS rows FROM (SELECT v, count(*)::DOUBLE AS n FROM p GROUP BY v)),
+em AS (
+  SELECT 0 AS it, 0.8::DOUBLE AS pi, list_transform(range(7), lambda j: 0.95::DOUBLE) AS g, list_transform(range(7), lambda j: 0.4::DOUBLE) AS b
+  UNION ALL
+  SELECT it + 1, pi, g, list_transform(range(1, 8), lambda j: least(0.995, greatest(1.05 - g[j], {share('r.n * (1 - q[i])', 0)}))) AS b
+  FROM (SELECT it, rows, q, least(0.99, greatest(0.01, (list_sum(list_transform(rows, lambda r, i: r.n * q[i])) + 4) / (list_sum(list_transform(rows, lambda r: r.n)) + 5))) AS pi,
+               list_transform(range(1, 8), lambda j: least(0.995, greatest(0.7, {share('r.n * q[i]', 2)}))) AS g
+        FROM (SELECT it, rows, list_transform(rows, lambda r: 1 / (1 + exp(-({odds})))) AS q FROM em, h WHERE it < {ROUNDS}))),
+fitted AS (SELECT r.v AS v, 1 / (1 + exp(-({odds}))) AS p_good FROM (SELECT pi, g, b, unnest(rows) AS r FROM em, h WHERE it = {ROUNDS}))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND p_good >= {KEEP} AS kept, round(p_good, 6) AS p_good
+FROM p JOIN fitted USING (v)
+"""
+
+
+ORACLE = _rules_sql()

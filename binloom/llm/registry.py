@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_round_trip": warc.ORACLE, "op10_benchmark_decontamination": decontaminate.ORACLE}
+    return {"op1_warc_round_trip": warc.ORACLE, "op7_suffix_array_dedup": substrings.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op10_benchmark_decontamination": decontaminate.ORACLE}

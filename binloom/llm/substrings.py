@@ -320,3 +320,19 @@ def dedup(docs: DataFrame, text: bool = False) -> DataFrame:
     lost = (F.col("time") > 1) & (F.col("x.n_bytes") >= LENGTH)
     late = {"n_removed": F.col("x.n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "kept": F.lit(b"")}
     return each.select("doc_id", *[F.when(lost, late[c]).otherwise(F.col(f"x.{c}")).alias(c) if c in late else F.col(f"x.{c}").alias(c) for c in out])
+
+
+#: Texts as hexadecimal digits, two a byte; every window of every text, its first place, and the bytes that later ones cover.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, s, substr(h, 2 * s + 1, {2 * LENGTH}) AS x FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - {LENGTH - 1})) AS s FROM d WHERE len(h) >= {2 * LENGTH})),
+late AS (SELECT rid, s FROM w QUALIFY row_number() OVER (PARTITION BY x ORDER BY rid, s) > 1),
+edge AS (SELECT rid, s, s > coalesce(lag(s) OVER (PARTITION BY rid ORDER BY s), -{LENGTH + 1}) + {LENGTH} AS new FROM late),
+run AS (SELECT rid, s, sum(new::INT) OVER (PARTITION BY rid ORDER BY s) AS k FROM edge),
+span AS (SELECT rid, min(s) AS lo, max(s) + {LENGTH} AS hi FROM run GROUP BY rid, k),
+gap AS (SELECT rid, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS lo, lo AS hi FROM span UNION ALL SELECT rid, max(hi), NULL FROM span GROUP BY rid),
+kept AS (SELECT rid, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, len(h) // 2) - lo)), '' ORDER BY lo) AS k FROM gap JOIN d USING (rid) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n_spans, sum(hi - lo) AS n_removed FROM span GROUP BY rid)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
+"""
