@@ -79,9 +79,11 @@ def join_hot(rows: DataFrame, per_key: DataFrame, on: list[str], count: str, tot
     is broadcast and their rows stay where they are; all other keys are joined as usual.
     """
     is_hot = F.col(count) > total / HOT_SHARE
-    hot = F.broadcast(per_key.where(is_hot).drop(count))
-    rest = rows.join(hot.select(*on), on, "left_anti").join(per_key.where(~is_hot).drop(count), on)
-    return rows.join(hot, on).unionByName(rest)
+    values = [c for c in per_key.columns if c not in on and c != count]
+    hot = F.broadcast(per_key.where(is_hot).drop(count).withColumn("_hot", F.lit(True)))
+    marked = rows.join(hot, on, "left")
+    rest = marked.where("_hot is null").drop("_hot", *values).join(per_key.where(~is_hot).drop(count), on)
+    return marked.where("_hot").drop("_hot").unionByName(rest)
 
 
 def let(value: Column, body) -> Column:

@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, stored
+from .common import LONG, join_hot, schema, stored
+
+#: Edges that a task contracts at once.
+LOCAL = 1 << 20
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars around the least node of each of their components."""
+    parts = [(np.asarray(b.column("a")), np.asarray(b.column("b"))) for b in batches]
+    if not sum(len(a) for a, _ in parts):
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts))
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        least, new = np.minimum(label[x], label[y]), label.copy()
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], ["a", "b"])
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -24,10 +51,11 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node of ``edges(a long, b long)`` but the least of its component, with that least node.
 
-    Alternating large and small stars: as many rounds as the logarithm of the longest path, each written to the shared
+    First each task contracts up to ``LOCAL`` edges. Then alternating large and small stars: as many rounds as the logarithm of the longest path, each written to the shared
     folder. A hub's rows are aggregated before the shuffle and take the least neighbour by broadcast (``join_hot``).
     """
-    seen, now = None, edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    all_ = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    seen, now = None, all_.repartition(max(1, -(-all_.count() // LOCAL))).mapInArrow(_contract, schema(a=LONG, b=LONG))
     while True:
         now = stored(_small_star(_large_star(now, seen[0]), seen[0]) if seen is not None else now, "stars")
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
