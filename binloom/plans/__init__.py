@@ -2,39 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import clustering, evaluation, intervals, markers, selection, sequences, vectors
 from . import tables as t
+from .base import oracle_sql, queries, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
 RECALLS, PRECISIONS = [0.01, 0.02, 0.03, 0.04, 0.05], [0.01, 0.02, 0.03, 0.04, 0.05]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
 # --- evaluation against known genomes
 
 
@@ -343,12 +321,12 @@ def vmf_m_step(spark, d):
 # --- sets and reports
 
 
-_GENOMES = "a AS (SELECT DISTINCT s_nationkey AS genome FROM supplier WHERE s_acctbal > 5000), b AS (SELECT DISTINCT c_nationkey AS genome FROM customer WHERE c_acctbal > 9990)"
+_GENOMES = "a AS (SELECT DISTINCT s_nationkey AS genome FROM supplier WHERE s_acctbal > 5000), b AS (SELECT DISTINCT c_nationkey AS genome FROM customer WHERE c_acctbal > 9000)"
 
 
 def _genomes(spark, d):
     a = t.load(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("genome")).distinct()
-    return a, t.load(spark, d, "customer").where("c_acctbal > 9990").select(F.col("c_nationkey").alias("genome")).distinct()
+    return a, t.load(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("genome")).distinct()
 
 
 @query(f"WITH {_GENOMES} SELECT genome FROM a EXCEPT SELECT genome FROM b")
@@ -527,9 +505,9 @@ def split_choice(spark, d):
     return t.load(spark, d, "customer").select(F.col("c_custkey").alias("cluster"), clustering.algorithm(n, "von").alias("von"), clustering.algorithm(n, "mix").alias("mix"), F.size(clustering.split_counts(groups, n)).alias("tries"))
 
 
-@query(f"WITH {t.QUALITY} SELECT bin, CASE WHEN cont > 10 THEN 'split' ELSE 'keep' END AS first, CASE WHEN cont > 10 THEN 'split' WHEN cont > 5 THEN 'allocate' ELSE 'keep' END AS again FROM q")
+@query(f"WITH {t.QUALITY} SELECT bin, CASE WHEN cont > 10 THEN 'split' WHEN cont > 5 THEN 'allocate' ELSE 'keep' END AS first, CASE WHEN cont > 10 THEN 'split' WHEN cont > 5 THEN 'allocate' ELSE 'keep' END AS again FROM q")
 def refine_action(spark, d):
-    return t.quality(spark, d).select("bin", clustering.action(F.col("cont"), 0).alias("first"), clustering.action(F.col("cont"), 1).alias("again"))
+    return t.quality(spark, d).select("bin", clustering.action(F.col("cont")).alias("first"), clustering.action(F.col("cont")).alias("again"))
 
 
 @query()
@@ -537,3 +515,8 @@ def unlearned_split(spark, d):
     members = t.load(spark, d, "orders").select(F.col("o_custkey").alias("cluster"), F.col("o_orderkey").alias("contig"), F.round("o_totalprice").cast("long").alias("len"))
     counts = t.load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("contig")).agg(F.countDistinct("l_partkey").alias("n_genes"))
     return clustering.unlearned_split(first_fit_allocate(spark, d).join(counts, "contig"), members)
+
+
+from . import files, more  # noqa: E402, F401 - they register their queries
+
+__all__ = ["oracle_sql", "queries"]

@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from ..steps import written
 
 
+def _ordered(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """value, at: records with their order, by file, then by place in it."""
+    rows = spark.read.text(path, lineSep=separator)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("value", at.alias("at"))
+
+
 def fasta(spark: SparkSession, path: str, drop_plasmids: bool = True, trim_header: bool = False) -> DataFrame:
     """name, seq of FASTA records (also gzip): wrapped lines joined, upper case, blank lines skipped, of repeated names the last."""
-    raw = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("r"), F.monotonically_increasing_id().alias("at"))
+    raw = _ordered(spark, path, "\n>").select(F.regexp_replace("value", "^>", "").alias("r"), "at")
     name = F.trim(F.regexp_extract("r", r"^([^\r\n]*)", 1))
     rows = raw.select(F.element_at(F.split(name, r"\s+"), 1).alias("name") if trim_header else name.alias("name"), F.upper(F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", "")).alias("seq"), "at").where("name != ''")
     if drop_plasmids:
@@ -35,13 +42,13 @@ def domtblout(spark: SparkSession, path: str) -> DataFrame:
     text = {"target_name", "target_accession", "query_name", "query_accession"}
     parts = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split(F.trim("value"), " +").alias("p")).where(F.size("p") >= 22)
     cols = [F.col("p")[i].alias(n) if n in text else F.col("p")[i].try_cast("double").alias(n) for i, n in enumerate(names)]
-    return parts.select(*cols, F.concat_ws("_", F.slice("p", 23, 1000)).alias("description")).where("full_e is not null and dom_score is not null")
+    return parts.select(*cols, F.concat_ws("_", F.slice("p", F.lit(23), F.size("p"))).alias("description")).where("full_e is not null and dom_score is not null")
 
 
 def hmm_models(spark: SparkSession, path: str) -> DataFrame:
     """acc and thresholds ga, tc, nc (structs of full and dom, or null) of profile models."""
     pair = lambda k: F.when(F.regexp_extract("value", rf"(?m)^{k}\s+(\S+)", 1) != "", F.struct(*[F.regexp_extract("value", rf"(?m)^{k}\s+([-\d.]+)\s+([-\d.]+)", i).try_cast("double").alias(n) for i, n in ((1, "full"), (2, "dom"))])).alias(k.lower())
-    return spark.read.text(path, lineSep="//").where(F.col("value").contains("HMMER3/f")).select(F.regexp_extract("value", r"(?m)^ACC\s+(\S+)", 1).alias("acc"), pair("GA"), pair("TC"), pair("NC"))
+    return spark.read.text(path, lineSep="\n//").where(F.col("value").contains("HMMER3/f")).select(F.regexp_extract("value", r"(?m)^ACC\s+(\S+)", 1).alias("acc"), pair("GA"), pair("TC"), pair("NC"))
 
 
 def marker_sets(spark: SparkSession, path: str) -> DataFrame:
@@ -57,15 +64,119 @@ def gff(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("seq_id").orderBy("start", "end")) - 1).select("seq_id", "start", "end", "n")
 
 
+def gff_ends(spark: SparkSession, path: str) -> DataFrame:
+    """seq_id, genes, last: the number of genes of each sequence and where the last one ends."""
+    return gff(spark, path).groupBy("seq_id").agg(F.count(F.lit(1)).alias("genes"), F.max("end").alias("last"))
+
+
+def sam(spark: SparkSession, path: str) -> DataFrame:
+    """ref, st, en (half open, from 0) of the aligned reads of SAM text; headers and reads without a place are skipped.
+
+    A read's end follows from its operations that use up the reference (M, D, N, =, X); without any it has no length.
+    """
+    p = F.split("value", "\t")
+    rows = spark.read.text(path).where(~F.col("value").startswith("@")).select(p[1].try_cast("int").alias("flag"), p[2].alias("ref"), p[3].try_cast("long").alias("pos"), p[5].alias("cigar"))
+    used = F.aggregate(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"), 1), F.lit(0).cast("long"), lambda a, n: a + n.cast("long"))
+    rows = rows.where("ref is not null and ref != '*' and pos > 0").where(F.col("flag").bitwiseAND(F.lit(4)) == 0)
+    return rows.select("ref", (F.col("pos") - 1).alias("st"), (F.col("pos") - 1 + used).alias("en"))
+
+
 def paf(spark: SparkSession, path: str, ratio: float = 0.99) -> DataFrame:
     """Alignments of contigs to genomes: mobile elements dropped; of a contig the first row, and others that align nearly whole."""
     f = F.split("value", "\t")
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), f[0].alias("contig"), f[1].cast("long").alias("len"), F.split_part(f[5], F.lit("|"), F.lit(1)).alias("genome"), f[5].alias("subject"), f[6].cast("long").alias("subject_len"), f[7].cast("long").alias("st"), f[8].cast("long").alias("en"), f[10].cast("long").alias("block"))
+    raw = _ordered(spark, path).select("at", f[0].alias("contig"), f[1].cast("long").alias("len"), F.split_part(f[5], F.lit("|"), F.lit(1)).alias("genome"), f[5].alias("subject"), f[6].cast("long").alias("subject_len"), f[7].cast("long").alias("st"), f[8].cast("long").alias("en"), f[10].cast("long").alias("block"))
     rows = raw.where(~(F.col("subject").contains("RNODE") & F.col("subject").contains("length")))
     first = F.row_number().over(Window.partitionBy("contig").orderBy("at")) == 1
     return rows.withColumn("first", first).where(F.col("first") | (F.col("block") / F.col("len") >= ratio)).drop("first", "at")
 
 
+def write_truth(alignments: DataFrame, path: str) -> None:
+    """Rows of ``paf`` as a table of truth: contig, genome, subject, start, end."""
+    write_tsv(alignments.select("contig", "genome", "subject", "st", "en"), path)
+
+
+def write_biobox(alignments: DataFrame, genomes: DataFrame, path: str) -> None:
+    """contig, its length, genome, its length, with a header; ``genomes(genome, len)``."""
+    both = alignments.select("contig", "len", "genome").join(genomes.withColumnRenamed("len", "genome_len"), "genome")
+    write_tsv(both.select(F.col("contig").alias("SEQUENCEID"), F.col("len").alias("SEQ_LENGTH"), F.col("genome").alias("GENOMEID"), F.col("genome_len").alias("GEN_LENGTH")), path, header=True)
+
+
+def write_bins(members: DataFrame, genes: DataFrame, search: DataFrame, path: str) -> None:
+    """Cached rows dealt to new bins: ``members(bin, contig)``, ``genes(contig, orf, seq)`` and ``search(contig, line)``.
+
+    ``path``/faa has the genes of each bin as FASTA, a folder a bin; ``path``/search the search rows, named ``binΩ...``.
+    """
+    record = F.concat(F.lit(">"), "orf", F.lit("\n"), "seq").alias("value")
+    members.join(genes, "contig").select("bin", record).write.partitionBy("bin").text(f"{path}/faa")
+    members.join(search, "contig").select(F.concat("bin", F.lit("Ω"), "line").alias("value")).write.text(f"{path}/search")
+
+
+def orf_groups(spark: SparkSession, path: str) -> DataFrame:
+    """contig, orf, seq of a FASTA file of genes, whose names end at the first blank and hold the contig's."""
+    rows = fasta(spark, path, drop_plasmids=False, trim_header=True)
+    return rows.select(gene_contig(F.col("name")).alias("contig"), F.col("name").alias("orf"), "seq")
+
+
+def vocabulary_file(spark: SparkSession, path: str) -> DataFrame:
+    """word, idx"""
+    return tsv(spark, path, "word string, idx int")
+
+
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    """bin (without its suffix), annotation"""
+    return _fields(spark, path).select(F.regexp_replace(F.col("p")[0], r"(?<=[^/])\.[^./]*$", "").alias("bin"), F.col("p")[1].alias("annotation"))
+
+
+def write_annotations(df: DataFrame, path: str) -> None:
+    """``df(bin, annotation)``, one row a bin."""
+    write_tsv(df.select("bin", "annotation"), path)
+
+
+def all_info(spark: SparkSession, path: str) -> DataFrame:
+    """sample, bin, f1, recall, prec, state, genome of the bins of at least medium quality."""
+    p = F.col("p")
+    rows = _fields(spark, path).where(p[4].isin("HighQuality", "MediumQuality"))
+    name = F.split(p[0], "-")
+    return rows.select(name[0].cast("int").alias("sample"), name[1].alias("bin"), *[p[i].cast("double").alias(n) for i, n in ((1, "f1"), (2, "recall"), (3, "prec"))], p[4].alias("state"), F.element_at("p", -1).alias("genome"))
+
+
+def genome_ids(spark: SparkSession, path: str) -> DataFrame:
+    """genome (the file's name without folder and suffix), id"""
+    name = F.element_at(F.split(F.element_at("p", -1), "/"), -1)
+    return _fields(spark, path).select(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("genome"), F.col("p")[0].alias("id"))
+
+
+def abundances(spark: SparkSession, path: str) -> DataFrame:
+    """id, abundance"""
+    return _fields(spark, path).select(F.col("p")[0].alias("id"), F.col("p")[1].cast("double").alias("abundance"))
+
+
+def complete_genes(spark: SparkSession, path: str) -> DataFrame:
+    """file, n: genes of each file that are whole (``partial=00`` in the header)."""
+    rows = spark.read.text(path).where(F.col("value").startswith(">") & F.col("value").contains("partial=00"))
+    return rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rewrite_headers(spark: SparkSession, path: str, out: str) -> None:
+    """FASTA with headers cut at the first blank."""
+    header = F.col("value").startswith(">")
+    _ordered(spark, path).select(F.when(header, F.element_at(F.split("value", r"\s+"), 1)).otherwise(F.col("value")).alias("value")).write.text(out)
+
+
+def final_table(quality: DataFrame, seqs: DataFrame, members: DataFrame, path: str, gaps: bool = True) -> DataFrame:
+    """Writes the chosen bins: ``path``/bins a FASTA folder a bin, ``path``/info the table bin, comp, cont, state; returns the table.
+
+    ``quality(bin, comp, cont, state, scg_comp)``; with ``gaps`` bins whose two estimates are far apart are left out.
+    """
+    from ..operators.selection import without_gaps
+
+    kept = (without_gaps(quality) if gaps else quality).select("bin", "comp", "cont", "state")
+    record = F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")
+    members.join(kept.select("bin"), "bin").join(seqs, members["contig"] == seqs["name"]).select("bin", record).write.partitionBy("bin").text(f"{path}/bins")
+    write_tsv(kept, f"{path}/info")
+    return kept
+
+
 def gene_contig(orf):
     """The contig of an open reading frame: its name without the last part."""
     return F.regexp_replace(orf, "_[^_]*$", "")
@@ -78,7 +189,7 @@ def write_tsv(df: DataFrame, path: str, header: bool = False, by: list[str] | No
 
 def _fields(spark: SparkSession, path: str, skip: str | None = None) -> DataFrame:
     """Lines (``at``: their order) as arrays of tab-separated fields."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.split("value", "\t").alias("p"), "value")
+    rows = _ordered(spark, path).select("at", F.split("value", "\t").alias("p"), "value")
     return rows.where(F.trim("value") != "") if skip is None else rows.where((F.trim("value") != "") & ~F.col("value").rlike(skip))
 
 
@@ -97,6 +208,11 @@ def quality_report(spark: SparkSession, path: str, suffix: str = "", columns: tu
     return rows.where("comp is not null and cont is not null").withColumn("state", quality_state(F.col("comp"), F.col("cont")))
 
 
+def quality_counts(report: DataFrame) -> DataFrame:
+    """high, medium, low: how many bins of a report have each state."""
+    return report.agg(*[F.count_if(F.col("state") == x).alias(x) for x in ("high", "medium", "low")])
+
+
 def dereplication(spark: SparkSession, path: str) -> DataFrame:
     """rep, member: the file names of a table of paths."""
     base = lambda i: F.element_at(F.split(F.col("p")[i], "/"), -1)
@@ -123,9 +239,9 @@ def translation_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clans(spark: SparkSession, path: str) -> DataFrame:
-    """id, acc, clan, nested of each family of an annotation file whose records end with ``//``."""
+    """id, acc, clan, nested of each family of an annotation file whose records end with a line ``//``."""
     field = lambda k: F.regexp_extract("value", rf"(?m)^#=GF {k}\s+([^\s;]+)", 1)
-    rows = spark.read.text(path, lineSep="//").where(field("AC") != "")
+    rows = spark.read.text(path, lineSep="\n//").where(field("AC") != "")
     return rows.select(field("ID").alias("id"), F.regexp_replace(field("AC"), r"\.[^.]*$", "").alias("acc"), F.nullif(field("CL"), F.lit("")).alias("clan"), F.regexp_extract_all("value", F.lit(r"(?m)^#=GF NE\s+([^\s;]+)"), 1).alias("nested"))
 
 
@@ -173,6 +289,19 @@ def bin_folder(spark: SparkSession, path: str, suffix: str = "fasta") -> DataFra
     return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("bin"), F.element_at(F.split(F.expr("substr(value, 2)"), r"\s+"), 1).alias("contig"))
 
 
+def bin_parts(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """bin, contig of FASTA folders ``by=bin``, as ``write_bins`` and ``final_table`` leave them."""
+    rows = spark.read.text(path).where(F.col("value").startswith(">"))
+    return rows.select(F.col(by).cast("string").alias("bin"), F.element_at(F.split(F.expr("substr(value, 2)"), r"\s+"), 1).alias("contig"))
+
+
+def in_order(depths: DataFrame, seqs: DataFrame) -> DataFrame:
+    """at, contig, depth: ``depths(contig, depth)`` in the order of ``seqs(contig, at)``; a sequence without depth is an error."""
+    both = seqs.join(depths.withColumn("_known", F.lit(True)), "contig", "left")
+    checked = F.when(F.col("_known"), F.col("contig")).otherwise(F.raise_error(F.concat(F.lit("no depth of "), "contig")).cast("string"))
+    return both.select("at", checked.alias("contig"), "depth").orderBy("at")
+
+
 def genome_lengths(seqs: DataFrame) -> DataFrame:
     """genome, len: bases of the sequences ``name`` = genome|contig."""
     return seqs.groupBy(F.split_part("name", F.lit("|"), F.lit(1)).alias("genome")).agg(F.sum(F.length("seq").cast("long")).alias("len"))

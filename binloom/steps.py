@@ -1,20 +1,52 @@
-"""Tables that cut the lineage of operators with several steps."""
+"""Tables that cut the lineage of operators with several steps, and folders for files."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of an execution go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder of ``spark.checkpoint.dir``; a local one of our own only where that is unset (tests)."""
-    spark = df.sparkSession
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session has gone; nothing that can still be done at exit
+        pass
+
+
+def folder(spark: SparkSession, what: str = "steps") -> str:
+    """A fresh path in the folder of ``spark.checkpoint.dir``, deleted when the driver's Python ends. Only a local session, as in tests, gets a folder of its own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='binloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/binloom/steps-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{base.rstrip('/')}/binloom/{what}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    spark = df.sparkSession
+    path, before = folder(spark), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing will read again."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            _delete(t.sparkSession, path)
