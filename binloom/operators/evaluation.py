@@ -48,3 +48,26 @@ def threshold_grid(scored: DataFrame, recalls: list[float], precisions: list[flo
     # the grid's size is that of its parameters
     hit = scored.select(key, "recall", "precision").join(F.broadcast(grid), (F.col("recall") >= F.col("min_recall")) & (F.col("precision") >= F.col("min_precision")))
     return grid.join(hit.groupBy("min_recall", "min_precision").agg(F.countDistinct(key).alias("n")), ["min_recall", "min_precision"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def bin_lengths(aligned: DataFrame) -> DataFrame:
+    """bin, bin_bp: the summed lengths of a bin's contigs; ``aligned(bin, contig, contig_len)``."""
+    return aligned.select("bin", "contig", "contig_len").distinct().groupBy("bin").agg(F.sum("contig_len").alias("bin_bp"))
+
+
+def genome_lengths(rows: DataFrame) -> DataFrame:
+    """genome, genome_bp: the summed lengths of the subjects that any row names, admitted or not; ``rows(genome, subject, subject_len)``."""
+    return rows.select("genome", "subject", "subject_len").distinct().groupBy("genome").agg(F.sum("subject_len").alias("genome_bp"))
+
+
+def rank_grid(scored: DataFrame, ranks: DataFrame, names: list[str], recalls: list[float], precisions: list[float]) -> DataFrame:
+    """min_recall, min_precision, rank, n: how many genomes, and taxa of each rank, some bin recovers; ``ranks(genome, *names)``. All ranks are counted in one pass."""
+    spark = scored.sparkSession
+    grid = spark.createDataFrame([(r, p) for r in recalls for p in precisions], "min_recall double, min_precision double")
+    # the grid's size is that of its parameters
+    hit = scored.select("genome", "recall", "precision").join(F.broadcast(grid), (F.col("recall") >= F.col("min_recall")) & (F.col("precision") >= F.col("min_precision")))
+    hit = hit.select("genome", "min_recall", "min_precision").distinct().join(ranks, "genome")
+    counts = hit.groupBy("min_recall", "min_precision").agg(*[F.countDistinct(c).alias(c) for c in ("genome", *names)])
+    full = grid.join(counts, ["min_recall", "min_precision"], "left")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("rank"), F.coalesce(c, F.lit(0)).cast("long").alias("n")) for c in ("genome", *names)])).alias("x")
+    return full.select("min_recall", "min_precision", each).select("min_recall", "min_precision", "x.*")

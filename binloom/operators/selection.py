@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -49,3 +49,24 @@ def chunks(rows: DataFrame, by: str, order: str, parts: int) -> DataFrame:
     w = Window.partitionBy(by)
     numbered = rows.withColumn("_rn", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
     return numbered.withColumn("chunk", F.expr(f"_rn div (_n div {parts} + 1)")).drop("_rn", "_n")
+
+
+def run_group(method: Column) -> Column:
+    """The parameters of a clustering run but its bandwidth: the first eight parts of its name."""
+    return F.array_join(F.slice(F.split(method, "_"), 1, 8), "_")
+
+
+def with_qualities(pairs: DataFrame, external: DataFrame, own: DataFrame) -> DataFrame:
+    """``pairs(rep, member)`` with two estimates of each member, ``external(member, comp, ...)`` and ``own(member, scg_comp, ...)``; members without both are left out."""
+    return pairs.join(external, "member").join(own, "member")
+
+
+def with_unassigned(parts: DataFrame, bare: DataFrame) -> DataFrame:
+    """cluster, part, contig: the contigs of each part, and in each part all contigs of its cluster that no part has."""
+    return parts.select("cluster", "part", "contig").unionByName(parts.select("cluster", "part").distinct().join(bare, "cluster").select("cluster", "part", "contig"))
+
+
+def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of each key the rows of its last file."""
+    last = rows.groupBy(key).agg(F.max(order).alias(order))
+    return rows.join(last, [key, order], "left_semi")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import canonical, clean_sequence, gumbel, kmers, uniform
 
-from ..functions import canonical, clean_sequence, kmers
+#: Bases that are looked at together.
+_STRETCH = 1 << 20
 
 
 def contigs(docs: DataFrame) -> DataFrame:
@@ -26,13 +34,50 @@ def n50(lengths: DataFrame, *by: str) -> DataFrame:
     return reached.groupBy(*by).agg(F.max("len").alias("n50"))
 
 
+_CODE = np.full(256, 4, np.uint8)
+_CODE[[65, 67, 71, 84]] = 0, 1, 2, 3
+
+
+def _counted(k: int, by: list[str]):
+    """Counts of k-mers of each batch and group, by the words' numbers; words with other letters are ignored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups = pa.table({n: b.column(n) for n in by}).to_pylist() if by else [()] * b.num_rows
+            names: dict[tuple, int] = {}
+            of = [names.setdefault(tuple(g.values()) if by else (), len(names)) for g in groups]
+            total = np.zeros((len(names), 4**k), np.int64)
+            for g, seq in zip(of, b.column("seq")):
+                raw = seq.as_buffer() if seq.is_valid else None
+                if raw is None or raw.size < k:
+                    continue
+                for at in range(0, raw.size, _STRETCH):
+                    x = _CODE[np.frombuffer(raw[at : min(raw.size, at + _STRETCH + k - 1)], np.uint8)]
+                    n = len(x) - k + 1
+                    if n <= 0:
+                        continue
+                    word, bad = np.zeros(n, np.int64), np.zeros(n, bool)
+                    for j in range(k):
+                        word = word * 4 + x[j : j + n]
+                        bad |= x[j : j + n] == 4
+                    total[g] += np.bincount(word[~bad], minlength=4**k)
+            g, w = np.nonzero(total)
+            keys = list(names)
+            cols = [pa.array([keys[i][c] for i in g.tolist()], b.schema.field(n).type) for c, n in enumerate(by)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(w), pa.array(total[g, w])], [*by, "word", "n"])
+
+    return run
+
+
 def kmer_counts(seqs: DataFrame, k: int, *by: str, canon: bool = True) -> DataFrame:
-    """Histogram of k-mers; counts are added up in each task before the shuffle."""
-    kmer = F.explode(kmers(F.col("seq"), k)).alias("kmer")
-    shown = seqs.select(*by, kmer)
-    if canon:
-        shown = shown.withColumn("kmer", canonical(F.col("kmer")))
-    return shown.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    """Histogram of k-mers of ``seq``; those with letters other than A, C, G, T are ignored. Texts are counted batch by batch, so at most 4**k rows a group and batch are shuffled; words are spelt, and joined with their reverse, after that."""
+    kind = T.StructType([*[seqs.schema[c] for c in by], T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])
+    counts = seqs.select(*by, F.encode("seq", "UTF-8").alias("seq")).mapInArrow(_counted(k, list(by)), kind).groupBy(*by, "word").agg(F.sum("n").alias("n"))
+    kmer = F.concat(*[F.substring(F.lit("ACGT"), (F.shiftright("word", 2 * (k - 1 - j)).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) for j in range(k)])
+    named = counts.select(*by, kmer.alias("kmer"), "n")
+    if not canon:
+        return named
+    return named.groupBy(*by, canonical(F.col("kmer")).alias("kmer")).agg(F.sum("n").alias("n"))
 
 
 def composition(seqs: DataFrame, k: int, *by: str) -> DataFrame:
@@ -98,15 +143,50 @@ def top_batches(seqs: DataFrame, batch: int) -> DataFrame:
 def coverage_composition(seqs: DataFrame, runs: DataFrame, k: int) -> DataFrame:
     """contig, kmer, cov: depth summed over the places of each canonical k-mer, over k times the contig's length.
 
-    ``runs(contig, st, en, depth)`` are runs of equal depth, at most two for each base, so a contig's runs are no longer
-    than its sequence; they are laid out beside it and the depths of a k-mer are added in place.
+    ``runs(contig, st, en, depth)`` are runs of equal depth, none overlapping. A word's depth is the difference of two sums of the
+    depths before its ends, so the work is in proportion to the bases and the runs.
     """
-    own = runs.groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("st", "en", "depth"))).alias("runs"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("d"))
-    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n.cast("int"))
-    laid = F.aggregate("runs", start, lambda a, r: F.struct(r["en"].alias("at"), F.concat(a["d"], zeros(r["st"] - a["at"]), F.array_repeat(r["depth"], (r["en"] - r["st"]).cast("int"))).alias("d")))
-    both = seqs.where(F.col("len") >= k).join(own, "contig").withColumn("d", laid["d"])
-    both = both.withColumn("d", F.concat("d", zeros(F.greatest(F.lit(0), F.col("len") - F.size("d")))))
-    each = F.transform(kmers(F.col("seq"), k), lambda m, i: F.struct(canonical(m).alias("kmer"), F.aggregate(F.slice("d", i + 1, k), F.lit(0).cast("long"), lambda s, x: s + x).alias("x")))
-    shown = both.select("contig", "len", F.explode(each).alias("e")).select("contig", "len", "e.*").where("x > 0")
-    return shown.groupBy("contig", "len", "kmer").agg(F.sum("x").alias("x")).select("contig", "kmer", (F.col("x") / (k * F.col("len"))).alias("cov"))
+    own = runs.groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("st", "en", "depth"))).alias("runs"))  # at most two a base
+    both = seqs.where(F.col("len") >= k).select("contig", F.encode("seq", "UTF-8").alias("seq")).join(own, "contig")
+    both = both.select("contig", "seq", F.col("runs.st").alias("st"), F.col("runs.en").alias("en"), F.col("runs.depth").alias("depth"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x = _CODE[np.frombuffer(b.column("seq")[i].as_buffer(), np.uint8)]
+                st, en, depth = (b.column(c)[i].values.to_numpy() for c in ("st", "en", "depth"))
+                step = np.zeros(len(x) + 1, np.int64)
+                np.add.at(step, np.minimum(st, len(x)), depth)
+                np.add.at(step, np.minimum(en, len(x)), -depth)
+                before = np.concatenate(([0], np.cumsum(np.cumsum(step[:-1]))))  # depths before each place
+                n = len(x) - k + 1
+                word, back, bad = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+                for j in range(k):
+                    c = x[j : j + n].astype(np.int64)
+                    word, back, bad = word * 4 + c, back + ((3 - c) << (2 * j)), bad | (c == 4)
+                word = np.minimum(word, back)
+                sums = np.bincount(word[~bad], (before[k:] - before[:n])[~bad], 4**k)
+                w = np.flatnonzero(sums > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("contig")[i].as_py()] * len(w), b.schema.field("contig").type), pa.array(w), pa.array(sums[w] / (k * len(x)))], ["contig", "word", "cov"])
+
+    kind = T.StructType([both.schema["contig"], T.StructField("word", T.LongType()), T.StructField("cov", T.DoubleType())])
+    kmer = F.concat(*[F.substring(F.lit("ACGT"), (F.shiftright("word", 2 * (k - 1 - j)).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) for j in range(k)])
+    return both.mapInArrow(run, kind).select("contig", kmer.alias("kmer"), "cov")
+
+
+def sampled(seqs: DataFrame, by: str, seed: int) -> DataFrame:
+    """One contig of each group, drawn by the softmax of its share of the group's bases times a quarter of the number of contigs (1 to 16)."""
+    sizes = seqs.groupBy(by).agg(F.sum("len").alias("_bp"), F.count(F.lit(1)).alias("_n"))
+    rows = seqs.join(sizes, by)
+    logit = F.col("len") / F.col("_bp") * F.greatest(F.lit(1.0), F.least(F.lit(16.0), 0.25 * F.col("_n")))
+    best = F.max_by(F.struct("contig", "seq", "len"), F.struct(F.round(logit + gumbel(F.col("contig"), seed), 9), -F.col("contig")))
+    return rows.groupBy(by).agg(best.alias("x")).select(by, "x.*")
+
+
+def epoch_order(rows: DataFrame, batch: int, least_steps: int, seed: int) -> DataFrame:
+    """turn, at, id: the order of an epoch over ``rows(id)``: one permutation, or several if the steps of one are more than ten short of ``least_steps``."""
+    steps = rows.count() // batch
+    turns = least_steps // max(steps, 1) + 1 if steps + 10 < least_steps else 1
+    each = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+    order = Window.partitionBy("turn").orderBy(uniform(F.col("id"), F.col("turn"), seed), "id")
+    return each.select("turn", (F.row_number().over(order) - 1).cast("long").alias("at"), "id")

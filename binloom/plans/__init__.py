@@ -205,11 +205,6 @@ def marker_most_contigs(spark, d):
     return t.marker_counts(spark, d).groupBy("gene").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gene").limit(1)
 
 
-@query(f"WITH {t.MARKERS} SELECT gene, sum(bin)::BIGINT AS bp FROM mk GROUP BY gene ORDER BY bp DESC, gene LIMIT 1")
-def marker_longest(spark, d):
-    return t.marker_counts(spark, d).groupBy("gene").agg(F.sum("bin").alias("bp")).orderBy(F.desc("bp"), "gene").limit(1)
-
-
 _SETS = "st AS (SELECT DISTINCT p_brand AS gene, ascii(substr(p_brand, length(p_brand), 1)) % 4 AS set_id FROM part), sz AS (SELECT set_id, count(*) AS size FROM st GROUP BY ALL), per AS (SELECT b.bin, st.set_id, sum(CASE WHEN n >= 1 THEN 1 ELSE 0 END) / any_value(size) AS p, sum(greatest(coalesce(n, 0) - 1, 0)) / any_value(size) AS x FROM (SELECT DISTINCT bin FROM mk) b CROSS JOIN st JOIN sz USING (set_id) LEFT JOIN mk ON mk.bin = b.bin AND mk.gene = st.gene GROUP BY ALL)"
 
 
