@@ -72,17 +72,18 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
 HOT_SHARE = 256
 
 
-def join_hot(rows: DataFrame, per_key: DataFrame, on: list[str], count: str, total: float) -> DataFrame:
+def join_hot(rows: DataFrame, per_key: DataFrame, on: list[str], count: str, total: float, how: str | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``per_key``, which has one row a key and the rows of that key in ``count``.
 
     Of ``total`` rows, keys with more than one in HOT_SHARE are fewer than HOT_SHARE, whatever the input, so their side
-    is broadcast and their rows stay where they are; all other keys are joined as usual.
+    is broadcast and their rows stay where they are; all other keys are joined as usual, or by the strategy ``how`` at every size.
     """
     is_hot = F.col(count) > total / HOT_SHARE
     values = [c for c in per_key.columns if c not in on and c != count]
     hot = F.broadcast(per_key.where(is_hot).drop(count).withColumn("_hot", F.lit(True)))
     marked = rows.join(hot, on, "left")
-    rest = marked.where("_hot is null").drop("_hot", *values).join(per_key.where(~is_hot).drop(count), on)
+    cold = per_key.where(~is_hot).drop(count)
+    rest = marked.where("_hot is null").drop("_hot", *values).join(cold.hint(how) if how else cold, on)
     return marked.where("_hot").drop("_hot").unionByName(rest)
 
 

@@ -14,6 +14,7 @@ null ``doc_id`` stays null. No documents, no rows. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -34,7 +35,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: pattern are packed all the same, best fit first; with every second length (321 470 patterns at sf0.1) the fit takes twelve
 #: seconds instead of one and needs as many sequences.
 MIDDLES = 8
-_CACHED, _STEP = 400_000, 256
+_CACHED, _STEP = 300_000, 256
 #: White space besides blank and line end.
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -57,10 +58,9 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        self.whole = self.encode = lambda part: tokenizer.encode(part, add_special_tokens=False).ids
+        self.path, self._library = path, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         if os.path.exists(ranked := path.removesuffix(".json") + ".tiktoken"):
             import public_tokenizers
             import tiktoken
@@ -68,12 +68,24 @@ class Encoder:
             with open(ranked, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        sizes = {i: len(token) for token, i in tokenizer.get_vocab().items()}  # a character for each byte
+            sizes = {i: len(token) for token, i in ranks.items()}
+        else:
+            self.encode = self.whole
+            sizes = {i: len(token) for token, i in self.library().get_vocab().items()}  # a character for each byte
         self.bytes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
         self.known: dict[str, bytes] = {}  # by what stands between blanks: the ids of it and the blank before it
         self.old: dict[str, bytes] = {}
 
+    def library(self):
+        if self._library is None:  # only where a text needs it
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
+    def whole(self, text: str) -> list[int]:
+        return self.library().encode(text, add_special_tokens=False).ids
+
     def _ids(self, part: str) -> bytes:
         return array("I", self.encode(part)).tobytes()
 

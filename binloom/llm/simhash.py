@@ -187,6 +187,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     key = F.col("row.doc_id").cast("long")
     rows = rows.withColumns({"none": key.isNull(), "id0": F.coalesce(key, F.lit(0)), "h": F.xxhash64("row.text")})
-    kept = join_hot(rows, stay, ["none", "id0", "h"], "rows", total)
+    kept = join_hot(rows, stay, ["none", "id0", "h"], "rows", total, "shuffle_hash")  # a row a component: never a broadcast, and texts aren't sorted
     several = kept.where("same > 1").dropDuplicates(["none", "id0", "h"])
     return kept.where("same = 1").unionByName(several).select("row.*") if stay.where("same > 1").head(1) else kept.select("row.*")
