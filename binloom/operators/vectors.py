@@ -25,8 +25,8 @@ def _blocked(v: DataFrame, symmetric: bool) -> DataFrame:
     return both.where("x <= y") if symmetric else both
 
 
-def knn(v: DataFrame, k: int) -> DataFrame:
-    """src, dst, d2: the exact k nearest others by squared distance; ties by id."""
+def _near_block(k: int):
+    """The k nearest rows of side 1 to each row of side 0 of a block."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("id")
@@ -37,12 +37,76 @@ def knn(v: DataFrame, k: int) -> DataFrame:
         for i in range(0, len(x), 256):
             d = np.square(x[i : i + 256, None, :] - y[None, :, :]).sum(2) if x.shape[1] * len(y) < 1 << 17 else np.maximum(0, (x[i : i + 256] ** 2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x[i : i + 256] @ y.T)
             d[a.id.to_numpy()[i : i + 256, None] == b.id.to_numpy()[None, :]] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
+            near = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, : k + 1]
             rows.append(pd.DataFrame({"src": np.repeat(a.id.to_numpy()[i : i + 256], near.shape[1]), "dst": b.id.to_numpy()[near].ravel(), "d2": np.take_along_axis(d, near, 1).ravel()}))
         out = pd.concat(rows)
         return out[np.isfinite(out.d2)]
 
-    found = _blocked(v, False).groupBy("x", "y").applyInPandas(block, "src long, dst long, d2 double")
+    return block
+
+
+def knn(v: DataFrame, k: int) -> DataFrame:
+    """src, dst, d2, rank: the exact k nearest others by squared distance; ties by id."""
+    found = _blocked(v, False).groupBy("x", "y").applyInPandas(_near_block(k), "src long, dst long, d2 double")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.round("d2", 9), "dst"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+#: Rows that an index's centres are fitted on, at most; every row is indexed.
+INDEX_SAMPLE = 20_000
+
+
+#: Share of the neighbours within the sample that the default number of lists must hold.
+RECALL = 0.95
+
+
+def _enough(sample: np.ndarray, centres: np.ndarray, k: int) -> int:
+    """How many of the nearest lists hold RECALL of the neighbours of some rows of the sample."""
+    d2 = lambda x, y: (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T
+    asked = sample[:500]
+    d = d2(asked, sample)
+    d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    near = np.argsort(d, axis=1)[:, : min(k, len(sample) - 1)]
+    place = np.argsort(np.argsort(d2(asked, centres), axis=1), axis=1)
+    ranks = np.take_along_axis(place, d2(sample, centres).argmin(1)[near], 1).ravel()
+    return int(np.quantile(ranks, RECALL, method="higher")) + 1 if ranks.size else 1
+
+
+def knn_index(v: DataFrame, k: int, lists: int | None = None, probes: int | None = None, seed: int = 3407) -> DataFrame:
+    """src, dst, d2, rank: the k nearest others among the rows of the ``probes`` nearest lists.
+
+    Centres of the lists are fitted on ``INDEX_SAMPLE`` rows of least hash; every row goes to the list of its nearest centre and looks into its
+    nearest ones. Lists are cut into blocks of ``BLOCK_ROWS``, so a crowded one is many tasks'. By default there are as many
+    lists as the root of the number of rows, and as many are looked into as hold ``RECALL`` of the neighbours within the sample.
+    """
+    from . import partition
+
+    n = v.count()
+    lists = lists or max(1, int(n**0.5))
+    sample = np.array([r.vec for r in v.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(INDEX_SAMPLE).collect()], float)
+    if not len(sample):
+        return knn(v, k)
+    rng = np.random.default_rng(seed)
+    centres, _, _ = partition.lloyd(sample, np.ones(len(sample)), partition.spread(sample, np.ones(len(sample)), min(lists, len(sample)), rng), 10)
+    lists = len(centres)
+    probes = min(lists, probes or _enough(sample, centres, k))
+    at = v.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("array<int>")
+    def nearest(vecs: pd.Series) -> pd.Series:
+        x = np.stack(vecs.to_numpy()).astype(float)
+        d = (at.value**2).sum(1)[None] - 2 * x @ at.value.T
+        return pd.Series(np.argsort(d, axis=1, kind="stable")[:, :probes].tolist())
+
+    placed = v.withColumn("near", nearest("vec"))
+    sizes = placed.groupBy(F.col("near")[0].alias("list")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))  # one row a list
+    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    held = placed.withColumn("list", F.col("near")[0]).join(F.broadcast(sizes), "list").select("list", part.alias("y"), "id", "vec", F.lit(1).alias("side"), "blocks")
+    asks = placed.withColumn("list", F.explode("near")).join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "id", "vec", F.lit(0).alias("side"), "blocks")
+    chunk = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-n // (BLOCK_ROWS * lists)) * probes))).cast("int")
+    chunks = F.sequence(F.lit(0), F.lit(max(1, -(-n // (BLOCK_ROWS * lists)) * probes) - 1))
+    both = asks.withColumn("x", chunk).unionByName(held.withColumn("x", F.explode(chunks))).drop("blocks")
+    found = both.groupBy("list", "x", "y").applyInPandas(_near_block(k), "src long, dst long, d2 double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.round("d2", 9), "dst"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -359,7 +359,16 @@ def gene_gap_pivot(spark, d):
     return p.where("A > 0").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("A") - F.col("R")) / F.col("A")), 6).alias("gap"))
 
 
-@query()
+_FIT = """ge AS (SELECT l_orderkey AS contig, p_type AS gene, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+cg AS (SELECT o_custkey AS cluster, o_orderkey AS contig, round(o_totalprice)::BIGINT AS len, list({'g': gene, 'n': n} ORDER BY gene) AS genes FROM ge JOIN orders ON o_orderkey = contig GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY len DESC, contig) AS r, count(*) OVER (PARTITION BY cluster) AS n FROM cg),
+fit AS (SELECT cluster, contig, r, 0::BIGINT AS grp, [genes] AS groups FROM rk WHERE r = 1
+  UNION ALL SELECT cluster, contig, r, slot, CASE WHEN slot < len(groups) THEN list_transform(groups, lambda x, i: CASE WHEN i = slot + 1 THEN list_concat(x, genes) ELSE x END) ELSE list_append(groups, genes) END
+  FROM (SELECT rk.cluster, rk.contig, rk.r, rk.genes, f.groups, CASE WHEN rk.n <= 3 THEN 0 ELSE coalesce(nullif(list_position(list_transform(f.groups, lambda x: len(list_filter(rk.genes, lambda g: len(list_filter(x, lambda y: y.g = g.g AND y.n + g.n > 1)) > 0)) = 0), true), 0) - 1, len(f.groups)) END::BIGINT AS slot
+        FROM fit f JOIN rk ON rk.cluster = f.cluster AND rk.r = f.r + 1))"""
+
+
+@query(f'WITH RECURSIVE {_FIT} SELECT cluster, contig, grp::INT AS "group" FROM fit')
 def first_fit_allocate(spark, d):
     li = t.load(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     part = t.load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("gene"))
@@ -460,7 +469,12 @@ def gather_info(spark, d):
     return f1.join(q, "bin").join(names, "bin").select("genome", "bin", F.round("f1", 9).alias("f1"), F.round("comp", 6).alias("comp"), "n")
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT l_orderkey AS orf, 'PF' || regexp_replace(p_brand, '\\D', '', 'g') || '.1' AS acc, (p_size % 3)::VARCHAR AS clan, l_discount AS full_e, l_tax AS i_e, l_linenumber::BIGINT * 5 AS st, l_linenumber::BIGINT * 5 + l_quantity::BIGINT AS en FROM lineitem JOIN part ON p_partkey = l_partkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY orf ORDER BY full_e, i_e, acc, st, en, clan) AS k FROM h),
+f AS (SELECT orf, k, true AS ok, [{'clan': clan, 'st': st, 'en': en}] AS kept FROM r WHERE k = 1
+  UNION ALL SELECT orf, k, ok, CASE WHEN ok THEN list_append(kept, {'clan': clan, 'st': st, 'en': en}) ELSE kept END
+  FROM (SELECT r.*, f.kept, len(list_filter(f.kept, lambda x: x.clan = r.clan AND ((x.st <= r.st AND r.st < x.en) OR (r.st <= x.st AND x.st < r.en)))) = 0 AS ok FROM f JOIN r ON r.orf = f.orf AND r.k = f.k + 1))
+SELECT r.orf, acc, clan, full_e, i_e, st, en FROM r JOIN f ON f.orf = r.orf AND f.k = r.k WHERE ok""")
 def clan_filter(spark, d):
     part = t.load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("PF"), F.regexp_replace("p_brand", r"\D", ""), F.lit(".1")).alias("acc"), (F.col("p_size") % 3).cast("string").alias("clan"))
     li = t.load(spark, d, "lineitem").join(part, "l_partkey")
@@ -505,7 +519,10 @@ def refine_action(spark, d):
     return t.quality(spark, d).select("bin", clustering.action(F.col("cont")).alias("first"), clustering.action(F.col("cont")).alias("again"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FIT}, ng AS (SELECT l_orderkey AS contig, count(DISTINCT l_partkey) AS n_genes FROM lineitem GROUP BY 1), m AS (SELECT o_custkey AS cluster, o_orderkey AS contig, round(o_totalprice)::BIGINT AS len FROM orders),
+bare AS (SELECT cluster, sum(len) AS bare FROM m WHERE contig NOT IN (SELECT contig FROM fit) GROUP BY 1), p AS (SELECT fit.cluster, grp AS part, sum(len) AS own, sum(n_genes) AS genes FROM fit JOIN m USING (contig) JOIN ng USING (contig) GROUP BY ALL),
+x AS (SELECT p.cluster, part::INT AS part, (own + coalesce(bare, 0))::BIGINT AS bp, genes::BIGINT AS genes, sum(genes) OVER (PARTITION BY p.cluster) AS whole FROM p LEFT JOIN bare ON bare.cluster = p.cluster)
+SELECT cluster, part, bp, genes, row_number() OVER (PARTITION BY cluster ORDER BY round(genes / greatest(whole, 1) + ln(greatest(bp, 1)) / 20, 12) DESC, part) AS rank FROM x WHERE part = 0 OR bp >= 25000""")
 def unlearned_split(spark, d):
     members = t.load(spark, d, "orders").select(F.col("o_custkey").alias("cluster"), F.col("o_orderkey").alias("contig"), F.round("o_totalprice").cast("long").alias("len"))
     counts = t.load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("contig")).agg(F.countDistinct("l_partkey").alias("n_genes"))

@@ -343,3 +343,80 @@ def variance_covariance(spark, d):
     v = t.vectors(spark, d).select("id", "vec")
     pairs = v.where("id % 2 = 0").join(v.select((F.col("id") - 1).alias("id"), F.col("vec").alias("b")), "id").select("id", F.col("vec").alias("a"), "b")
     return losses.variance_covariance(pairs, 64).select(F.round("loss", 6).alias("loss"))
+
+
+# --- clustering
+
+
+@query()
+def knn_by_index(spark, d):
+    """Neighbours by the index; recall against ``knn_l2`` is measured in the tests."""
+    return vectors.knn_index(t.vectors(spark, d).drop("label"), 5).select("src", "dst", F.round("d2", 6).alias("d2"))
+
+
+def _small(spark: SparkSession, d: str) -> DataFrame:
+    """Eight dimensions of the embeddings at length one."""
+    return t.vectors(spark, d).select("id", fn.normalised(F.slice("vec", 1, 8)).alias("vec"), "label")
+
+
+_DENSITY = "CASE WHEN k <= 300 THEN ln(list_sum(list_transform(range(0, 400), lambda j: exp((2 * j + 3) * ln(k / 2) - lgamma(j + 1.0) - lgamma(j + 4.0))))) END"
+
+
+@query(f"WITH {t.VECTORS}, e AS (SELECT id, list_slice(vec, 1, 8) AS x, (1 + id % 50)::DOUBLE AS k FROM v), n AS (SELECT id, k, x[1] / sqrt(list_sum(list_transform(x, lambda y: y * y))) AS c FROM e) SELECT id, round(k * c - 4 * ln(2 * pi()) - {_DENSITY} + 3 * ln(k), 6) AS f FROM n")
+def vmf_density_small(spark, d):
+    """Exact log densities in eight dimensions, around the first axis."""
+    from ..operators import mixture
+
+    @F.pandas_udf("double")
+    def normaliser(k):
+        import pandas as pd
+
+        return pd.Series(mixture.log_normaliser(k.to_numpy(), 8))
+
+    kappa = (1 + F.col("id") % 50).cast("double")
+    return _small(spark, d).select("id", F.round(kappa * F.col("vec")[0] - normaliser(kappa), 6).alias("f"))
+
+
+@query()
+def vmf_mixture(spark, d):
+    """Soft mixture from the labels' means as first centres."""
+    import numpy as np
+
+    from ..operators import mixture
+
+    v = t.vectors(spark, d)
+    first = np.array([r["mean"] for r in vectors.centroids(v, "label").orderBy("label").collect()])  # one row a label
+    model, _ = mixture.fit(v, first, tol=1e-3)
+    return mixture.predict(v, model).select("id", "label", F.round("p", 6).alias("p"), F.round("inertia", 6).alias("inertia"))
+
+
+def _clusters(spark: SparkSession, d: str):
+    """Vectors in clusters by label, with marker genes of some of them."""
+    v = t.vectors(spark, d)
+    members = v.select(F.col("label").cast("string").alias("cluster"), F.col("id").alias("contig"), (1000 + F.col("id") * 37 % 9973).alias("len"))
+    genes = v.where("id % 3 = 0").select(F.col("id").alias("contig"), F.concat(F.lit("g"), (F.col("id") % 10 + F.col("label") % 2).cast("string")).alias("gene"), F.lit(1).cast("long").alias("n"))
+    sets = spark.createDataFrame([(i // 3, f"g{i}") for i in range(12)], "set_id int, gene string")
+    return members, v.select(F.col("id").alias("contig"), "vec"), genes, sets, sets.where("set_id < 2")
+
+
+@query()
+def refined_bins(spark, d):
+    from ..operators import refine
+
+    members, vecs, genes, bacteria, archaea = _clusters(spark, d)
+    found, quality = refine.refine(members, vecs, genes, bacteria, archaea)
+    sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("contigs"), F.sum("len").alias("bp"))
+    return quality.join(sizes, "cluster").select("cluster", "level", "domain", F.round("comp", 6).alias("comp"), F.round("cont", 6).alias("cont"), "contigs", "bp")
+
+
+@query()
+def grid_runs(spark, d):
+    """Communities of every set of parameters, with how many communities and the sizes of the largest."""
+    from ..operators import refine
+
+    v = t.vectors(spark, d)
+    near = vectors.knn(v.drop("label"), 100)
+    nodes = v.select("id", (1 + F.col("id") % 7).alias("size"), (F.col("id") < 10).alias("fixed"))
+    found = refine.grid(near, nodes)
+    sizes = found.groupBy("run", "community").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("run").agg(F.count(F.lit(1)).alias("communities"), F.max("n").alias("largest"), F.sum("n").alias("contigs"))
