@@ -7,8 +7,9 @@ span, as long as no two share words: of those that do, the one stays that aligns
 a BSD-3-Clause text isn't a BSD-2-Clause one). Words of a match are blanked and the windows that held them aligned
 again until nothing more is found, so repeated and concatenated licences all count.
 
-A long text is aligned window by window (twice the template's words, half overlapping), and only windows that hold
-enough of a template's distinct words; no window that could reach the coverage is passed over.
+A licence's words lie together: alignments are made within windows of ``WINDOW`` times the template's words, one beginning with every
+template's length, so any match whose words lie within ``WINDOW - 1`` template lengths is inside one, however long the text. Only
+windows that hold enough of a template's distinct words are aligned; others can't reach the coverage.
 
 Odd cases: null and wordless texts have no licence (null, coverage 0, no matches). ``license`` and its columns are those
 of the match of largest coverage; of equal ones the longer template, then the name that sorts first, then the first place. Repeated rows give equal rows; a null ``doc_id`` stays null. No rows in, no rows
@@ -31,6 +32,8 @@ from pyspark.sql import types as T
 from .common import DBL, INT, LONG, STR, own_columns, schema
 
 COVER = 0.8
+#: Template lengths to a window; words of a match may stand three times as far apart as in the template.
+WINDOW = 4
 #: The words of well-known licences and notices. "ISC grant" and "BSD conditions" are the parts that stand without the rest.
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
@@ -95,6 +98,11 @@ _EVERY = frozenset().union(*_SETS.values())
 _ORDER = sorted(((n, t, len(_SETS[n]) - int(len(t) * (1 - COVER) + 1e-9)) for n, t in _PARSED.items()), key=lambda x: (-len(x[1]), x[0]))
 
 
+def _starts(words: int, n: int) -> range:
+    """Where windows begin; the last one reaches the end."""
+    return range(0, max(1, words - (WINDOW - 1) * n + n), n)
+
+
 Match = tuple[str, float, int, int, int]
 
 
@@ -107,13 +115,13 @@ def matches(text: str) -> list[Match]:
     found = list(_WORD.finditer(text))
     words: list[str | None] = [m[0].lower() for m in found]
     tries: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (template, window): aligned places
-    todo = [(k, at) for k, (_, t, _) in enumerate(likely) for at in range(0, max(1, len(words) - len(t)), len(t))]
+    todo = [(k, at) for k, (_, t, _) in enumerate(likely) for at in _starts(len(words), len(t))]
     order: list[tuple] = []  # tries, the best first; entries whose try has changed are passed over
     out: list[Match] = []
     while True:
         for k, at in todo:
             name, t, least = likely[k]
-            window = words[at : at + 2 * len(t) + len(t) // 2]
+            window = words[at : at + WINDOW * len(t)]
             tries.pop((k, at), None)
             if len(_SETS[name].intersection(window)) >= least:
                 pairs = aligned(t, window)
@@ -133,8 +141,7 @@ def matches(text: str) -> list[Match]:
         todo = []
         for k, (_, t, _) in enumerate(likely):  # windows that held a word of it
             n = len(t)
-            first = max(0, (lo - 2 * n - n // 2) // n * n)
-            todo += [(k, at) for at in range(first, min(hi + 1, max(1, len(words) - n)), n)]
+            todo += [(k, at) for at in range(max(0, (lo // n - WINDOW) * n), hi + 1, n) if at in _starts(len(words), n) and at + WINDOW * n > lo]
 
 
 def scan(text: str, every: list[Match] | None = None) -> tuple[str | None, float, int, int, int]:

@@ -488,6 +488,44 @@ def test_licences(spark, odd, empty):
     assert licenses.aligned(a, b) == [(1, 0), (2, 1), (3, 2), (4, 4), (5, 5)]
 
 
+def test_alignment_brute():
+    """With words that occur once on either side the alignment is a longest common subsequence; else a rising sequence of equal words."""
+    random.seed(8)
+    for turn in range(200):
+        unique = turn % 2
+        a, b = ([str(w) for w in (random.sample(range(40), random.randint(0, 30)) if unique else [random.randrange(9) for _ in range(random.randint(0, 30))])] for _ in range(2))
+        pairs = licenses.aligned(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+        longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                longest[i + 1][j + 1] = longest[i][j] + 1 if p == q else max(longest[i][j + 1], longest[i + 1][j])
+        assert len(pairs) == longest[-1][-1] if unique else len(pairs) <= longest[-1][-1]
+
+
+def test_licences_anywhere():
+    """Licences with words put in and left out, at any place of a long text, are found with the coverage that their own stretch has."""
+    random.seed(9)
+    for name, text in licenses.TEMPLATES.items():
+        words = licenses._PARSED[name]
+        for spread in (0, 1, 2):
+            if len(words) < 20 and spread:
+                continue
+            for lead in (0, 3 * len(words) // 2, 5 * len(words) + 7, 1000):
+                part = [x for w in words if random.random() > 0.04 or len(words) < 20 for x in (w, *(f"z{random.randrange(10**6)}" for _ in range(spread)))]
+                whole = [f"y{i}" for i in range(lead)] + part + [f"x{i}" for i in range(900)]
+                got = licenses.matches(" ".join(whole))
+                want = len(licenses.aligned(words, part)) / len(words)
+                assert (got and got[0][0] == name and got[0][1] >= want - 0.03) or want < 0.83, (name, spread, lead, want, got)
+
+
+def test_licence_ties(spark):
+    """Of two matches as large and as long the name that sorts first; very long texts; columns of the operator's own names."""
+    rows = [(1, licenses.TEMPLATES["MIT notice"] + " and " + licenses.TEMPLATES["CC-BY-NC-4.0 notice"]), (2, "words " * 200_000 + licenses.TEMPLATES["ISC"] + " words" * 200_000), (None, licenses.TEMPLATES["MIT"])]
+    got = {r.doc_id: (r.license, r.coverage) for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS license", "2 AS matches")).collect()}
+    assert got == {1: ("CC-BY-NC-4.0 notice", 1.0), 2: ("ISC", 1.0), None: ("MIT", 1.0)}
+
+
 def test_all_licences(spark):
     t = licenses.TEMPLATES
     names = lambda text: [m[0] for m in licenses.matches(text)]
