@@ -99,8 +99,8 @@ _ORDER = sorted(((n, t, len(_SETS[n]) - int(len(t) * (1 - COVER) + 1e-9)) for n,
 
 
 def _starts(words: int, n: int) -> range:
-    """Where windows begin; the last one reaches the end."""
-    return range(0, max(1, words - (WINDOW - 1) * n + n), n)
+    """Where windows begin: also close to the end, where the last of several copies stands alone."""
+    return range(0, max(1, words - int(n * COVER) + 1), n)
 
 
 Match = tuple[str, float, int, int, int]
