@@ -9,12 +9,13 @@ documented bound, the same at every size), in one task; its weights have a fixed
 
 Odd cases: null and wordless texts score by the intercept alone. A null ``doc_id`` isn't held out and is never trained
 on. Labels that are null, or of no document, are left out; repeated ones count once (the least label), as do documents that
-share an id (the least text); none of these takes a place of the sample. Without any labels all scores are 0.5. Repeated documents give a row each. No documents, no rows.
+share an id (the least text); a document whose labels differ counts as bad; none of these takes a place of the sample. Without any labels all scores are 0.5. Repeated documents give a row each. No documents, no rows.
 Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,6 +81,25 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.diff(cuts)
 
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _parts(text: bytes) -> Iterator[np.ndarray]:
+    """Features of a text's words in parts of bounded size, cut between words; a part begins with the last word of the one before it, for its pair only."""
+    at, before = 0, b""
+    while at < len(text):
+        cut = _GAP.search(text, at + _CHUNK)
+        end = cut.start() if cut else len(text)
+        part = text[at:end].rstrip()
+        found, _ = hashed([before + b" " + part if before else part])
+        if before and len(found):
+            found[0, ::2] = -1
+        yield found
+        if part:
+            before = part[max(part.rfind(c) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")) + 1 :]
+        at = end
+
+
 def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
     part, size = [], 0
     for t in texts:
@@ -112,8 +132,14 @@ class Ftrl:
 
 
 def _sparse(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    found, (n,) = hashed([text])
-    ids, counts = np.unique(found[found >= 0], return_counts=True)
+    total: dict[int, int] = {}
+    n = 0
+    for found in _parts(text):
+        n += int((found[:, 0] >= 0).sum())
+        for i, c in zip(*(x.tolist() for x in np.unique(found[found >= 0], return_counts=True))):
+            total[i] = total.get(i, 0) + c
+    ids = np.array(sorted(total), np.int64)
+    counts = np.array([total[i] for i in ids.tolist()], float)
     return np.append(ids, 1 << BITS), np.append(counts / np.sqrt(max(n, 1)), 1.0)
 
 
@@ -133,6 +159,12 @@ def _score(model):
         for b in batches:
             scores = []
             for part in _chunks([t or b"" for t in b.column("text").to_pylist()]):
+                if len(part) == 1 and len(part[0]) > _CHUNK:  # a long text
+                    x, n = 0.0, 0
+                    for found in _parts(part[0]):
+                        x, n = x + w[found].sum(), n + int((found[:, 0] >= 0).sum())
+                    scores.append(1 / (1 + np.exp(-np.clip(np.array([x / np.sqrt(max(n, 1)) + bias]), -35, 35))))
+                    continue
                 found, n = hashed(part)
                 total = np.concatenate(([0.0], np.cumsum(w[found].sum(1))))
                 ends = np.cumsum(n)

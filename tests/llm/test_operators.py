@@ -394,6 +394,65 @@ def test_classifier(spark, odd, empty):
     assert len(rows) == odd.count() and {r.score for r in rows} == {0.5} and classifier.classify(empty, labels).count() == 0
 
 
+def _plain_features(text):
+    """Features of a text by plain arithmetic."""
+    mask, base, of = (1 << 64) - 1, int(classifier._BASE), Counter()
+
+    def mix(h, salt):
+        h = ((h ^ salt) * 0xFF51AFD7ED558CCD) & mask
+        h ^= h >> 32
+        return ((h * 0xC4CEB9FE1A85EC53) & mask) >> (64 - classifier.BITS)
+
+    poly = lambda letters: sum((c + 1) * pow(base, i, 1 << 64) for i, c in enumerate(letters)) & mask
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+    plain = [poly([c + 32 if 65 <= c <= 90 else c for c in w]) for w in words]
+    kind = lambda c: 97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c
+    shapes = [[k for i, k in enumerate(map(kind, w)) if not i or kind(w[i - 1]) != k] for w in words]
+    forms = [poly(s) for s in shapes]
+    for j, h in ((0, plain), (2, forms)):
+        of.update(mix(x, j) for x in h)
+        of.update(mix((x * 0x9FB21C651E98DF25 + y) & mask, j + 1) for x, y in zip(h, h[1:]))
+    return {i: c / max(1, len(words)) ** 0.5 for i, c in of.items()} | {1 << classifier.BITS: 1.0}
+
+
+def test_classifier_brute(spark, monkeypatch):
+    """Scores against plain follow-the-regularised-leader, with repeated and conflicting labels and texts beyond a chunk."""
+    rows = [(r.doc_id, (r.text or "")[:900]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [(900, "One  LONG text\tof 12 words, " * 60), (901, None), (None, "no id")]
+    marks = [(r.doc_id, r.quality) for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()]
+    marks += [marks[0]] * 50 + [(marks[1][0], 0), (marks[1][0], 1), (5000, 1), (None, 1), (900, 1), (marks[2][0], None)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(marks, "doc_id long, quality int")
+    for chunk in (1 << 20, 300):
+        monkeypatch.setattr(classifier, "_CHUNK", chunk)
+        got = {r.doc_id: r.score for r in classifier.classify(docs, labels).collect()}
+        if chunk == 300:
+            assert all(abs(got[i] - first[i]) < 1e-6 for i in got)  # noqa: F821
+        first = got
+    texts = {i: (t or "").encode() for i, t in rows}
+    y = {}
+    for i, q in marks:
+        if i in texts and i is not None and q is not None and zlib.crc32(str(i).encode()) % 5:
+            y[i] = min(q, y.get(i, 1))
+    hashes = {r.id: r.h for r in spark.createDataFrame([(i,) for i in y], "id long").selectExpr("id", "xxhash64(id) AS h").collect()}
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= classifier.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * classifier.L1) / ((classifier.BETA + n[i] ** 0.5) / classifier.ALPHA + classifier.L2)
+
+    of = {i: _plain_features(texts[i]) for i in texts}
+    for _ in range(classifier.EPOCHS):
+        for i in sorted(y, key=lambda i: (hashes[i], y[i], i)):
+            w = {f: weight(f) for f in of[i]}
+            g = 1 / (1 + np.exp(-sum(w[f] * v for f, v in of[i].items()))) - y[i]
+            for f, v in of[i].items():
+                sigma = ((n[f] + (g * v) ** 2) ** 0.5 - n[f] ** 0.5) / classifier.ALPHA
+                z[f] += g * v - sigma * w[f]
+                n[f] += (g * v) ** 2
+    for i in texts:
+        assert abs(got[i] - 1 / (1 + np.exp(-sum(weight(f) * v for f, v in of[i].items())))) < 1e-4, i
+
+
 def test_samples_count_ids_once(spark, monkeypatch):
     """Repeated rows and labels without a document take no places of the samples."""
     monkeypatch.setattr(classifier, "SAMPLE", 8)
@@ -644,3 +703,45 @@ def test_oracles(spark):
         cols = sorted(df.columns)
         got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
         assert got == sorted(db.sql(sql).select(",".join(cols)).fetchall(), key=repr), name
+
+
+def test_pipeline_odd(spark, odd, empty, tmp_path):
+    """The stages one after another on nulls, repeated rows and ids, and columns of the operators' own names; and on an empty table."""
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, " ".join(PROSE.split()[:15])), (2, None)], "item_id long, text string")
+    more = odd.unionByName(spark.createDataFrame([(i, f"{PROSE} and number {i} of them all was " + " ".join(f"w{i}x{j}" for j in range(40)), "en", "s", 1, "x", "y", "z", 0) for i in (20, 20, 21)] + [(None, " ".join(f"v{j}" for j in range(50)), None, None, None, None, None, None, None)], SCHEMA))
+    for rows, least in ((more, 2), (empty, 0)):
+        docs = rows
+        bench.write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            new = stage(spark, docs, f"file://{tmp_path}")
+            assert new.columns == rows.columns
+            new.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+            docs = spark.read.schema(new.schema).parquet(f"{tmp_path}/{name}")
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, f"file://{tmp_path}").collect()
+        assert len({(r.doc_id) for r in last}) >= least and (least or not last)
+        kept = [(r.doc_id, r.text) for r in docs.collect()]
+        assert len(kept) == len(set(kept)) and not any(t in (None, "", PROSE) for _, t in kept)
+
+
+def test_simhash_long():
+    """Texts of more shingles than are counted together."""
+    words = [f"w{i * 7919 % 4001}" for i in range(simhash._CHUNK + 5000)]
+    text = " ".join(words)
+    h = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(len(words) - 2)], np.uint64)
+    assert simhash.fingerprint(text.encode()) == sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+
+
+def test_base_columns(spark):
+    """All base columns of the rules against plain Python, on odd characters, repeated lines and long windows."""
+    random.seed(11)
+    parts = ["a", "Bb", "é", "文字", "##", "%x", "!!", "$", "\u2028", "😀", "12"]
+    texts = ["".join(random.choice(parts) + random.choice([" ", "  ", "\n", "\n\n", "\t", "\r\n", ""]) for _ in range(random.randint(0, 60))) for _ in range(200)] + ["same line\nsame line\n \nsame line ", "x " * 3000, " ".join(f"w{i % 50}" for i in range(5000))]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w, n = _words(t), Counter()
+        n.update(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        lines = [x for x in t.split("\n") if _words(x)]
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len({j for k in range(len(w) - 4) if n[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}))
+        assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == want, i
