@@ -25,29 +25,36 @@ def _blocked(v: DataFrame, symmetric: bool) -> DataFrame:
     return both.where("x <= y") if symmetric else both
 
 
-def _near_block(k: int):
-    """The k nearest rows of side 1 to each row of side 0 of a block."""
+def _nearest(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest rows of ``b`` to each row of ``a``, and one more for a tie."""
+    b = b.sort_values("id")
+    x, y = np.stack(a.vec.to_numpy()).astype(float), np.stack(b.vec.to_numpy()).astype(float)
+    rows = []
+    for i in range(0, len(x), 256):
+        d = np.square(x[i : i + 256, None, :] - y[None, :, :]).sum(2) if x.shape[1] * len(y) < 1 << 17 else np.maximum(0, (x[i : i + 256] ** 2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x[i : i + 256] @ y.T)
+        d[a.id.to_numpy()[i : i + 256, None] == b.id.to_numpy()[None, :]] = np.inf
+        near = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, : k + 1]
+        rows.append(pd.DataFrame({"src": np.repeat(a.id.to_numpy()[i : i + 256], near.shape[1]), "dst": b.id.to_numpy()[near].ravel(), "d2": np.take_along_axis(d, near, 1).ravel()}))
+    out = pd.concat(rows)
+    return out[np.isfinite(out.d2)]
+
+
+def _near_block(k: int, both: bool):
+    """The nearest rows of side 1 to each row of side 0 of a pair of blocks; with ``both`` also the other way round, if they are two."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("id")
+        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if a.empty or b.empty:
             return pd.DataFrame({"src": [], "dst": [], "d2": []}).astype({"src": "int64", "dst": "int64"})
-        x, y = np.stack(a.vec.to_numpy()).astype(float), np.stack(b.vec.to_numpy()).astype(float)
-        rows = []
-        for i in range(0, len(x), 256):
-            d = np.square(x[i : i + 256, None, :] - y[None, :, :]).sum(2) if x.shape[1] * len(y) < 1 << 17 else np.maximum(0, (x[i : i + 256] ** 2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x[i : i + 256] @ y.T)
-            d[a.id.to_numpy()[i : i + 256, None] == b.id.to_numpy()[None, :]] = np.inf
-            near = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, : k + 1]
-            rows.append(pd.DataFrame({"src": np.repeat(a.id.to_numpy()[i : i + 256], near.shape[1]), "dst": b.id.to_numpy()[near].ravel(), "d2": np.take_along_axis(d, near, 1).ravel()}))
-        out = pd.concat(rows)
-        return out[np.isfinite(out.d2)]
+        found = _nearest(a, b, k)
+        return pd.concat([found, _nearest(b, a, k)]) if both and int(pdf.x.iloc[0]) != int(pdf.y.iloc[0]) else found
 
     return block
 
 
 def knn(v: DataFrame, k: int) -> DataFrame:
-    """src, dst, d2, rank: the exact k nearest others by squared distance; ties by id."""
-    found = _blocked(v, False).groupBy("x", "y").applyInPandas(_near_block(k), "src long, dst long, d2 double")
+    """src, dst, d2, rank: the exact k nearest others by squared distance; ties by id. Each pair of blocks is met once, for both of its sides."""
+    found = _blocked(v, True).groupBy("x", "y").applyInPandas(_near_block(k, True), "src long, dst long, d2 double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.round("d2", 9), "dst"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -106,7 +113,7 @@ def knn_index(v: DataFrame, k: int, lists: int | None = None, probes: int | None
     chunk = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-n // (BLOCK_ROWS * lists)) * probes))).cast("int")
     chunks = F.sequence(F.lit(0), F.lit(max(1, -(-n // (BLOCK_ROWS * lists)) * probes) - 1))
     both = asks.withColumn("x", chunk).unionByName(held.withColumn("x", F.explode(chunks))).drop("blocks")
-    found = both.groupBy("list", "x", "y").applyInPandas(_near_block(k), "src long, dst long, d2 double")
+    found = both.groupBy("list", "x", "y").applyInPandas(_near_block(k, False), "src long, dst long, d2 double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.round("d2", 9), "dst"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -157,6 +157,15 @@ def test_refinement(spark):
     assert refine.refine(args[0].limit(0), *args[1:])[0].count() == 0
 
 
+def test_knn_blocks(spark, monkeypatch):
+    """Many small blocks give what one gives."""
+    x, _ = _blobs(300, 5, 8)
+    w = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>")
+    one = {(r.src, r.dst, r.rank) for r in vectors.knn(w, 4).collect()}
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 40)
+    assert len(one) == 1200 and {(r.src, r.dst, r.rank) for r in vectors.knn(w, 4).collect()} == one
+
+
 def test_knn_index(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id AS id", "CAST(embedding AS array<double>) AS vec")
     exact = {(r.src, r.dst) for r in vectors.knn(v, 5).collect()}
