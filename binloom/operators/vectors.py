@@ -192,6 +192,23 @@ def rber_quality(edges: DataFrame, nodes: DataFrame, resolution: float) -> DataF
     return of.select("community", "inner", "size", (F.col("inner") - resolution * F.col("w") / pairs("all") * pairs("size")).alias("q"))
 
 
+def label_ranks(v: DataFrame, by: str) -> DataFrame:
+    """r: the place of each row's own label among all labels by the product with their means; ties by label. The means are a matrix of one row a label."""
+    c = centroids(v, by).orderBy(by).collect()  # one row a label
+    names, means = np.array([r[by] for r in c]), np.array([r["mean"] for r in c], float)
+    at = v.sparkSession.sparkContext.broadcast((names, means))
+
+    @F.pandas_udf("int")
+    def rank(vecs: pd.Series, label: pd.Series) -> pd.Series:
+        names, means = at.value
+        s = np.round(np.stack(vecs.to_numpy()).astype(float) @ means.T, 9)
+        own = np.searchsorted(names, label.to_numpy())
+        mine = s[np.arange(len(s)), own][:, None]
+        return pd.Series(1 + (s > mine).sum(1) + ((s == mine) & (np.arange(len(names))[None] < own[:, None])).sum(1))
+
+    return v.select(rank("vec", by).alias("r"))
+
+
 def with_centres(v: DataFrame, by: str) -> DataFrame:
     """``v`` with ``centres``: label, n, mean of every group as one array; there are as many as groups."""
     c = centroids(v, by).agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("label"), "n", "mean"))).alias("centres"))

@@ -31,6 +31,11 @@ def confusion_matrix(spark, d):
     return evaluation.confusion(evaluation.overlap(t.aligned(spark, d))).select("bin", "genome", "tp", "fp", "fn", "tn")
 
 
+@query(f"WITH {t.ALIGNED} SELECT bin, genome, (SELECT sum(genome_bp) FROM gbx)::BIGINT - bin_bp - genome_bp + 3 * tp AS tn FROM cnt")
+def confusion_as_observed(spark, d):
+    return evaluation.confusion(evaluation.overlap(t.aligned(spark, d)), True).select("bin", "genome", "tn")
+
+
 @query(f"WITH {t.ALIGNED}, x AS (SELECT genome, bin, tp::DOUBLE AS tp, (bin_bp - tp)::DOUBLE AS fp, (genome_bp - tp)::DOUBLE AS fn, ((SELECT sum(genome_bp) FROM gbx) - bin_bp - genome_bp + tp)::DOUBLE AS tn FROM cnt) SELECT bin, genome, round(CASE WHEN (tp+fp)*(tp+fn)*(tn+fp)*(tn+fn) = 0 THEN 0 ELSE (tp*tn-fp*fn)/sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn)) END, 6) AS mcc, round(2*tp/(2*tp+fp+fn), 6) AS f1 FROM x")
 def mcc_f1(spark, d):
     c = evaluation.confusion(evaluation.overlap(t.aligned(spark, d)))
@@ -316,23 +321,23 @@ def vmf_m_step(spark, d):
 # --- sets and reports
 
 
-_GENOMES = "a AS (SELECT DISTINCT s_nationkey AS genome FROM supplier WHERE s_acctbal > 5000), b AS (SELECT DISTINCT c_nationkey AS genome FROM customer WHERE c_acctbal > 9000)"
+_GENOMES = "a AS (SELECT DISTINCT s_nationkey AS genome FROM supplier WHERE s_acctbal > 5000), b AS (SELECT DISTINCT c_nationkey AS genome FROM customer WHERE c_acctbal > {})"
 
 
-def _genomes(spark, d):
+def _genomes(spark, d, least):
     a = t.load(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("genome")).distinct()
-    return a, t.load(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("genome")).distinct()
+    return a, t.load(spark, d, "customer").where(F.col("c_acctbal") > least).select(F.col("c_nationkey").alias("genome")).distinct()
 
 
-@query(f"WITH {_GENOMES} SELECT genome FROM a EXCEPT SELECT genome FROM b")
+@query(f"WITH {_GENOMES.format(9990)} SELECT genome FROM a EXCEPT SELECT genome FROM b")
 def set_diff_genomes(spark, d):
-    a, b = _genomes(spark, d)
+    a, b = _genomes(spark, d, 9990)
     return a.join(b, "genome", "left_anti")
 
 
-@query(f"WITH {_GENOMES} SELECT genome FROM a INTERSECT SELECT genome FROM b")
+@query(f"WITH {_GENOMES.format(9000)} SELECT genome FROM a INTERSECT SELECT genome FROM b")
 def set_intersect(spark, d):
-    a, b = _genomes(spark, d)
+    a, b = _genomes(spark, d, 9000)
     return a.intersect(b)
 
 
@@ -443,8 +448,7 @@ _CENTRES = f"{t.VECTORS}, c AS (SELECT label, i, avg(vec[i]) AS m FROM v, (SELEC
 
 @query(f"WITH {_CENTRES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(dot, 9) DESC, label) AS r FROM dots) SELECT k::INTEGER AS k, round(avg(CASE WHEN r <= k THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM r, (SELECT unnest([1, 3, 5]) AS k) WHERE label = own GROUP BY ALL")
 def topk_accuracy(spark, d):
-    score = F.transform("centres", lambda c: F.struct((-F.round(fn.dot(F.col("vec"), c["mean"]), 9)).alias("s"), c["label"].alias("label")))
-    ranked = vectors.with_centres(t.vectors(spark, d), "label").select(F.array_position(F.transform(F.array_sort(score), lambda x: x["label"]), F.col("label")).alias("r"))
+    ranked = vectors.label_ranks(t.vectors(spark, d), "label")
     return ranked.select("r", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5)])).alias("k")).groupBy("k").agg(F.round(F.avg(F.when(F.col("r") <= F.col("k"), 1.0).otherwise(0.0)), 9).alias("accuracy"))
 
 
