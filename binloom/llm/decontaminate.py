@@ -6,7 +6,7 @@ are the items' blocks of seven words, cut one behind another: every window holds
 occurs where a block does and the words beside it agree far enough. That takes a node a word of the items, instead of thirteen for
 patterns that are windows. Hits are word positions, which ``spans`` maps to characters of the original.
 
-The items go to every Python worker (about 0.1 KB there a word of the items). Their size is measured first; beyond
+The items go to every Python worker (about 0.18 KB there a word of the items). Their size is measured first; beyond
 ``MOST_BYTES`` of text the call fails with a message before any work is done, as the workers' memory must be sized for it.
 
 Odd cases: a null or wordless text has no words, no hits, isn't contaminated and gives the digest of the empty string.
