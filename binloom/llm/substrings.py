@@ -87,7 +87,8 @@ class _Buffer:
         """Buckets of depth 32 of all positions, or of some."""
         key, c = self.keys[lane], self.codes
         if at is None:
-            n = max(0, self.size - GRAM + 1)
+            if (n := self.size - GRAM + 1) <= 0:
+                return np.zeros(0, np.uint64)
             half = _pair(c[: n + 16], c[8 : n + 24], key)
             return _pair(half[:n], half[16 : n + 16], key)
         return _pair(_pair(c[at], c[at + 8], key), _pair(c[at + 16], c[at + 24], key), key)

@@ -31,10 +31,11 @@ def _cases():
     a, b, big = letters(300), letters(300), letters(1_300_000)
     yield "ids", [(1, a), (7, a), (7, b), (None, a), (None, b), (None, b), (1, a), (3, None), (4, ""), (None, None), (-(2**63), a + "x"), (2**63 - 1, "é" * 80)]
     yield "unrelated", [(1, a), (7, a), (7, b)]
+    yield "short", [(i, "a" * i) for i in (0, 1, 7, 8, 9, 31, 32, 33)]
     yield "long", [(1, big), (2, "zz" + big[5000:600_000] + "yy"), (3, big[700_000:700_150]), (4, "a" * 1_200_000)]
 
 
-@pytest.mark.parametrize("name, rows", _cases())
+@pytest.mark.parametrize("name, rows", list(_cases()))
 def test_brute(spark, name, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     h = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64(F.encode("text", "UTF-8")).alias("h")).collect()}
