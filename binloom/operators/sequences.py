@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import canonical, clean_sequence, gumbel, kmers, uniform
+from ..functions import canonical, clean_sequence, gumbel, uniform
+from ..functions import view as fn_view
 
 #: Bases that are looked at together.
 _STRETCH = 1 << 20
@@ -190,3 +191,12 @@ def epoch_order(rows: DataFrame, batch: int, least_steps: int, seed: int) -> Dat
     each = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
     order = Window.partitionBy("turn").orderBy(uniform(F.col("id"), F.col("turn"), seed), "id")
     return each.select("turn", (F.row_number().over(order) - 1).cast("long").alias("at"), "id")
+
+
+def dense_views(seqs: DataFrame, n: int, shortest: int) -> DataFrame:
+    """contig, view, kind, seq, start, end: the views of a training example: the whole contig, n - 1 random parts, the whole to be masked, and the whole once more."""
+    whole = lambda: F.struct(F.col("seq").alias("seq"), F.lit(0).alias("start"), F.length("seq").alias("end"))
+    part = lambda i: fn_view(F.col("seq"), shortest, F.concat_ws("/", F.col("contig").cast("string"), F.lit(str(i))))
+    views = [("whole", whole()), *(("part", part(i)) for i in range(1, n)), ("masked", whole()), ("whole", whole())]
+    each = F.posexplode(F.array(*[F.struct(F.lit(kind).alias("kind"), v.alias("v")) for kind, v in views])).alias("view", "x")
+    return seqs.select("contig", each).select("contig", "view", F.col("x.kind").alias("kind"), "x.v.seq", "x.v.start", "x.v.end")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -420,3 +420,45 @@ def grid_runs(spark, d):
     found = refine.grid(near, nodes)
     sizes = found.groupBy("run", "community").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy("run").agg(F.count(F.lit(1)).alias("communities"), F.max("n").alias("largest"), F.sum("n").alias("contigs"))
+
+
+# --- the model's data
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Eleven tokens of a contig, each the shares of 136 words in a segment, and its own words as coverage."""
+    docs = sequences.contigs(t.load(spark, d, "documents")).where("len >= 100")
+    words = sequences.vocabulary(spark, 4).groupBy("canon").agg(F.min("idx").alias("idx"))  # 136 rows
+    shares = sequences.composition(sequences.segments(docs, 11, 4), 4, "contig", "segment").join(F.broadcast(words.withColumnRenamed("canon", "kmer")), "kmer")
+    of = shares.groupBy("contig", "segment").agg(F.map_from_entries(F.collect_list(F.struct("idx", "share"))).alias("m"))
+    row = F.transform(F.sequence(F.lit(0), F.lit(135)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    tokens = of.groupBy("contig").agg(F.map_from_entries(F.collect_list(F.struct("segment", row.alias("row")))).alias("rows"))
+    none = F.array_repeat(F.lit(0.0), 136)
+    both = tokens.select(F.col("contig").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.coalesce(F.try_element_at("rows", i), none)).alias("tokens"))
+    return both.select("id", "tokens", F.array((F.col("id") % 7 / 7).cast("double")).alias("deviations"), F.col("tokens")[0].alias("coverage"))
+
+
+@query()
+def encoded_contigs(spark, d):
+    """Vectors of an untrained model, drawn by a fixed seed."""
+    from ..operators import encoder
+
+    model = encoder.drawn_model(136, 11, 1, 136, 16, 1, 8, 1, small=(16, 16), multiple=16)
+    return encoder.embed(_tokens(spark, d), model).select("id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query("WITH l AS (SELECT l_suppkey AS run, l_linenumber AS epoch, min(l_tax) AS loss FROM lineitem GROUP BY ALL) SELECT run, epoch, loss FROM l WHERE epoch > 3 QUALIFY row_number() OVER (PARTITION BY run ORDER BY loss, epoch) = 1")
+def best_epoch(spark, d):
+    from ..operators import encoder
+
+    rows = t.load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run"), F.col("l_linenumber").alias("epoch")).agg(F.min("l_tax").alias("loss"))
+    return encoder.best_epoch(rows.withColumn("epochs", F.lit(7)))
+
+
+_VIEW = lambda i: f"concat_ws('/', contig::VARCHAR, '{i}')"
+
+
+@query(f"WITH {t.CONTIGS}, b AS (SELECT contig, seq, len FROM contigs WHERE len >= 50), p AS (SELECT contig, seq, len, v, CASE v WHEN 1 THEN {_VIEW(1)} ELSE {_VIEW(2)} END AS k FROM b, (SELECT unnest([1, 2]) AS v)), s AS (SELECT *, least(len, 49 + floor({_u('k', chr(39) + 'size' + chr(39))} * (len - 48))::BIGINT) AS size FROM p), q AS (SELECT *, floor({_u('k', chr(39) + 'start' + chr(39))} * (len - size + 1))::BIGINT AS start FROM s) SELECT contig, v AS view, 'part' AS kind, md5(substr(seq, start + 1, size)) AS digest FROM q UNION ALL SELECT contig, v, CASE v WHEN 3 THEN 'masked' ELSE 'whole' END, md5(seq) FROM b, (SELECT unnest([0, 3, 4]) AS v)")
+def dense_views(spark, d):
+    docs = sequences.contigs(t.load(spark, d, "documents")).where("len >= 50")  # shorter ones have no parts
+    return sequences.dense_views(docs, 3, 50).select("contig", "view", "kind", F.md5("seq").alias("digest"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from binloom import functions as fn
 from binloom import plans, sources, steps
-from binloom.operators import depths, markers, mixture, partition, refine, sequences, vectors
+from binloom.operators import depths, encoder, markers, mixture, partition, refine, sequences, vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -238,3 +238,52 @@ def test_order_over_files(spark, tmp_path):
 
 def test_shared_folder(spark):
     assert steps.folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def _slow_features(tokens, w):
+    """The encoder token by token."""
+    norm = lambda v, g: v / math.sqrt((v @ v) / len(v) + encoder.EPS) * g
+    x = [t @ w["project"] + p for t, p in zip(tokens, w["positions"])]
+    for layer in w["layers"]:
+        n = [norm(v, layer["norm1"]) for v in x]
+        width = len(n[0])
+        qkv = [v @ layer["qkv"] + layer["qkv_bias"] for v in n]
+        new = []
+        for i in range(len(x)):
+            heads = []
+            for h in range(encoder.HEADS):
+                c = slice(h * width // encoder.HEADS, (h + 1) * width // encoder.HEADS)
+                s = np.array([qkv[i][:width][c] @ qkv[j][width : 2 * width][c] / math.sqrt(width / encoder.HEADS) for j in range(len(x))])
+                s = np.exp(s) / np.exp(s).sum()
+                heads.append(sum(s[j] * qkv[j][2 * width :][c] for j in range(len(x))))
+            new.append(x[i] + np.concatenate(heads) @ layer["out"] + layer["out_bias"])
+        x = []
+        for v in new:
+            n = norm(v, layer["norm2"])
+            a = n @ layer["gate"]
+            x.append(v + (a / (1 + np.exp(-a)) * (n @ layer["up"])) @ layer["down"])
+    return np.array(x)
+
+
+def test_encoder(spark):
+    rng = np.random.default_rng(4)
+    m = encoder.drawn_model(10, 5, 2, 3, 16, 2, 6, 7, small=(8, 8), multiple=16)
+    for e in ("trained", "frozen"):
+        m[e]["positions"] = rng.standard_normal((5, 16))
+        for layer in m[e]["layers"]:
+            layer["qkv_bias"] = rng.standard_normal(48)
+    m["coverage"][0]["mean"], m["coverage"][0]["var"] = rng.standard_normal(16), rng.random(16) + 0.5
+    tokens, dev, cov = rng.random((7, 5, 10)), rng.random((7, 2)), rng.random((7, 6))
+    slow = np.array([_slow_features(t, m["trained"]) for t in tokens])
+    assert np.allclose(encoder.features(tokens, m["trained"]), slow)
+    want = []
+    for f in slow:
+        s = np.exp(f.mean(1))
+        want.append((f * (s / s.sum())[:, None]).sum(0))
+    assert np.allclose(encoder.pooled(slow), want)
+    vecs = encoder.embedding(tokens, dev, cov, m)
+    assert vecs.shape == (7, 6) and np.allclose(np.linalg.norm(vecs, axis=1), 1)
+    df = spark.createDataFrame([(i, t.tolist(), x.tolist(), y.tolist()) for i, (t, x, y) in enumerate(zip(tokens, dev, cov))], "id long, tokens array<array<double>>, deviations array<double>, coverage array<double>").repartition(3)
+    got = {r.id: r.vec for r in encoder.embed(df, m).collect()}
+    assert np.allclose([got[i] for i in range(7)], vecs) and encoder.embed(df.limit(0), m).count() == 0
+    assert [encoder.hidden(w) for w in (512, 768, 400)] == [512, 512, 512]
