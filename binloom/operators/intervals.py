@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 def breadth(rows: DataFrame, by: list[str], subject: str = "subject") -> DataFrame:
     """Covered positions of each group: a sweep over intervals sorted by start that carries the furthest end.
 
-    Equal intervals are dropped before the shuffle. A window's partition is one group's subject.
+    Of intervals that start alike only the longest goes through the shuffle, so a subject brings no more rows than it has positions,
+    however many reads it holds. A window's partition is one group's subject.
     """
-    distinct = rows.select(*by, subject, "st", "en").where("en > st").distinct()
-    reach = F.max("en").over(Window.partitionBy(*by, subject).orderBy("st", "en").rowsBetween(Window.unboundedPreceding, -1))
+    distinct = rows.where("en > st").groupBy(*by, subject, "st").agg(F.max("en").alias("en"))
+    reach = F.max("en").over(Window.partitionBy(*by, subject).orderBy("st").rowsBetween(Window.unboundedPreceding, -1))
     gain = F.greatest(F.lit(0), F.col("en") - F.greatest("st", F.coalesce("reach", "st")))
     return distinct.withColumn("reach", reach).groupBy(*by).agg(F.sum(gain).alias("covered"))
 

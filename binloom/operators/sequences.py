@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import canonical, clean_sequence, gumbel, uniform
 from ..functions import view as fn_view
+from ..steps import numbered
 
 #: Bases that are looked at together.
 _STRETCH = 1 << 20
@@ -186,11 +187,12 @@ def sampled(seqs: DataFrame, by: str, seed: int) -> DataFrame:
 
 def epoch_order(rows: DataFrame, batch: int, least_steps: int, seed: int) -> DataFrame:
     """turn, at, id: the order of an epoch over ``rows(id)``: one permutation, or several if the steps of one are more than ten short of ``least_steps``."""
-    steps = rows.count() // batch
+    n = rows.count()
+    steps = n // batch
     turns = least_steps // max(steps, 1) + 1 if steps + 10 < least_steps else 1
     each = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
-    order = Window.partitionBy("turn").orderBy(uniform(F.col("id"), F.col("turn"), seed), "id")
-    return each.select("turn", (F.row_number().over(order) - 1).cast("long").alias("at"), "id")
+    placed = numbered(each.withColumn("_u", uniform(F.col("id"), F.col("turn"), seed)), "turn", "_u", "id")
+    return placed.select("turn", (F.col("at") - F.col("turn") * n).alias("at"), "id")
 
 
 def dense_views(seqs: DataFrame, n: int, shortest: int) -> DataFrame:

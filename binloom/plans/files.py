@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
 from ..operators import intervals, markers
-from ..steps import folder
+from ..steps import folder, numbered
 from . import tables as t
 from .base import query
 
@@ -364,7 +364,7 @@ def depth_in_order(spark, d):
     o = t.load(spark, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("key"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("contig"), F.col("o_custkey").alias("c"))
     seqs = o.select("contig", F.col("key").alias("at"))
     depths = o.select("contig", (F.col("c") % 100).cast("double").alias("depth"))
-    return sources.in_order(depths, seqs).withColumn("at", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("at")).cast("long") - 1)
+    return numbered(sources.in_order(depths, seqs).withColumnRenamed("at", "key"), "key").drop("key")
 
 
 @query(f"SELECT 'Contig_' || (row_number() OVER (ORDER BY name) - 1) || '_' || length(seq) AS name, md5(seq) AS digest FROM (SELECT 'd' || lpad(doc_id::VARCHAR, 9, '0') AS name, {_SEQ} AS seq FROM documents)")

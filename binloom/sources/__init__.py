@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..steps import written
+from ..steps import numbered
 
 
 def _ordered(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
@@ -316,10 +316,7 @@ def depth_table(spark: SparkSession, path: str, many: bool = False) -> DataFrame
 
 def write_renamed_fasta(df: DataFrame, path: str, per_file: int | None = None, seed: int = 7) -> None:
     """``df(name, seq)`` as FASTA, renamed by rank of the name and by length; with ``per_file`` shuffled into files of so many records."""
-    ranked = df.orderBy("name").select("name", "seq")  # range partitions: a rank is an offset of its partition
-    parts = written(ranked.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    before = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
-    named = parts.join(before, "part").select(F.concat(F.lit("Contig_"), (F.col("at") + F.col("base")).cast("string"), F.lit("_"), F.length("seq").cast("string")).alias("name"), "seq")
+    named = numbered(df.select("name", "seq"), "name").select(F.concat(F.lit("Contig_"), F.col("at").cast("string"), F.lit("_"), F.length("seq").cast("string")).alias("name"), "seq")
     if per_file is None:
         return write_fasta(named, path)
     text = named.orderBy(F.xxhash64("name", F.lit(seed))).select(F.concat(F.lit(">"), "name", F.lit("\n"), F.rtrim(F.regexp_replace("seq", "(.{60})", "$1\n"))).alias("value"))

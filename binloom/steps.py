@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Shuffle files of an execution go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -45,6 +46,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order, name: str = "at") -> DataFrame:
+    """``df`` with each row's place in an order, from 0: a range-partitioned sort, and for each partition the number of rows before it."""
+    rows = df.orderBy(*order).withColumn("_part", F.spark_partition_id())
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
+    before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by ``written`` that nothing will read again."""
     for t in tables:
