@@ -143,8 +143,9 @@ def _first_keys(meta: DataFrame, shard_bytes: int) -> tuple[list, int]:
         at += r.size
     if not base:
         return [], 1
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col("task"))
-    shard = lambda c: F.floor((F.col(c) + offset) / F.lit(shard_bytes))
+    offsets = keys.sparkSession.createDataFrame(list(base.items()), "task long, offset long")  # one row a task
+    keys = keys.join(F.broadcast(offsets), "task")
+    shard = lambda c: F.floor((F.col(c) + F.col("offset")) / F.lit(shard_bytes))
     begins = F.col("before").isNull() | (shard("start") != shard("before")) | (F.col("size") > shard_bytes)
     found = keys.where(begins).select(F.col("page_id").isNull().alias("none"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "d", shard("start").alias("shard"), F.greatest(F.lit(1), F.least("n", F.floor(F.col("size") / shard_bytes))).alias("shards"))
     rows = sorted((not r.none, r.page_id, r.d, r.shard, r.shards) for r in found.collect())  # at most three a shard, and one a task
