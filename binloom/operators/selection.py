@@ -16,8 +16,12 @@ def method_stats(quality: DataFrame) -> DataFrame:
     return quality.groupBy("method").agg(*[c.alias(n) for n, c in counts.items()]).withColumn("total", sum((F.col(n) for n in counts), F.lit(0).cast("long")))
 
 
-def best_methods(stats: DataFrame, group: str) -> DataFrame:
-    """Of each group the method with most near-complete bins and that with most bins in all; once if it is the same."""
+def best_methods(stats: DataFrame, group: str, least: int = 0) -> DataFrame:
+    """Of each group the method with most near-complete bins and that with most bins in all; once if it is the same. A group of fewer than ``least`` methods is an error."""
+    if least:
+        n = F.count(F.lit(1)).over(Window.partitionBy(group))
+        named = F.when(F.col("_n") >= least, F.col("method")).otherwise(F.raise_error(F.concat(F.lit("too few methods like "), "method")).cast("string"))
+        stats = stats.withColumn("_n", n).withColumn("method", named)
     top = lambda c: stats.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(c), "method"))).where("r = 1").select(group, "method")
     return top("n905").union(top("total")).distinct()
 

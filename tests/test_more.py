@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from binloom import functions as fn
 from binloom import plans, sources, steps
-from binloom.operators import depths, encoder, markers, mixture, partition, refine, sequences, vectors
+from binloom.operators import depths, encoder, markers, mixture, partition, refine, selection, sequences, vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -213,6 +213,20 @@ def test_unmatched(spark):
         markers.with_models(hits, spark.createDataFrame([("y", 1)], "acc string, ga int")).collect()
 
 
+def test_few_methods(spark):
+    stats = spark.createDataFrame([("g", "a", 1, 2), ("g", "b", 2, 1), ("g", "c", 0, 0)], "grp string, method string, n905 long, total long")
+    assert {r.method for r in selection.best_methods(stats, "grp", 3).collect()} == {"a", "b"}
+    with pytest.raises(Exception, match="too few methods"):
+        selection.best_methods(stats, "grp", 4).collect()
+
+
+def test_best_split():
+    """The number of parts with the best silhouette, for both algorithms."""
+    x, of = _blobs(90, 4, 16, spread=0.05)
+    for which in ("flspp", "von"):
+        assert _same(refine._best_split(x, np.ones(90), [2, 3, 4, 5, 6], which), of)
+
+
 def test_depth_limits(spark):
     rows = spark.createDataFrame([(0, 1, 1500.0, 3.0), (0, 2, 10.0, 9.0), (1, 1, 40.0, 1.0)], "file int, contig long, mean double, std double")
     assert {(r.file, round(r["mean"], 3), round(r["std"], 3)) for r in depths.maxima(rows).collect()} == {(0, 750.0, 9.0), (1, 20.0, 1.0)}
