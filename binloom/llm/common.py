@@ -48,7 +48,7 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 
 def drop_scratch(df: DataFrame) -> None:
     """Deletes a table made by ``stored`` that nothing will read again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:  # one folder
         _delete(df.sparkSession, path)
 
 
@@ -92,20 +92,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def own_columns(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the named columns; one that the table lacks becomes null, others (whatever their names) are put aside."""
     have = {c: None for c in df.columns}
     return df.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in wanted])
 
 
-def is_empty_string(c: Column) -> Column:
-    return F.coalesce(c, F.lit("")) == ""
-
-
 LONG, STR, INT, DBL, BOOL, BIN = T.LongType(), T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.BinaryType()
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG, join_hot, schema, stored
+from .common import LONG, drop_scratch, join_hot, schema, stored
 
 #: Edges that a task contracts at once.
 LOCAL = 1 << 20
@@ -55,10 +55,11 @@ def components(edges: DataFrame) -> DataFrame:
     folder. A hub's rows are aggregated before the shuffle and take the least neighbour by broadcast (``join_hot``).
     """
     all_ = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen, now = None, all_.repartition(max(1, -(-all_.count() // LOCAL))).mapInArrow(_contract, schema(a=LONG, b=LONG))
+    seen, now, old = None, all_.repartition(max(1, -(-all_.count() // LOCAL))).mapInArrow(_contract, schema(a=LONG, b=LONG)), all_
     while True:
         now = stored(_small_star(_large_star(now, seen[0]), seen[0]) if seen is not None else now, "stars")
+        drop_scratch(old)
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == seen or mark[0] == 0:
             return now
-        seen = mark
+        seen, old = mark, now

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BIN, DBL, LONG, STR, join_hot, own_columns, schema, stored
+from .common import BIN, STR, join_hot, own_columns, schema, stored
 
 SAMPLE, BUCKETS, SMOOTH = 1000, 1 << 16, 2.0
 #: Trigrams overlap, so a text's log-likelihood counts for less, and no more than for this many trigrams (the mean over all of
