@@ -384,6 +384,24 @@ def test_warc_shards(spark):
         warc.read(spark, base).collect()
 
 
+def test_warc_odd(spark):
+    """Columns of the operator's own names, a very long page, repeated rows, and payloads around the least size of a revisit."""
+    long = "".join(f"<p>{i * 7919 % 10007}</p>" for i in range(500_000))
+    rows = [(i, "http://a/", h) for i, h in enumerate([long, long, "é" * 49 + "x", "é" * 49 + "x", "é" * 50, "é" * 50, "", None])] + [(1, "http://a/", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS shard", "'x' AS d", "'x' AS kind", "'x' AS digest", "'x' AS at", "'x' AS payload", "'x' AS refers_to")
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    want, first = Counter(), {}
+    for i, _, h in rows:
+        p = (h or "").encode()
+        if len(p) >= 100:
+            first[p] = min(i, first.get(p, i))
+    for i, _, h in rows:
+        p = (h or "").encode()
+        ref = first.get(p, i)
+        want[i, len(p), hashlib.sha256(p).hexdigest(), "response" if ref == i else "revisit", None if ref == i else ref] += 1
+    assert got == want
+
+
 def test_classifier(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
