@@ -218,6 +218,11 @@ def gff_scan(spark, d):
     return sources.gff_ends(spark, path).join(F.broadcast(table))  # one row
 
 
+@query("SELECT 'p' || l_partkey AS seq_id, l_orderkey % 1000 + 1 AS start, (l_orderkey % 1000 + l_quantity)::BIGINT AS end_, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey % 1000 + 1, (l_orderkey % 1000 + l_quantity)::BIGINT) - 1 AS n FROM lineitem")
+def gene_counter(spark, d):
+    return sources.gff(spark, _gff(spark, d)).withColumnRenamed("end", "end_")
+
+
 @query("WITH p AS (SELECT DISTINCT p_brand AS id, p_size % 3 AS k, regexp_replace(p_brand, '\\D', '', 'g') AS n FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size) = 1) SELECT id, 'PF' || n AS acc, CASE WHEN k > 0 THEN 'CL' || k END AS clan, CASE WHEN k = 2 THEN 'PF1,PF2' ELSE '' END AS nested FROM p")
 def clan_file(spark, d):
     p = t.load(spark, d, "part").groupBy("p_brand").agg((F.min("p_size") % 3).alias("k")).withColumn("n", F.regexp_replace("p_brand", r"\D", ""))

@@ -93,6 +93,17 @@ def hits_of_contigs(spark, d):
     return t.load(spark, d, "lineitem").join(chosen, "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("contig")).agg(F.count(F.lit(1)).alias("hits"))
 
 
+@query("WITH g AS (SELECT p_brand AS gene, l_orderkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey), m AS (SELECT gene FROM g GROUP BY gene ORDER BY count(DISTINCT id) DESC, gene LIMIT 1) SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings WHERE vec_id IN (SELECT id FROM g JOIN m USING (gene))")
+def seed_contigs(spark, d):
+    """Rows of the contigs that carry the commonest marker; most of these contigs have no vector."""
+    from ..operators import clustering
+
+    part = t.load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("gene"))
+    genes = t.load(spark, d, "lineitem").join(part, "l_partkey").select("gene", F.col("l_orderkey").alias("id")).distinct()
+    top = genes.groupBy("gene").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gene").limit(1).select("gene")
+    return clustering.seed_rows(t.vectors(spark, d), genes.join(F.broadcast(top), "gene")).select("id", F.round(F.col("vec")[0], 6).alias("x"))  # one row
+
+
 @query(f"WITH {t.QUALITY} SELECT a.rep, a.bin AS member, round(a.comp, 6) AS comp, round(b.scg_comp, 6) AS scg_comp, round(r.comp, 6) AS rep_comp FROM q a JOIN q b ON b.bin = a.bin JOIN q r ON r.bin = a.rep")
 def member_qualities(spark, d):
     q = t.quality(spark, d)
