@@ -35,9 +35,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: pattern are packed all the same, best fit first; with every second length (321 470 patterns at sf0.1) the fit takes twelve
 #: seconds instead of one and needs as many sequences.
 MIDDLES = 8
-_CACHED, _STEP = 400_000, 256
-#: White space besides blank and line end.
-_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_CHUNK, _STEP = 1 << 20, 256
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -50,10 +48,9 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """Ids of whole texts as little-endian bytes, by the ``tokenizers`` file of a byte-level vocabulary: those of ``encode(text, add_special_tokens=False)``.
 
-    The vocabulary's splitting rule always starts a new part at a single blank or line end between two visible
-    characters. Texts are cut there, and each distinct part is encoded once (as long as the bounded memory of parts lasts).
-    A text that holds the string of a special token is encoded whole, as that string cuts it before the rule does. Where the same
-    vocabulary lies beside the file as ranks, parts are encoded by those, in a third of the time; a test holds both to equal ids.
+    Where the same vocabulary lies beside the file as ranks, texts are encoded by those, in a fraction of the time; a test holds both to equal ids.
+    A text that holds the string of a special token goes through the library. The vocabulary's splitting rule always starts a new part at a single blank or line
+    end between two visible characters; long texts are cut at such places, so memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -61,6 +58,7 @@ class Encoder:
         self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        self.encode = self.whole
         if os.path.exists(ranked := path.removesuffix(".json") + ".tiktoken"):
             import public_tokenizers
             import tiktoken
@@ -68,66 +66,26 @@ class Encoder:
             with open(ranked, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            sizes = {i: len(token) for token, i in ranks.items()}
-        else:
-            self.encode = self.whole
-            sizes = {i: len(token) for token, i in self.library().get_vocab().items()}  # a character for each byte
-        self.bytes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
-        self.known: dict[str, bytes] = {}  # by what stands between blanks: the ids of it and the blank before it
-        self.old: dict[str, bytes] = {}
-
-    def library(self):
+
+    def whole(self, text: str) -> list[int]:
         if self._library is None:  # only where a text needs it
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self.path)
-        return self._library
-
-    def whole(self, text: str) -> list[int]:
-        return self.library().encode(text, add_special_tokens=False).ids
-
-    def _ids(self, part: str) -> bytes:
-        return array("I", self.encode(part)).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes parts in one go: each starts a part of its own, so their ids are told apart by bytes."""
-        parts = [p if p[0] == "\n" else " " + p for p in new]
-        ids = np.array(self.encode("".join(parts)), np.uint32)
-        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in parts])) + 1
-        raw, at = ids.astype("<u4").tobytes(), 0
-        for p, end in zip(new, (4 * ends).tolist()):
-            self.known[p] = raw[at:end]
-            at = end
-
-    def _parts(self, text: str) -> tuple[str, list[str], str]:
-        """The first part, those that can be learnt, and the end if it is white space after a part."""
-        parts = text.replace("\n", " \n").split(" ")  # a line end stands for its own blank
-        if "" not in parts and "\n" not in parts and not any(c in text for c in _OTHER):
-            return parts[0], parts[1:], ""
-        first, *parts = _SAFE.split(text)  # other white space, or some of it together
-        last = parts.pop() if parts and parts[-1][-1].isspace() else ""
-        return first, [p[1:] if p[0] == " " else p for p in parts], last
+        return self._library.encode(text, add_special_tokens=False).ids
+
+    def ids(self, text: str) -> bytes:
+        if any(x in text for x in self.special):
+            return array("I", self.whole(text)).tobytes()
+        out, at = [], 0
+        while len(text) - at > _CHUNK and (cut := _SAFE.search(text, at + _CHUNK)):
+            out.append(array("I", self.encode(text[at : cut.start()])).tobytes())
+            at = cut.start()
+        out.append(array("I", self.encode(text[at:])).tobytes())
+        return b"".join(out)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > _CACHED:  # two generations: what is in use moves to the new one
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        cut = [None if any(x in t for x in self.special) else self._parts(t) for t in texts]
-        found = [c and list(map(known.get, c[1])) for c in cut]
-        new = {p for c, ids in zip(cut, found) if ids and None in ids for p, i in zip(c[1], ids) if i is None}
-        for p in new & old.keys():
-            known[p] = old[p]
-        if new := list(new - old.keys()):
-            self._learn(new)
-        out = []
-        for text, c, ids in zip(texts, cut, found):
-            if c is None:
-                out.append(array("I", self.whole(text)).tobytes())
-                continue
-            if None in ids:
-                ids = map(known.__getitem__, c[1])
-            out.append(self._ids(c[0]) + b"".join(ids) + (self._ids(c[2]) if c[2] else b""))
-        return out
+        return list(map(self.ids, texts))
 
 
 _encoders: dict[str, Encoder] = {}

@@ -293,14 +293,17 @@ def _plain_ids(texts):
     return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
-def test_token_ids(spark):
+def test_token_ids(spark, monkeypatch):
     """Ids of whole texts are those of the library, with special tokens in the text and any white space."""
     letters = ["a", "b", "Ab", "é", "文", "1", "23", " ", "  ", "\n", "\n\n", " \n", "\t", "\r\n", "\x1c", "　", "\x85", "'s", "'ll", "!", "...", "<|endoftext|>", "<|endo", "\xa0", "\u200b", "\x00", "̀"]
     random.seed(1)
     texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 30))) for _ in range(10_000)]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     encode = packing.Encoder(packing.tokenizer_path())
-    assert [x for at in range(0, len(texts), 500) for x in encode(texts[at : at + 500])] == _plain_ids(texts)
+    want = _plain_ids(texts)
+    for chunk in (1 << 20, 5):  # whole texts, and cut wherever that is safe
+        monkeypatch.setattr(packing, "_CHUNK", chunk)
+        assert encode(texts) == want
 
 
 def test_packing(spark, odd, empty):
