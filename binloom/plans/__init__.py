@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import clustering, evaluation, intervals, markers, selection, sequences, vectors
+from ..steps import written
 from . import tables as t
 from .base import oracle_sql, queries, query
 
@@ -506,7 +507,7 @@ def kmeans_seeded(spark, d):
 @query()
 def community_labels(spark, d):
     v = t.vectors(spark, d)
-    edges = vectors.build_edges(vectors.knn(v.drop("label"), 5), 0.75, 0.5)
+    edges = vectors.build_edges(written(vectors.knn(v.drop("label"), 5)), 0.75, 0.5)
     first = v.groupBy("label").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("fixed"))
     nodes = v.select("id", (1 + F.col("id") % 7).alias("size")).join(first, "id", "left").fillna(False, ["fixed"])
     return clustering.communities(edges, nodes, 2.0)
