@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..steps import written
+from ..steps import dropped, written
 from . import clustering, markers, mixture, partition
 
 #: From this many contigs on candidates are ranked by inertia instead of silhouettes.
@@ -125,36 +128,65 @@ def grid_rounds(nodes: int) -> int:
     return 24 if nodes >= 1_000_000 else 28 if nodes >= 950_000 else 30 if nodes >= 900_000 else -1
 
 
+#: Edges or nodes in a row of the packed graph.
+PACKED = 4096
+
+
+def _packed(names: list[str], kinds: list[str]):
+    """Chunks of rows as bytes, a column each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, PACKED):
+                cols = [np.asarray(batch.column(n).slice(i, PACKED).cast(pa.float64() if k == "f8" else pa.int64())).astype(k).tobytes() for n, k in zip(names, kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], ["a", "b", "c", "d"])
+
+    return run
+
+
 def grid(near: DataFrame, nodes: DataFrame, resolutions=RESOLUTIONS, bandwidths=BANDWIDTHS, ratios=RATIOS, neighbours=NEIGHBOURS) -> DataFrame:
     """run, contig, community of every set of parameters; ``near(src, dst, d2, rank)`` and ``nodes(id, size, fixed)``.
 
     A run's graph is one task's, as many runs side by side as there are tasks; one graph too large for a task goes through
-    ``clustering.communities`` instead, run by run. Edges are cut at the percentile of all distances of a number of neighbours,
-    so each pair of ratio and neighbours is prepared once.
+    ``clustering.communities`` instead, run by run. Edges are cut at the percentile of all distances of a number of neighbours. The neighbours are
+    written once, packed; each run's task reads them there (a Cartesian product, not a shuffle) and takes its edges, so disk doesn't grow with the runs.
     """
-    n = nodes.count()
-    rounds = grid_rounds(n)
-    parts = []
-    for k in neighbours:
-        of = near.where(F.col("rank") <= k)
-        cuts = of.agg(*[F.expr(f"percentile(d2, {r / 100})").alias(f"r{r}") for r in ratios])
-        each = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(f"r{r}").alias("cut")) for r in ratios])).alias("x")
-        parts.append(of.where("src > dst").join(F.broadcast(cuts)).select("src", "dst", "d2", each, F.lit(k).alias("k")).where("d2 <= x.cut").select("src", "dst", "d2", "x.ratio", "k"))  # one row
-    edges = parts[0]
-    for p in parts[1:]:
-        edges = edges.unionByName(p)
-    # a stand-in edge for each pair keeps runs without any edge
-    runs = edges.sparkSession.createDataFrame([(float(r), float(b), q, k) for r in resolutions for b in bandwidths for q in ratios for k in neighbours], "resolution double, bandwidth double, ratio int, k int")
-    rows = edges.join(F.broadcast(runs), ["ratio", "k"]).select("resolution", "bandwidth", "ratio", "k", "src", "dst", "d2", F.lit(None).cast("double").alias("size"), F.lit(False).alias("fixed"))
-    rows = rows.unionByName(nodes.join(F.broadcast(runs)).select("resolution", "bandwidth", "ratio", "k", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("d2"), F.col("size").cast("double").alias("size"), "fixed"))  # runs are the parameters'
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        resolution, bandwidth, ratio, k = key
-        own = pdf[pdf["size"].notna()].sort_values("src")
-        e = pdf[pdf["size"].isna()].sort_values(["src", "dst"])
-        ids = own.src.to_numpy()
-        label = partition.communities(len(ids), np.searchsorted(ids, e.src.to_numpy()), np.searchsorted(ids, e.dst.to_numpy(np.int64)), np.exp(-e.d2.to_numpy(float) / bandwidth), own["size"].to_numpy(float), resolution, own.fixed.to_numpy(bool), rounds=rounds)
-        name = f"Leiden_embMat0_maxedges_{k}_partgraphRatio_{ratio}_resolution_{resolution}_bandwidth_{bandwidth}"
-        return pd.DataFrame({"run": name, "contig": ids, "community": label.astype("int64")})
-
-    return rows.groupBy("resolution", "bandwidth", "ratio", "k").applyInPandas(one, "run string, contig long, community long")
+    spark = near.sparkSession
+    rounds = grid_rounds(nodes.count())
+    near = written(near.where(F.col("rank") <= max(neighbours)).select("src", "dst", "d2", "rank"))
+    shares = F.array(*[F.lit(r / 100) for r in ratios])
+    cuts = near.agg(*[F.percentile(F.when(F.col("rank") <= k, F.col("d2")), shares).alias(f"k{k}") for k in neighbours]).first()  # one row
+    cut = {(r, k): x for k in neighbours for r, x in zip(ratios, cuts[f"k{k}"] or [-1.0] * len(ratios))}
+    runs = [(float(r), float(b), q, k) for r in resolutions for b in bandwidths for q in ratios for k in neighbours]
+    schema = "a binary, b binary, c binary, d binary"
+    edges = near.where("src > dst").select("src", "dst", "d2", "rank").mapInArrow(_packed(["src", "dst", "d2", "rank"], ["i8", "i8", "f8", "i4"]), schema)
+    whole = nodes.select("id", F.col("size").cast("double").alias("size"), F.col("fixed").cast("long").alias("fixed"), F.lit(0).alias("none"))
+    packed = written(edges.withColumn("edge", F.lit(True)).unionByName(whole.mapInArrow(_packed(["id", "size", "fixed", "none"], ["i8", "f8", "i1", "i1"]), schema).withColumn("edge", F.lit(False))))
+    dropped(near)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, own, found = None, [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                run = row["run"]
+                if not row["edge"]:
+                    own.append([np.frombuffer(row[c], t) for c, t in zip("abc", ("i8", "f8", "i1"))])
+                    continue
+                _, _, q, k = runs[run]
+                e = [np.frombuffer(row[c], t) for c, t in zip("abcd", ("i8", "i8", "f8", "i4"))]
+                kept = (e[3] <= k) & (e[2] <= cut[q, k])
+                found.append([x[kept] for x in e[:3]])
+        if not own:
+            return
+        resolution, bandwidth, q, k = runs[run]
+        ids, size, fixed = (np.concatenate(x) for x in zip(*own))
+        src, dst, d2 = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.argsort(ids)
+        ids, size, fixed = ids[order], size[order], fixed[order] > 0
+        order = np.lexsort((dst, src))
+        label = partition.communities(len(ids), np.searchsorted(ids, src[order]), np.searchsorted(ids, dst[order]), np.exp(-d2[order] / bandwidth), size, resolution, fixed, rounds=rounds)
+        name = f"Leiden_embMat0_maxedges_{k}_partgraphRatio_{q}_resolution_{resolution}_bandwidth_{bandwidth}"
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(ids), pa.array(label.astype("int64"))], ["run", "contig", "community"])
+
+    each = spark.range(0, len(runs), 1, len(runs)).withColumnRenamed("id", "run").hint("shuffle_replicate_nl")  # a partition a run
+    return each.crossJoin(packed.coalesce(1)).mapInArrow(one, "run string, contig long, community long")

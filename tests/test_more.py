@@ -131,6 +131,29 @@ def test_grid(spark):
     assert [refine.grid_rounds(n) for n in (1, 900_000, 950_000, 1_000_000)] == [-1, 30, 28, 24]
 
 
+def test_grid_deals_no_edges_to_runs(spark):
+    """Edges aren't copied for each run: its task reads them where they are written."""
+    pairs = [(a, b, 0.1 + 0.01 * a) for g in (0, 10) for a in range(g, g + 4) for b in range(g, g + 4) if a != b]
+    near = spark.createDataFrame([(a, b, d, 1 + (b - a) % 4) for a, b, d in pairs], "src long, dst long, d2 double, rank int")
+    nodes = spark.createDataFrame([(i, 1 + i % 2, False) for i in (*range(4), *range(10, 15))], "id long, size long, fixed boolean")
+    some = dict(resolutions=(1, 2), bandwidths=(0.1,), ratios=(100, 50), neighbours=(3, 2))
+    found = refine.grid(near, nodes, **some)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
+    rows = found.collect()
+    assert len(rows) == 8 * 9 and len({r.run for r in rows}) == 8
+    ids = np.array([r[0] for r in nodes.collect()])
+    for q, k in ((100, 3), (50, 2)):
+        cut = np.percentile([d for a, b, d in pairs if 1 + (b - a) % 4 <= k], q)
+        src, dst, d2 = (np.array(x) for x in zip(*sorted(p for p in pairs if p[0] > p[1] and 1 + (p[1] - p[0]) % 4 <= k and p[2] <= cut)))
+        want = partition.communities(9, np.searchsorted(ids, src), np.searchsorted(ids, dst), np.exp(-d2 / 0.1), 1.0 + ids % 2, 2.0)
+        of = {r.contig: r.community for r in rows if r.run == f"Leiden_embMat0_maxedges_{k}_partgraphRatio_{q}_resolution_2.0_bandwidth_0.1"}
+        assert [of[i] for i in ids] == want.tolist()
+    alone = refine.grid(near.limit(0), nodes, **some).collect()
+    assert len(alone) == 8 * 9 and len({(r.run, r.community) for r in alone}) == 8 * 9
+    assert refine.grid(near.limit(0), nodes.limit(0), **some).count() == 0
+
+
 def test_refinement(spark):
     """Levels, names and actions on a cluster of two genomes, a slightly contaminated one, a clean one and one without genes."""
     x, of = _blobs(40, 2, 16, spread=0.05)
