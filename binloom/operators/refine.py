@@ -124,7 +124,7 @@ RESOLUTIONS, BANDWIDTHS, RATIOS, NEIGHBOURS = (8, 2, 12, 4, 6, 1, 10), (0.05, 0.
 
 
 def grid_rounds(nodes: int) -> int:
-    """Rounds that a run may take; -1 is until one brings nothing."""
+    """The surveyed engine's bound of a run's rounds, for callers that want it as ``rounds`` of ``grid``; -1 is until one brings nothing."""
     return 24 if nodes >= 1_000_000 else 28 if nodes >= 950_000 else 30 if nodes >= 900_000 else -1
 
 
@@ -144,15 +144,15 @@ def _packed(names: list[str], kinds: list[str]):
     return run
 
 
-def grid(near: DataFrame, nodes: DataFrame, resolutions=RESOLUTIONS, bandwidths=BANDWIDTHS, ratios=RATIOS, neighbours=NEIGHBOURS) -> DataFrame:
+def grid(near: DataFrame, nodes: DataFrame, resolutions=RESOLUTIONS, bandwidths=BANDWIDTHS, ratios=RATIOS, neighbours=NEIGHBOURS, rounds: int = -1) -> DataFrame:
     """run, contig, community of every set of parameters; ``near(src, dst, d2, rank)`` and ``nodes(id, size, fixed)``.
 
     A run's graph is one task's, as many runs side by side as there are tasks; one graph too large for a task goes through
     ``clustering.communities`` instead, run by run. Edges are cut at the percentile of all distances of a number of neighbours. The neighbours are
     written once, packed; each run's task reads them there (a Cartesian product, not a shuffle) and takes its edges, so disk doesn't grow with the runs.
+    A run goes on until a round brings nothing, whatever the number of nodes, unless ``rounds`` bounds it.
     """
     spark = near.sparkSession
-    rounds = grid_rounds(nodes.count())
     near = written(near.where(F.col("rank") <= max(neighbours)).select("src", "dst", "d2", "rank"))
     shares = F.array(*[F.lit(r / 100) for r in ratios])
     cuts = near.agg(*[F.percentile(F.when(F.col("rank") <= k, F.col("d2")), shares).alias(f"k{k}") for k in neighbours]).first()  # one row

@@ -154,6 +154,18 @@ def test_grid_deals_no_edges_to_runs(spark):
     assert refine.grid(near.limit(0), nodes.limit(0), **some).count() == 0
 
 
+def test_grid_rounds_dont_follow_the_size(spark, monkeypatch):
+    """A bound by the number of nodes doesn't end a run before a round brings nothing; one that is asked for does."""
+    monkeypatch.setattr(refine, "grid_rounds", lambda n: 0)
+    pairs = [(a, b, 0.1, 1) for g in (0, 4) for a in range(g, g + 4) for b in range(g, g + 4) if a != b]
+    near = spark.createDataFrame(pairs, "src long, dst long, d2 double, rank int")
+    nodes = spark.createDataFrame([(i, 1, False) for i in range(8)], "id long, size long, fixed boolean")
+    some = dict(resolutions=(1,), bandwidths=(0.1,), ratios=(100,), neighbours=(3,))
+    of = {r.contig: r.community for r in refine.grid(near, nodes, **some).collect()}
+    assert len({of[i] for i in range(4)}) == len({of[i] for i in range(4, 8)}) == 1 and of[0] != of[4]
+    assert len({r.community for r in refine.grid(near, nodes, **some, rounds=0).collect()}) == 8
+
+
 def test_refinement(spark):
     """Levels, names and actions on a cluster of two genomes, a slightly contaminated one, a clean one and one without genes."""
     x, of = _blobs(40, 2, 16, spread=0.05)
