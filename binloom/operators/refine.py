@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..steps import dropped, written
+from ..steps import dropped, numbered, written
 from . import clustering, markers, mixture, partition
 
 #: From this many contigs on candidates are ranked by inertia instead of silhouettes.
@@ -133,17 +134,32 @@ PACKED = 4096
 
 
 def _packed(names: list[str], kinds: list[str]):
-    """Chunks of rows as bytes, a column each."""
+    """Chunks of rows as packed bytes, a column each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, PACKED):
-                cols = [np.asarray(batch.column(n).slice(i, PACKED).cast(pa.float64() if k == "f8" else pa.int64())).astype(k).tobytes() for n, k in zip(names, kinds)]
+                cols = [zlib.compress(np.asarray(batch.column(n).slice(i, PACKED).cast(pa.float64() if k == "f8" else pa.int64())).astype(k).tobytes(), 1) for n, k in zip(names, kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], ["a", "b", "c", "d"])
 
     return run
 
 
+def _percentiles(rows: DataFrame, name: str, ratios) -> list[float]:
+    """Exact percentiles as ``F.percentile`` has them, which holds all distinct values in one task; here rows are sorted and the few at the places are read. -1 without rows."""
+    placed = written(numbered(rows.where(F.col(name).isNotNull()), name))
+    places = [(placed.count() - 1) * (r / 100) for r in ratios]
+    wanted = sorted({int(f(p)) for p in places for f in (np.floor, np.ceil)})
+    at = {r["at"]: r[name] for r in placed.where(F.col("at").isin(wanted)).collect()}  # two rows a ratio
+    dropped(placed)
+
+    def value(p: float) -> float:
+        low, high = int(np.floor(p)), int(np.ceil(p))
+        return at[low] if low == high or at[low] == at[high] else (high - p) * at[low] + (p - low) * at[high]
+
+    return [value(p) if p >= 0 else -1.0 for p in places]
+
+
 def grid(near: DataFrame, nodes: DataFrame, resolutions=RESOLUTIONS, bandwidths=BANDWIDTHS, ratios=RATIOS, neighbours=NEIGHBOURS, rounds: int = -1) -> DataFrame:
     """run, contig, community of every set of parameters; ``near(src, dst, d2, rank)`` and ``nodes(id, size, fixed)``.
 
@@ -154,9 +170,7 @@ def grid(near: DataFrame, nodes: DataFrame, resolutions=RESOLUTIONS, bandwidths=
     """
     spark = near.sparkSession
     near = written(near.where(F.col("rank") <= max(neighbours)).select("src", "dst", "d2", "rank"))
-    shares = F.array(*[F.lit(r / 100) for r in ratios])
-    cuts = near.agg(*[F.percentile(F.when(F.col("rank") <= k, F.col("d2")), shares).alias(f"k{k}") for k in neighbours]).first()  # one row
-    cut = {(r, k): x for k in neighbours for r, x in zip(ratios, cuts[f"k{k}"] or [-1.0] * len(ratios))}
+    cut = {(r, k): x for k in neighbours for r, x in zip(ratios, _percentiles(near.where(F.col("rank") <= k).select("d2"), "d2", ratios))}
     runs = [(float(r), float(b), q, k) for r in resolutions for b in bandwidths for q in ratios for k in neighbours]
     schema = "a binary, b binary, c binary, d binary"
     edges = near.where("src > dst").select("src", "dst", "d2", "rank").mapInArrow(_packed(["src", "dst", "d2", "rank"], ["i8", "i8", "f8", "i4"]), schema)
@@ -165,28 +179,42 @@ def grid(near: DataFrame, nodes: DataFrame, resolutions=RESOLUTIONS, bandwidths=
     dropped(near)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, own, found = None, [], []
+        run, own, found = None, [], ([], [], [])
         for batch in batches:
-            for row in batch.to_pylist():
-                run = row["run"]
-                if not row["edge"]:
-                    own.append([np.frombuffer(row[c], t) for c, t in zip("abc", ("i8", "f8", "i1"))])
+            at = {c: batch.column(c) for c in batch.schema.names}
+            for i in range(batch.num_rows):
+                run = at["run"][i].as_py()
+                read = lambda c, t: np.frombuffer(zlib.decompress(at[c][i].as_buffer()), t)  # noqa: B023, E731
+                if not at["edge"][i].as_py():
+                    own.append([read(c, t) for c, t in zip("abc", ("i8", "f8", "i1"))])
                     continue
                 _, _, q, k = runs[run]
-                e = [np.frombuffer(row[c], t) for c, t in zip("abcd", ("i8", "i8", "f8", "i4"))]
-                kept = (e[3] <= k) & (e[2] <= cut[q, k])
-                found.append([x[kept] for x in e[:3]])
+                kept = (read("d", "i4") <= k) & (read("c", "f8") <= cut[q, k])
+                for c, t, of in zip("abc", ("i8", "i8", "f8"), found):
+                    of.append(read(c, t)[kept])
         if not own:
             return
+        batch = at = None
+        pa.default_memory_pool().release_unused()
         resolution, bandwidth, q, k = runs[run]
         ids, size, fixed = (np.concatenate(x) for x in zip(*own))
-        src, dst, d2 = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         order = np.argsort(ids)
         ids, size, fixed = ids[order], size[order], fixed[order] > 0
+
+        def ends(of: list[np.ndarray]) -> np.ndarray:
+            """Places of ids, in a smaller type; what they are made of isn't held any longer."""
+            out = np.concatenate([np.searchsorted(ids, x).astype(np.int32 if len(ids) < 1 << 31 else np.int64) for x in of] or [np.zeros(0, np.int32)])
+            of.clear()
+            return out
+
+        src, dst, d2 = ends(found[0]), ends(found[1]), np.concatenate(found[2] or [np.zeros(0)])
+        found[2].clear()
         order = np.lexsort((dst, src))
-        label = partition.communities(len(ids), np.searchsorted(ids, src[order]), np.searchsorted(ids, dst[order]), np.exp(-d2[order] / bandwidth), size, resolution, fixed, rounds=rounds)
+        src, dst, weight = src[order], dst[order], np.exp(-d2[order] / bandwidth)
+        del order, d2
+        label = partition.communities(len(ids), src, dst, weight, size, resolution, fixed, rounds=rounds)
         name = f"Leiden_embMat0_maxedges_{k}_partgraphRatio_{q}_resolution_{resolution}_bandwidth_{bandwidth}"
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(ids), pa.array(label.astype("int64"))], ["run", "contig", "community"])
 
     each = spark.range(0, len(runs), 1, len(runs)).withColumnRenamed("id", "run").hint("shuffle_replicate_nl")  # a partition a run
-    return each.crossJoin(packed.coalesce(1)).mapInArrow(one, "run string, contig long, community long")
+    return packed.coalesce(1).crossJoin(each).mapInArrow(one, "run string, contig long, community long")

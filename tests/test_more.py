@@ -124,6 +124,42 @@ def test_communities_by_levels():
     assert partition.communities(3, np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.ones(3), 1.0).tolist() == [0, 1, 2]
 
 
+def test_nodes_move_in_batches(monkeypatch):
+    """Far fewer steps than nodes and few bytes an edge; at the end hardly any node gains by a move, and fixed ones are where they were."""
+    import tracemalloc
+
+    r, n = np.random.default_rng(5), 3000
+    src = np.repeat(np.arange(n), 40)
+    dst = np.where(r.random(len(src)) < 0.7, src // 30 * 30 + r.integers(0, 30, len(src)), r.integers(0, n, len(src)))
+    src, dst = src[src > dst], dst[src > dst]
+    w, size, fixed = r.random(len(src)) + 0.1, r.integers(1, 8, n).astype(float), np.arange(n) % 300 < 3
+    tracemalloc.start()
+    label = partition.communities(n, src, dst, w, size, 4.0, fixed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * len(src) and _quality(n, src, dst, w, size, label, 4.0) > 0.2 * w.sum()
+    steps, ordered = [], partition._ordered
+    monkeypatch.setattr(partition, "_ordered", lambda key: steps.append(len(key)) or ordered(key))
+    rate = 4.0 * w.sum() / (size.sum() * (size.sum() - 1) / 2)
+    label = partition._local_moves(*partition._both_ways(n, src, dst, w), size, fixed, np.arange(n), rate, np.random.default_rng(1))
+    assert len(steps) < n / 2 and (label[fixed] == np.flatnonzero(fixed)).all()
+    total = np.bincount(label, size, n)
+    pull = np.zeros((n, n))
+    np.add.at(pull, (src, label[dst]), w)
+    np.add.at(pull, (dst, label[src]), w)
+    gain = pull - rate * size[:, None] * (total[None] - (label[:, None] == np.arange(n)[None]) * size[:, None])
+    now = gain[np.arange(n), label]
+    near = pull > 0
+    better = (np.where(near, gain, -np.inf).max(1) > np.maximum(now, 0) + 1e-9) | (now < -1e-9)
+    assert better[~fixed].mean() < 0.02  # a community's size may have changed since, as always
+
+
+def test_percentiles_are_sorted_for(spark):
+    d = spark.createDataFrame([(float(x),) for x in np.random.default_rng(2).random(101)] + [(None,)], "x double")
+    assert np.allclose(refine._percentiles(d, "x", (100, 50, 75, 33)), np.percentile([r.x for r in d.collect() if r.x is not None], (100, 50, 75, 33)))
+    assert refine._percentiles(d.limit(0), "x", (100, 50)) == [-1.0, -1.0]
+
+
 def test_grid(spark):
     rows = plans.queries()["grid_runs"](spark, SF).collect()
     assert len(rows) == 168 and len({r.run for r in rows}) == 168 and {r.contigs for r in rows} == {500}
